@@ -61,21 +61,31 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _tagged(grams: Column) -> Column:
-    # k-th copy of a gram -> "gram\x01k"; sorted so copies are adjacent.
-    srt = F.array_sort(grams)
-    return F.transform(srt, lambda g, i: F.concat(
-        g, F.lit("\u0001"), (i + 1 - F.array_position(srt, g)).cast("string")))
+def _tagged(sorted_grams: Column) -> Column:
+    # k-th copy of a gram -> "gram\x01k".  ``sorted_grams`` must be a column
+    # reference: it is read inside the lambda, once per element.
+    return F.transform(sorted_grams, lambda g, i: F.concat(
+        g, F.lit("\u0001"), (i + 1 - F.array_position(sorted_grams, g)).cast("string")))
 
 
 def ngram_stats(df: DataFrame, hyp_tokens: str, ref_tokens: str, prefix: str = "_bl") -> DataFrame:
-    """Add ``{prefix}_c{n}``, ``{prefix}_t{n}``, ``{prefix}_lh``, ``{prefix}_lr`` columns."""
-    cols = [F.size(F.col(hyp_tokens)).alias(f"{prefix}_lh"), F.size(F.col(ref_tokens)).alias(f"{prefix}_lr")]
+    """Add ``{prefix}_c{n}``, ``{prefix}_t{n}``, ``{prefix}_lh``, ``{prefix}_lr`` columns.
+
+    Sorted n-gram arrays are projected first, so the tagging lambda reads a
+    materialised column instead of recomputing the n-grams per element.
+    """
+    ht, rt = F.col(hyp_tokens), F.col(ref_tokens)
+    grams = []
+    for n in range(1, MAX_ORDER + 1):
+        grams.append(F.array_sort(_ngrams(ht, n)).alias(f"{prefix}_gh{n}"))
+        grams.append(F.array_sort(_ngrams(rt, n)).alias(f"{prefix}_gr{n}"))
+    staged = df.select("*", *grams)
+    cols = [F.size(ht).alias(f"{prefix}_lh"), F.size(rt).alias(f"{prefix}_lr")]
     for n in range(1, MAX_ORDER + 1):
-        cols.append(F.greatest(F.size(F.col(hyp_tokens)) - (n - 1), F.lit(0)).alias(f"{prefix}_t{n}"))
-        cols.append(F.size(F.array_intersect(_tagged(_ngrams(F.col(hyp_tokens), n)),
-                                             _tagged(_ngrams(F.col(ref_tokens), n)))).alias(f"{prefix}_c{n}"))
-    return df.select("*", *cols)
+        cols.append(F.size(F.col(f"{prefix}_gh{n}")).alias(f"{prefix}_t{n}"))
+        cols.append(F.size(F.array_intersect(_tagged(F.col(f"{prefix}_gh{n}")),
+                                             _tagged(F.col(f"{prefix}_gr{n}")))).alias(f"{prefix}_c{n}"))
+    return staged.select(*[F.col(c) for c in df.columns], *cols)
 
 
 def bleu_from_stats(prefix: str = "_bl") -> Column:
@@ -109,23 +119,3 @@ def with_sentence_bleu(df: DataFrame, hyp: str, ref: str, out: str = "bleu_score
                        tok(F.coalesce(F.col(ref), F.lit(""))).alias("_bl_rt"))
     staged = ngram_stats(staged, "_bl_ht", "_bl_rt")
     return staged.select(*[F.col(c) for c in cols], bleu_from_stats().alias(out))
-
-
-def sentence_bleu_column(hyp, ref, tokenizer: str = "13a") -> Column:
-    """Single-expression form (tokens recomputed inside); convenient for small inputs."""
-    tok = tokens_13a if tokenizer == "13a" else tokens_plain
-    ht, rt = tok(F.coalesce(_c(hyp), F.lit(""))), tok(F.coalesce(_c(ref), F.lit("")))
-    c = [F.size(F.array_intersect(_tagged(_ngrams(ht, n)), _tagged(_ngrams(rt, n))))
-         for n in range(1, MAX_ORDER + 1)]
-    lh, lr = F.size(ht), F.size(rt)
-    eff = F.least(F.lit(MAX_ORDER), lh)
-    total = F.lit(0.0)
-    zeros = F.lit(0)
-    for n in range(MAX_ORDER):
-        tn = F.greatest(lh - n, F.lit(0))
-        zeros = zeros + F.when(c[n] == 0, 1).otherwise(0)
-        logp = F.when(c[n] > 0, F.log(c[n].cast("double")) - F.log(tn.cast("double"))) \
-                .otherwise(-(zeros.cast("double") * math.log(2.0) + F.log(tn.cast("double"))))
-        total = total + F.when(tn > 0, logp).otherwise(F.lit(0.0))
-    bp = F.when(lh >= lr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - lr.cast("double") / lh.cast("double")))
-    return F.when(c[0] + c[1] + c[2] + c[3] > 0, bp * F.exp(total / eff.cast("double"))).otherwise(F.lit(0.0))

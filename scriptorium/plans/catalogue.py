@@ -58,3 +58,312 @@ def cer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("ed_norm").cast("bigint").alias("total_errors"),
         F.sum("ref_norm_len").cast("bigint").alias("total_chars"),
         M.cer().alias("cer"))
+
+
+# ---------------------------------------------------------------------------
+# Shared inputs
+# ---------------------------------------------------------------------------
+
+from ..functions import distance as D  # noqa: E402
+from ..functions import expand as X  # noqa: E402
+from ..functions.bleu import with_sentence_bleu  # noqa: E402
+from ..functions.text import add_prefix, remove_prefix, ws_strip, words  # noqa: E402
+from ..functions.tokens import argmax, byte_tokens, decode_tokens  # noqa: E402
+from ..operators import analysis as A  # noqa: E402
+from ..operators import correct as C  # noqa: E402
+from ..operators import pages as P  # noqa: E402
+from ..operators import pairs as PR  # noqa: E402
+from ..operators import positions as POS  # noqa: E402
+from ..operators import training as TR  # noqa: E402
+from ..operators.scores import row_scores as _row_scores  # noqa: E402
+from ..schema import PREFIX_EVAL, PREFIX_INFER, PREFIX_TRAIN  # noqa: E402
+from ..sources.fixture import noise, spread  # noqa: E402
+from . import sqlparts as S  # noqa: E402
+
+KEY = ["page_id", "line_number"]
+
+
+def _pairs(spark, sf):
+    return load_pairs(spark, sf)
+
+
+def _predicted(spark, sf):
+    """Pairs with a ``prediction``: blank lines -> '' (PRJ-5), else literal expansion of the OCR text."""
+    p = _pairs(spark, sf)
+    return p.withColumn("prediction", F.when(ws_strip("ocr_prediction") == "", F.lit(""))
+                        .otherwise(X.expand_literals("ocr_prediction")))
+
+
+PRED_CTE = (f"predicted AS (SELECT *, CASE WHEN {S.strip('ocr_prediction')} = '' THEN '' "
+            f"ELSE {S.expand_literals('ocr_prediction')} END AS prediction FROM pairs)")
+
+SPLIT_CTE = """labeled AS (
+  SELECT *, CASE WHEN idx < CAST(floor(n * 0.8) AS BIGINT) THEN 'train'
+                 WHEN idx < CAST(floor(n * 0.8) AS BIGINT) + CAST(floor(n * 0.1) AS BIGINT) THEN 'validation'
+                 ELSE 'test' END AS split
+  FROM (SELECT *, CAST(row_number() OVER (ORDER BY page_id, line_number) - 1 AS BIGINT) AS idx,
+               CAST(count(*) OVER () AS DOUBLE) AS n FROM pairs))"""
+
+
+# ---------------------------------------------------------------------------
+# PRJ-2 / AGG-12: profile and null handling
+# ---------------------------------------------------------------------------
+
+@query("dataset_profile", with_pairs("""
+SELECT CAST(count(*) AS BIGINT) AS total_rows,
+       round(avg(length(ocr_prediction)), 6) AS avg_len_ocr_prediction,
+       round(avg(length(text)), 6) AS avg_len_text,
+       CAST(count(*) FILTER (WHERE ocr_prediction IS NULL OR text IS NULL) AS BIGINT) AS rows_with_null
+FROM pairs"""))
+def dataset_profile(spark, sf):
+    prof = M.dataset_profile(_pairs(spark, sf))
+    return prof.select("total_rows", _r("avg_len_ocr_prediction").alias("avg_len_ocr_prediction"),
+                       _r("avg_len_text").alias("avg_len_text"), "rows_with_null")
+
+
+@query("null_drop", with_pairs("""
+SELECT CAST(count(*) AS BIGINT) AS rows_in,
+       CAST(count(*) FILTER (WHERE ocr_prediction IS NOT NULL AND text IS NOT NULL) AS BIGINT) AS rows_kept,
+       CAST(count(*) FILTER (WHERE ocr_prediction IS NULL OR text IS NULL) AS BIGINT) AS rows_dropped
+FROM pairs"""))
+def null_drop(spark, sf):
+    p = _pairs(spark, sf)
+    kept = PR.drop_incomplete(p)
+    rows_in = p.agg(F.count(F.lit(1)).alias("rows_in"))
+    rows_kept = kept.agg(F.count(F.lit(1)).alias("rows_kept"))
+    return rows_in.select("rows_in", rows_kept.select("rows_kept").scalar().alias("rows_kept")) \
+        .select("rows_in", "rows_kept", (F.col("rows_in") - F.col("rows_kept")).alias("rows_dropped"))
+
+
+# ---------------------------------------------------------------------------
+# SCA-2 / SCA-3 / SCA-4
+# ---------------------------------------------------------------------------
+
+@query("normalise_ws", with_pairs(f"""
+SELECT page_id, line_number, {S.norm('text')} AS text_norm, CAST(length({S.norm('text')}) AS BIGINT) AS norm_length
+FROM pairs"""))
+def normalise_ws(spark, sf):
+    return _pairs(spark, sf).select(*KEY, ws_normalize("text").alias("text_norm"),
+                                    F.length(ws_normalize("text")).cast("bigint").alias("norm_length"))
+
+
+@query("strip_ws", with_pairs(f"""
+SELECT page_id, line_number, {S.strip('text')} AS text_stripped, CAST(length(text) AS BIGINT) AS raw_length,
+       CAST(length({S.strip('text')}) AS BIGINT) AS stripped_length
+FROM pairs"""))
+def strip_ws(spark, sf):
+    return _pairs(spark, sf).select(*KEY, ws_strip("text").alias("text_stripped"),
+                                    F.length("text").cast("bigint").alias("raw_length"),
+                                    F.length(ws_strip("text")).cast("bigint").alias("stripped_length"))
+
+
+# ---------------------------------------------------------------------------
+# Row scores (SCA-1/4/8/12/13/14, PRJ-5, WIN-1)
+# ---------------------------------------------------------------------------
+
+@query("row_scores", with_pairs(f"""
+SELECT p.page_id, p.line_number, CAST(row_number() OVER (ORDER BY p.page_id, p.line_number) - 1 AS BIGINT) AS sample_id,
+       p.ocr_prediction AS ocr_input, p.prediction, p.text AS ground_truth,
+       CAST({S.lev('p.prediction', 'p.text')} AS BIGINT) AS edit_distance,
+       round(b.bleu_score, 6) AS bleu_score,
+       CAST(length(p.ocr_prediction) AS BIGINT) AS input_length,
+       CAST(length(p.prediction) AS BIGINT) AS output_length,
+       CAST(length(p.text) AS BIGINT) AS target_length,
+       CAST(levenshtein(p.ocr_prediction, p.text) AS BIGINT) AS ocr_errors,
+       CAST(levenshtein(p.ocr_prediction, p.text) - {S.lev('p.prediction', 'p.text')} AS BIGINT) AS improvement
+FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number""",
+    PRED_CTE, *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
+def row_scores(spark, sf):
+    scores = _row_scores(_predicted(spark, sf), key=KEY)
+    scores = POS.global_index(scores, KEY, "sample_id")
+    return scores.select(*KEY, "sample_id", "ocr_input", "prediction", "ground_truth", "edit_distance",
+                         _r("bleu_score").alias("bleu_score"), "input_length", "output_length", "target_length",
+                         "ocr_errors", "improvement")
+
+
+# ---------------------------------------------------------------------------
+# AGG-11, AGG-2, AGG-15
+# ---------------------------------------------------------------------------
+
+@query("cer_before_after", with_pairs(f"""
+SELECT CAST(sum(levenshtein(no, nt)) AS DOUBLE) / sum(length(nt)) AS cer_before,
+       CAST(sum(d_after) AS DOUBLE) / sum(length(nt)) AS cer_after,
+       CAST(sum(levenshtein(no, nt)) - sum(d_after) AS BIGINT) AS errors_removed
+FROM (SELECT no, nt, {S.lev('np', 'nt')} AS d_after
+      FROM (SELECT {S.norm('ocr_prediction')} AS no, {S.norm('prediction')} AS np, {S.norm('text')} AS nt FROM predicted))""",
+    PRED_CTE))
+def cer_before_after(spark, sf):
+    p = _predicted(spark, sf)
+    parts = p.select(D.normalized_edit_distance("ocr_prediction", "text").alias("before"),
+                     D.normalized_edit_distance("prediction", "text").alias("ed_norm"),
+                     F.length(ws_normalize("text")).alias("ref_norm_len"))
+    return parts.agg(M.cer("before").alias("cer_before"), M.cer().alias("cer_after"),
+                     (F.sum("before") - F.sum("ed_norm")).cast("bigint").alias("errors_removed"))
+
+
+@query("wer_char_numerator", with_pairs(f"""
+SELECT lang, CAST(sum(levenshtein({S.norm('ocr_prediction')}, {S.norm('text')})) AS BIGINT) AS char_errors,
+       CAST(sum(len({S.words('text')})) AS BIGINT) AS ref_words,
+       coalesce(CAST(sum(levenshtein({S.norm('ocr_prediction')}, {S.norm('text')})) AS DOUBLE)
+                / nullif(sum(len({S.words('text')})), 0), 0.0) AS word_error_rate
+FROM pairs GROUP BY lang"""))
+def wer_char_numerator(spark, sf):
+    parts = _pairs(spark, sf).select("lang", D.normalized_edit_distance("ocr_prediction", "text").alias("ed_norm"),
+                                     F.size(words("text")).alias("ref_words"))
+    return parts.groupBy("lang").agg(F.sum("ed_norm").cast("bigint").alias("char_errors"),
+                                     F.sum("ref_words").cast("bigint").alias("ref_words"),
+                                     M.wer_reference().alias("word_error_rate"))
+
+
+def _word_codes_sql(ws: str, vocab: str) -> str:
+    return f"array_to_string(list_transform({ws}, lambda w: chr(CAST(list_position({vocab}, w) AS INTEGER))), '')"
+
+
+@query("wer_standard", with_pairs(f"""
+SELECT lang, CAST(sum(levenshtein({_word_codes_sql('wp', 'v')}, {_word_codes_sql('wr', 'v')})) AS BIGINT) AS word_errors,
+       CAST(sum(len(wr)) AS BIGINT) AS ref_words,
+       coalesce(CAST(sum(levenshtein({_word_codes_sql('wp', 'v')}, {_word_codes_sql('wr', 'v')})) AS DOUBLE)
+                / nullif(sum(len(wr)), 0), 0.0) AS word_error_rate_std
+FROM (SELECT lang, wp, wr, list_distinct(list_concat(wp, wr)) AS v
+      FROM (SELECT lang, {S.words('ocr_prediction')} AS wp, {S.words('text')} AS wr FROM pairs))
+GROUP BY lang"""))
+def wer_standard(spark, sf):
+    """AGG-15 (oracle codes words as ASCII characters, valid for < 128 distinct words per line pair)."""
+    parts = _pairs(spark, sf).select("lang", D.word_edit_distance("ocr_prediction", "text").alias("word_ed"),
+                                     F.size(words("text")).alias("ref_words"))
+    return parts.groupBy("lang").agg(F.sum("word_ed").cast("bigint").alias("word_errors"),
+                                     F.sum("ref_words").cast("bigint").alias("ref_words"),
+                                     M.wer_standard().alias("word_error_rate_std"))
+
+
+# ---------------------------------------------------------------------------
+# AGG-5..8
+# ---------------------------------------------------------------------------
+
+def _stripped_chars_sql():
+    return (f"SELECT {S.chars(S.strip('ocr_prediction'))} AS pc, {S.chars(S.strip('text'))} AS rc, "
+            f"{S.words('ocr_prediction')} AS pw, {S.words('text')} AS rw FROM pairs")
+
+
+@query("char_accuracy_padded", with_pairs(f"""
+SELECT CAST(sum(m) AS BIGINT) AS matches, CAST(sum(t) AS BIGINT) AS positions,
+       coalesce(CAST(sum(m) AS DOUBLE) / nullif(sum(t), 0), 0.0) AS character_accuracy
+FROM (SELECT len(list_filter(range(1, greatest(len(pc), len(rc)) + 1),
+                 lambda i: coalesce(pc[i], ' ') = coalesce(rc[i], ' '))) AS m,
+             greatest(len(pc), len(rc)) AS t
+      FROM ({_stripped_chars_sql()}))"""))
+def char_accuracy_padded(spark, sf):
+    p = _pairs(spark, sf).select(D.padded_char_matches("ocr_prediction", "text").alias("pad_match"),
+                                 D.char_positions("ocr_prediction", "text").alias("char_total"))
+    return p.agg(F.sum("pad_match").cast("bigint").alias("matches"), F.sum("char_total").cast("bigint").alias("positions"),
+                 M.char_accuracy_padded().alias("character_accuracy"))
+
+
+@query("char_accuracy_truncated", with_pairs(f"""
+SELECT CAST(sum(m) AS BIGINT) AS matches, CAST(sum(t) AS BIGINT) AS positions,
+       coalesce(CAST(sum(m) AS DOUBLE) / nullif(sum(t), 0), 0.0) AS character_accuracy
+FROM (SELECT len(list_filter(range(1, least(len(pc), len(rc)) + 1), lambda i: pc[i] = rc[i])) AS m,
+             greatest(len(pc), len(rc)) AS t
+      FROM ({_stripped_chars_sql()}))"""))
+def char_accuracy_truncated(spark, sf):
+    p = _pairs(spark, sf).select(D.truncated_char_matches("ocr_prediction", "text").alias("trunc_match"),
+                                 D.char_positions("ocr_prediction", "text").alias("char_total"))
+    return p.agg(F.sum("trunc_match").cast("bigint").alias("matches"), F.sum("char_total").cast("bigint").alias("positions"),
+                 M.char_accuracy_truncated().alias("character_accuracy"))
+
+
+@query("word_accuracy", with_pairs(f"""
+SELECT CAST(sum(m) AS BIGINT) AS matches, CAST(sum(t) AS BIGINT) AS positions,
+       coalesce(CAST(sum(m) AS DOUBLE) / nullif(sum(t), 0), 0.0) AS word_accuracy
+FROM (SELECT len(list_filter(range(1, least(len(pw), len(rw)) + 1), lambda i: pw[i] = rw[i])) AS m,
+             greatest(len(pw), len(rw)) AS t
+      FROM ({_stripped_chars_sql()}))"""))
+def word_accuracy(spark, sf):
+    p = _pairs(spark, sf).select(D.word_matches("ocr_prediction", "text").alias("word_match"),
+                                 D.word_positions("ocr_prediction", "text").alias("word_total"))
+    return p.agg(F.sum("word_match").cast("bigint").alias("matches"), F.sum("word_total").cast("bigint").alias("positions"),
+                 M.word_accuracy().alias("word_accuracy"))
+
+
+@query("exact_match", with_pairs(f"""
+SELECT lang, CAST(count(*) FILTER (WHERE {S.strip('ocr_prediction')} = {S.strip('text')}) AS BIGINT) AS exact_matches,
+       CAST(count(*) AS BIGINT) AS total_samples,
+       CAST(count(*) FILTER (WHERE {S.strip('ocr_prediction')} = {S.strip('text')}) AS DOUBLE) / count(*) AS exact_match_accuracy
+FROM pairs GROUP BY lang"""))
+def exact_match(spark, sf):
+    p = _pairs(spark, sf).select("lang", D.exact_match("ocr_prediction", "text").alias("exact"))
+    return p.groupBy("lang").agg(F.count_if("exact").cast("bigint").alias("exact_matches"),
+                                 F.count(F.lit(1)).cast("bigint").alias("total_samples"),
+                                 M.exact_match_rate().alias("exact_match_accuracy"))
+
+
+# ---------------------------------------------------------------------------
+# AGG-4, SCA-8, AGG-3, AGG-21
+# ---------------------------------------------------------------------------
+
+@query("edit_distance_stats", with_pairs("""
+SELECT lang, round(avg(d), 6) AS edit_distance_mean, round(stddev_pop(d), 6) AS edit_distance_std,
+       CAST(median(d) AS DOUBLE) AS edit_distance_median, CAST(min(d) AS BIGINT) AS edit_distance_min,
+       CAST(max(d) AS BIGINT) AS edit_distance_max
+FROM (SELECT lang, CAST(levenshtein(ocr_prediction, text) AS DOUBLE) AS d FROM pairs) GROUP BY ROLLUP (lang)"""))
+def edit_distance_stats(spark, sf):
+    p = _pairs(spark, sf).select("lang", D.edit_distance("ocr_prediction", "text").cast("double").alias("d"))
+    return p.rollup("lang").agg(_r(F.avg("d")).alias("edit_distance_mean"), _r(F.stddev_pop("d")).alias("edit_distance_std"),
+                                F.median("d").alias("edit_distance_median"), F.min("d").cast("bigint").alias("edit_distance_min"),
+                                F.max("d").cast("bigint").alias("edit_distance_max"))
+
+
+@query("sentence_bleu", with_pairs("SELECT page_id, line_number, round(bleu_score, 6) AS bleu_score FROM bleu",
+                                   *S.bleu_ctes("pairs", "page_id,line_number", "ocr_prediction", "text")))
+def sentence_bleu(spark, sf):
+    b = with_sentence_bleu(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), "ocr_prediction", "text")
+    return b.select(*KEY, _r("bleu_score").alias("bleu_score"))
+
+
+@query("bleu_stats", with_pairs("""
+SELECT p.lang, round(avg(b.bleu_score), 6) AS bleu_score_mean, round(stddev_pop(b.bleu_score), 6) AS bleu_score_std,
+       CAST(count(*) AS BIGINT) AS total_samples
+FROM pairs p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number GROUP BY ROLLUP (p.lang)""",
+    *S.bleu_ctes("pairs", "page_id,line_number", "ocr_prediction", "text")))
+def bleu_stats(spark, sf):
+    b = with_sentence_bleu(_pairs(spark, sf).select("lang", "ocr_prediction", "text"), "ocr_prediction", "text")
+    return b.rollup("lang").agg(_r(F.avg("bleu_score")).alias("bleu_score_mean"),
+                                _r(F.stddev_pop("bleu_score")).alias("bleu_score_std"),
+                                F.count(F.lit(1)).cast("bigint").alias("total_samples"))
+
+
+def _eval_sql():
+    pc, rc = S.chars("sp"), S.chars("st")
+    return f"""
+SELECT lang,
+       coalesce(CAST(sum(dn) AS DOUBLE) / nullif(sum(length(nt)), 0), 0.0) AS character_error_rate,
+       coalesce(CAST(sum(dn) AS DOUBLE) / nullif(sum(len({S.words('text')})), 0), 0.0) AS word_error_rate,
+       round(avg(bleu_score), 6) AS bleu_score_mean, round(stddev_pop(bleu_score), 6) AS bleu_score_std,
+       CAST(count(*) FILTER (WHERE sp = st) AS DOUBLE) / count(*) AS exact_match_accuracy,
+       coalesce(CAST(sum(len(list_filter(range(1, greatest(len({pc}), len({rc})) + 1),
+                 lambda i: coalesce(({pc})[i], ' ') = coalesce(({rc})[i], ' ')))) AS DOUBLE)
+                / nullif(sum(greatest(len({pc}), len({rc}))), 0), 0.0) AS character_accuracy,
+       round(avg(d), 6) AS edit_distance_mean,
+       round(stddev_pop(d), 6) AS edit_distance_std,
+       CAST(median(d) AS DOUBLE) AS edit_distance_median,
+       CAST(count(*) AS BIGINT) AS total_samples,
+       CAST(count(*) FILTER (WHERE sp = st) AS BIGINT) AS exact_matches
+FROM (SELECT *, {S.lev('np', 'nt')} AS dn, {S.lev('prediction', 'text')} AS d
+      FROM (SELECT p.lang, p.prediction, p.text, b.bleu_score, {S.norm('p.prediction')} AS np, {S.norm('p.text')} AS nt,
+                   {S.strip('p.prediction')} AS sp, {S.strip('p.text')} AS st
+            FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number))
+GROUP BY ROLLUP (lang)"""
+
+
+@query("evaluation_report", with_pairs(_eval_sql(), PRED_CTE,
+                                       *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
+def evaluation_report(spark, sf):
+    """AGG-21: the evaluator's whole metric set in one aggregate, per language plus the total row."""
+    parts = score_parts(_predicted(spark, sf), pred="prediction", ref="text")
+    rep = M.evaluate(parts, by=["lang"], rollup=True)
+    return rep.select("lang", "character_error_rate", "word_error_rate", _r("bleu_score_mean").alias("bleu_score_mean"),
+                      _r("bleu_score_std").alias("bleu_score_std"), "exact_match_accuracy", "character_accuracy",
+                      _r("edit_distance_mean").alias("edit_distance_mean"),
+                      _r("edit_distance_std").alias("edit_distance_std"), "edit_distance_median",
+                      F.col("total_samples").cast("bigint").alias("total_samples"),
+                      F.col("exact_matches").cast("bigint").alias("exact_matches"))

@@ -71,3 +71,77 @@ pairs AS (
 def with_pairs(body: str, *more_ctes: str) -> str:
     ctes = ",\n".join([PAIRS.strip()] + [c.strip() for c in more_ctes])
     return f"WITH {ctes}\n{body}"
+
+
+# Token pattern of the lexicon corrector: word runs and whitespace runs.
+TOKENS_RE = "[^" + WS[1:-1] + "]+|" + WS + "+"
+
+
+def tok13a(x: str) -> str:
+    s = f"regexp_replace({x}, '{WS}+$', '')"
+    for a, b in [("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"),
+                 ("'&quot;'", "'\"'"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'")]:
+        s = f"replace({s}, {a}, {b})"
+    s = f"(' ' || {s} || ' ')"
+    for pat, rep in [(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
+                     (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")]:
+        s = f"regexp_replace({s}, {sql_str(pat)}, {sql_str(rep)}, 'g')"
+    return words(s)
+
+
+def bleu_ctes(src: str, key: str, hyp: str, ref: str, name: str = "bleu") -> list[str]:
+    """CTEs computing sentence BLEU per ``key`` of table ``src`` (exploded n-gram counts).
+
+    Produces CTE ``{name}`` with columns (key..., bleu_score).
+    """
+    k = ", ".join(f"{c}" for c in key.split(","))
+    kk = ", ".join(f"t.{c.strip()}" for c in key.split(","))
+    kj = " AND ".join(f"s.{c.strip()} = g.{c.strip()}" for c in key.split(","))
+    ctes = [
+        f"{name}_tok AS (SELECT {k}, {tok13a(f'coalesce({hyp}, {chr(39)}{chr(39)})')} AS ht, "
+        f"{tok13a(f'coalesce({ref}, {chr(39)}{chr(39)})')} AS rt FROM {src})",
+        f"""{name}_grams AS (
+  SELECT {kk}, n.n AS n, 'h' AS side, array_to_string(list_slice(t.ht, i.i, i.i + n.n - 1), ' ') AS g
+  FROM {name}_tok t, (SELECT unnest(range(1, 5)) AS n) n, LATERAL (SELECT unnest(range(1, len(t.ht) - n.n + 2)) AS i) i
+  UNION ALL
+  SELECT {kk}, n.n AS n, 'r' AS side, array_to_string(list_slice(t.rt, i.i, i.i + n.n - 1), ' ') AS g
+  FROM {name}_tok t, (SELECT unnest(range(1, 5)) AS n) n, LATERAL (SELECT unnest(range(1, len(t.rt) - n.n + 2)) AS i) i)""",
+        f"""{name}_match AS (
+  SELECT {k}, n, sum(least(ch, cr)) AS c FROM (
+    SELECT {k}, n, g, count(*) FILTER (WHERE side = 'h') AS ch, count(*) FILTER (WHERE side = 'r') AS cr
+    FROM {name}_grams GROUP BY ALL) GROUP BY ALL)""",
+        f"""{name}_stats AS (
+  SELECT {", ".join("s." + c.strip() for c in key.split(","))}, len(s.ht) AS lh, len(s.rt) AS lr,
+         {", ".join(f"coalesce(sum(g.c) FILTER (WHERE g.n = {n}), 0) AS c{n}" for n in range(1, 5))},
+         {", ".join(f"greatest(len(s.ht) - {n - 1}, 0) AS t{n}" for n in range(1, 5))}
+  FROM {name}_tok s LEFT JOIN {name}_match g ON {kj}
+  GROUP BY ALL)""",
+    ]
+    z = []
+    terms = []
+    for n in range(1, 5):
+        z.append(f"(CASE WHEN c{n} = 0 THEN 1 ELSE 0 END)")
+        zn = " + ".join(z)
+        terms.append(f"(CASE WHEN t{n} > 0 THEN (CASE WHEN c{n} > 0 THEN ln(CAST(c{n} AS DOUBLE) / t{n}) "
+                     f"ELSE -(({zn}) * ln(2.0) + ln(CAST(t{n} AS DOUBLE))) END) ELSE 0.0 END)")
+    score = (f"CASE WHEN c1 + c2 + c3 + c4 = 0 THEN 0.0 ELSE "
+             f"(CASE WHEN lh >= lr THEN 1.0 ELSE exp(1.0 - CAST(lr AS DOUBLE) / lh) END) * "
+             f"exp(({' + '.join(terms)}) / least(4, lh)) END")
+    ctes.append(f"{name} AS (SELECT {k}, {score} AS bleu_score FROM {name}_stats)")
+    return ctes
+
+
+def lev(a: str, b: str) -> str:
+    """Code-point Levenshtein in DuckDB (its ``levenshtein`` counts bytes).
+
+    Each character of the pair is coded as one ASCII byte by its position in
+    the pair's character set; exact while a pair has < 128 distinct characters
+    (always true for lines of at most 48 characters on each side).
+    """
+    ca, cb = chars(a), chars(b)
+    v = f"list_distinct(list_concat({ca}, {cb}))"
+
+    def enc(c):
+        return f"array_to_string(list_transform({c}, lambda ch: chr(CAST(list_position({v}, ch) AS INTEGER))), '')"
+    return (f"(CASE WHEN {a} = {b} THEN 0 WHEN NOT regexp_matches({a} || {b}, '[^\\x00-\\x7f]') "
+            f"THEN levenshtein({a}, {b}) ELSE levenshtein({enc(ca)}, {enc(cb)}) END)")
