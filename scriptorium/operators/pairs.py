@@ -50,21 +50,22 @@ def unpaired(left: DataFrame, right: DataFrame, key=("page_id", "line_number"))
     return lo.unionByName(ro)
 
 
-def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, threshold: int = 64,
+def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, threshold: int = 16,
                 page: str = "page_id", num: str = "line_number",
                 ocr: str = "ocr_prediction", ref: str = "text") -> DataFrame:
     """JOI-2: best verified line (by edit distance) within +-band lines of each OCR line.
 
     Output: page, OCR line number, aligned reference line number, distance.
-    Ties go to the nearest line number, then the smaller one.  Pairs farther
-    apart than ``threshold`` edits are not candidates (capped Levenshtein).
+    Ties go to the nearest line number, then the smaller one.  Distances are
+    exact: the capped Levenshtein (cheap, stops at ``threshold``) is tried
+    first and only pairs beyond the cap pay for the full computation.
     """
     cand = ref_lines.select(page, F.col(num).alias("ref_line"), F.col(ref).alias("_ref"),
                             F.explode(F.sequence(F.col(num) - band, F.col(num) + band)).alias(num))
     o = ocr_lines.select(page, num, F.col(ocr).alias("_ocr"))
-    scored = o.join(cand, [page, num], "inner").select(
-        page, num, "ref_line", F.levenshtein("_ocr", "_ref", threshold).alias("d"))
-    scored = scored.where(F.col("d") >= 0)
+    capped = F.levenshtein("_ocr", "_ref", threshold)
+    exact = F.when(capped >= 0, capped).otherwise(F.levenshtein("_ocr", "_ref"))
+    scored = o.join(cand, [page, num], "inner").select(page, num, "ref_line", exact.alias("d"))
     best = scored.groupBy(page, num).agg(F.min(F.struct(
         F.col("d").alias("d"), F.abs(F.col("ref_line") - F.col(num)).alias("gap"),
         F.col("ref_line").alias("r"))).alias("b"))

@@ -367,3 +367,287 @@ def evaluation_report(spark, sf):
                       _r("edit_distance_std").alias("edit_distance_std"), "edit_distance_median",
                       F.col("total_samples").cast("bigint").alias("total_samples"),
                       F.col("exact_matches").cast("bigint").alias("exact_matches"))
+
+
+# ---------------------------------------------------------------------------
+# Expansion (SCA-5, SCA-6, SCA-6b, SCA-6c, AGG-13, PRJ-9, PRJ-10)
+# ---------------------------------------------------------------------------
+
+@query("expand_literals", with_pairs(f"SELECT page_id, line_number, {S.expand_literals('text')} AS text_expanded FROM pairs"))
+def expand_literals(spark, sf):
+    return _pairs(spark, sf).select(*KEY, X.expand_literals("text").alias("text_expanded"))
+
+
+@query("strip_marks", with_pairs(f"SELECT page_id, line_number, {S.strip_marks('text')} AS text_unmarked FROM pairs"))
+def strip_marks(spark, sf):
+    return _pairs(spark, sf).select(*KEY, X.strip_marks("text").alias("text_unmarked"))
+
+
+@query("expand_full")
+def expand_full(spark, sf):
+    """SCA-6c over every line (look-around patterns: checked against a Python model in tests)."""
+    return _pairs(spark, sf).select(*KEY, "text", X.expand_abbreviations("text").alias("text_converted"))
+
+
+@query("conversion_stats")
+def conversion_stats(spark, sf):
+    """AGG-13: total rows, changed rows (PRJ-9), percentage changed."""
+    conv = _pairs(spark, sf).select(X.changed_flag("text", X.expand_abbreviations("text")).alias("changed"))
+    return conv.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("changed").alias("changed_rows")) \
+        .select("total_rows", "changed_rows",
+                F.round(F.try_divide(F.col("changed_rows") * 100.0, F.col("total_rows")), 6).alias("pct_changed"))
+
+
+@query("changed_examples")
+def changed_examples(spark, sf):
+    """PRJ-10: among the first 10 rows in key order, those the expansion changes."""
+    first = _pairs(spark, sf).select(*KEY, "text").orderBy(*KEY).limit(10)
+    conv = first.withColumn("text_converted", X.expand_abbreviations("text"))
+    return conv.where(F.col("text").isNotNull() & (F.col("text") != F.col("text_converted")))
+
+
+# ---------------------------------------------------------------------------
+# Prefixes (PRJ-3, PRJ-4)
+# ---------------------------------------------------------------------------
+
+@query("prefix_add_remove", with_pairs(f"""
+SELECT page_id, line_number, {S.sql_str(PREFIX_INFER)} || ocr_prediction AS model_input,
+       replace({S.sql_str(PREFIX_INFER)} || ocr_prediction, {S.sql_str(PREFIX_INFER)}, '') AS prefix_removed
+FROM pairs"""))
+def prefix_add_remove(spark, sf):
+    p = _pairs(spark, sf).select(*KEY, add_prefix("ocr_prediction", PREFIX_INFER).alias("model_input"))
+    return p.select(*KEY, "model_input", remove_prefix("model_input", PREFIX_INFER).alias("prefix_removed"))
+
+
+# ---------------------------------------------------------------------------
+# Byte tokens (SCA-7, SCA-7b, SCA-7c)
+# ---------------------------------------------------------------------------
+
+def _ids_sql(x: str, limit: int = 128) -> str:
+    h = f"hex(encode({x}))"
+    return (f"list_concat(list_transform(range(0, least(length({h}) // 2, {limit - 1})), "
+            f"lambda i: CAST(('0x' || substr({h}, CAST(i * 2 + 1 AS BIGINT), 2)) AS INTEGER) + 3), [1])")
+
+
+@query("byte_tokens", with_pairs(f"""
+SELECT page_id, line_number, array_to_string({_ids_sql(S.sql_str(PREFIX_TRAIN) + ' || ocr_prediction')}, ',') AS input_ids,
+       CAST(len({_ids_sql(S.sql_str(PREFIX_TRAIN) + ' || ocr_prediction')}) AS BIGINT) AS n_ids
+FROM pairs"""))
+def byte_tokens_q(spark, sf):
+    ids = byte_tokens(add_prefix("ocr_prediction", PREFIX_TRAIN))
+    p = _pairs(spark, sf).select(*KEY, ids.alias("ids"))
+    return p.select(*KEY, F.array_join("ids", ",").alias("input_ids"), F.size("ids").cast("bigint").alias("n_ids"))
+
+
+@query("byte_decode", with_pairs(f"""
+SELECT page_id, line_number,
+       substr(x, 1, len(list_filter(range(1, length(x) + 1), lambda k: strlen(substr(x, 1, k)) <= 127))) AS decoded
+FROM (SELECT page_id, line_number, {S.sql_str(PREFIX_TRAIN)} || ocr_prediction AS x FROM pairs)"""))
+def byte_decode(spark, sf):
+    """Inverse of SCA-7 after the 128-id cut: a character cut in the middle is dropped."""
+    ids = byte_tokens(add_prefix("ocr_prediction", PREFIX_TRAIN))
+    return _pairs(spark, sf).select(*KEY, decode_tokens(ids).alias("decoded"))
+
+
+@query("padded_batches", with_pairs(f"""
+SELECT page_id, line_number, idx // 8 AS batch,
+       CAST(max(len(ids)) OVER (PARTITION BY idx // 8) AS BIGINT) AS padded_length,
+       CAST(max(len(ids)) OVER (PARTITION BY idx // 8) - len(ids) AS BIGINT) AS pad_count,
+       array_to_string(list_concat(ids, list_transform(range(0, max(len(ids)) OVER (PARTITION BY idx // 8) - len(ids)), lambda i: -100)), ',') AS labels_padded
+FROM (SELECT page_id, line_number, CAST(row_number() OVER (ORDER BY page_id, line_number) - 1 AS BIGINT) AS idx,
+             {_ids_sql('text')} AS ids FROM pairs)"""))
+def padded_batches(spark, sf):
+    """SCA-7b: labels padded with -100 to the longest row of each batch of 8 (batches in key order)."""
+    p = _pairs(spark, sf).select(*KEY, byte_tokens("text").alias("labels"))
+    p = POS.global_index(p, KEY, "idx").withColumn("input_ids", F.col("labels")) \
+        .withColumn("attention_mask", F.transform("labels", lambda _: F.lit(1)))
+    b = TR.padded_batches(p, 8)
+    return b.select(*KEY, "batch", F.size("labels_padded").cast("bigint").alias("padded_length"),
+                    (F.size("labels_padded") - F.size("labels")).cast("bigint").alias("pad_count"),
+                    F.array_join("labels_padded", ",").alias("labels_padded"))
+
+
+@query("greedy_argmax", """
+SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings""")
+def greedy_argmax(spark, sf):
+    """SCA-7c: argmax over the last axis, first maximum wins."""
+    return read_table(spark, sf, "embeddings").select("vec_id", "label", argmax("embedding").alias("argmax"))
+
+
+# ---------------------------------------------------------------------------
+# Positions (WIN-1, WIN-3a/b, AGG-20) and the training table (MOD-4)
+# ---------------------------------------------------------------------------
+
+@query("global_index", with_pairs("""
+SELECT page_id, line_number, CAST(row_number() OVER (ORDER BY page_id, line_number) - 1 AS BIGINT) AS idx FROM pairs"""))
+def global_index_q(spark, sf):
+    return POS.global_index(_pairs(spark, sf).select(*KEY), KEY, "idx")
+
+
+@query("split_3way", with_pairs("SELECT page_id, line_number, idx, split FROM labeled", SPLIT_CTE))
+def split_3way(spark, sf):
+    return POS.positional_split(_pairs(spark, sf).select(*KEY), KEY).select(*KEY, "idx", "split")
+
+
+@query("split_2way", with_pairs("""
+SELECT page_id, line_number, idx, CASE WHEN idx < CAST(floor(n * 0.8) AS BIGINT) THEN 'train' ELSE 'validation' END AS split
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY page_id, line_number) - 1 AS BIGINT) AS idx,
+             CAST(count(*) OVER () AS DOUBLE) AS n FROM pairs)"""))
+def split_2way(spark, sf):
+    return POS.positional_split(_pairs(spark, sf).select(*KEY), KEY, three_way=False).select(*KEY, "idx", "split")
+
+
+@query("split_report", with_pairs("""
+SELECT split, CAST(count(*) AS BIGINT) AS rows, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share_pct
+FROM labeled GROUP BY split""", SPLIT_CTE))
+def split_report(spark, sf):
+    s = POS.positional_split(_pairs(spark, sf).select(*KEY), KEY)
+    return POS.split_report(s).select("split", F.col("rows").cast("bigint").alias("rows"), "share_pct")
+
+
+@query("training_table", with_pairs(f"""
+SELECT page_id, line_number, idx, split,
+       array_to_string({_ids_sql(S.sql_str(PREFIX_TRAIN) + ' || ocr_prediction')}, ',') AS input_ids,
+       CAST(len({_ids_sql(S.sql_str(PREFIX_TRAIN) + ' || ocr_prediction')}) AS BIGINT) AS mask_ones,
+       array_to_string({_ids_sql('text')}, ',') AS labels
+FROM labeled WHERE ocr_prediction IS NOT NULL AND text IS NOT NULL""", SPLIT_CTE))
+def training_table(spark, sf):
+    t = TR.training_table(_pairs(spark, sf), KEY)
+    return t.select(*KEY, "idx", "split", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("mask_ones"),
+                    F.array_join("labels", ",").alias("labels"))
+
+
+# ---------------------------------------------------------------------------
+# Learned correction (MOD-2, JOI-3, MOD-3)
+# ---------------------------------------------------------------------------
+
+LEX_CTES = [SPLIT_CTE, f"""wp AS (
+  SELECT unnest(wo) AS ocr_word, unnest(wt) AS text_word
+  FROM (SELECT {S.words('ocr_prediction')} AS wo, {S.words('text')} AS wt FROM labeled WHERE split = 'train')
+  WHERE len(wo) = len(wt))""", """cnt AS (SELECT ocr_word, text_word, count(*) AS n FROM wp GROUP BY ALL)""",
+            """lex AS (
+  SELECT ocr_word, text_word, CAST(n AS BIGINT) AS support, CAST(seen AS BIGINT) AS seen FROM (
+    SELECT *, row_number() OVER (PARTITION BY ocr_word ORDER BY n DESC, text_word) AS rk,
+           sum(n) OVER (PARTITION BY ocr_word) AS seen FROM cnt)
+  WHERE rk = 1 AND n >= 2 AND text_word <> ocr_word)""",
+            f"""toks AS (
+  SELECT page_id, line_number, unnest(t) AS tok, unnest(range(0, len(t))) AS pos
+  FROM (SELECT page_id, line_number, regexp_extract_all(ocr_prediction, {S.sql_str(S.TOKENS_RE)}) AS t
+        FROM labeled WHERE split = 'test'))""",
+            """fixed AS (
+  SELECT l.page_id, l.line_number, coalesce(string_agg(coalesce(x.text_word, k.tok), '' ORDER BY k.pos), '') AS prediction
+  FROM labeled l LEFT JOIN toks k ON l.page_id = k.page_id AND l.line_number = k.line_number
+       LEFT JOIN lex x ON k.tok = x.ocr_word
+  WHERE l.split = 'test' GROUP BY l.page_id, l.line_number)"""]
+
+
+def _lexicon_parts(spark, sf):
+    s = POS.positional_split(_pairs(spark, sf), KEY)
+    lex = C.learn_lexicon(s.where(F.col("split") == "train"))
+    return s, lex
+
+
+@query("lexicon_learn", with_pairs("SELECT ocr_word, text_word, support, seen FROM lex", *LEX_CTES[:4]))
+def lexicon_learn(spark, sf):
+    _, lex = _lexicon_parts(spark, sf)
+    return lex.select("ocr_word", "text_word", F.col("support").cast("bigint").alias("support"),
+                      F.col("seen").cast("bigint").alias("seen"))
+
+
+@query("lexicon_apply", with_pairs("SELECT page_id, line_number, prediction FROM fixed", *LEX_CTES))
+def lexicon_apply(spark, sf):
+    s, lex = _lexicon_parts(spark, sf)
+    test = s.where(F.col("split") == "test").select(*KEY, "ocr_prediction")
+    out = C.apply_lexicon(test, lex, KEY)
+    return out.select(*KEY, F.coalesce("prediction", F.lit("")).alias("prediction"))
+
+
+@query("lexicon_evaluation", with_pairs(f"""
+SELECT CAST(sum(d_before) AS DOUBLE) / sum(length(nt)) AS cer_before,
+       CAST(sum(d_after) AS DOUBLE) / sum(length(nt)) AS cer_after,
+       CAST(count(*) FILTER (WHERE d_after < d_before) AS BIGINT) AS lines_better,
+       CAST(count(*) FILTER (WHERE d_after > d_before) AS BIGINT) AS lines_worse,
+       CAST(count(*) AS BIGINT) AS lines_total
+FROM (SELECT nt, levenshtein(no, nt) AS d_before, {S.lev('np', 'nt')} AS d_after
+      FROM (SELECT {S.norm('l.ocr_prediction')} AS no, {S.norm('f.prediction')} AS np, {S.norm('l.text')} AS nt
+            FROM labeled l JOIN fixed f ON l.page_id = f.page_id AND l.line_number = f.line_number))""", *LEX_CTES))
+def lexicon_evaluation(spark, sf):
+    """MOD-2 quality on the held-out test split: CER before/after, lines better/worse."""
+    s, lex = _lexicon_parts(spark, sf)
+    test = s.where(F.col("split") == "test").select(*KEY, "ocr_prediction", "text")
+    out = C.apply_lexicon(test, lex, KEY)
+    parts = out.select(D.normalized_edit_distance("ocr_prediction", "text").alias("b"),
+                       D.normalized_edit_distance(F.coalesce("prediction", F.lit("")), "text").alias("a"),
+                       F.length(ws_normalize("text")).alias("n"))
+    return parts.agg(M.cer("b", "n").alias("cer_before"), M.cer("a", "n").alias("cer_after"),
+                     F.count_if(F.col("a") < F.col("b")).cast("bigint").alias("lines_better"),
+                     F.count_if(F.col("a") > F.col("b")).cast("bigint").alias("lines_worse"),
+                     F.count(F.lit(1)).cast("bigint").alias("lines_total"))
+
+
+@query("confusion_table", with_pairs(f"""
+SELECT ocr_char, text_char, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT unnest({S.chars('ocr_word')}) AS ocr_char, unnest({S.chars('text_word')}) AS text_char
+  FROM (SELECT unnest(wo) AS ocr_word, unnest(wt) AS text_word
+        FROM (SELECT {S.words('ocr_prediction')} AS wo, {S.words('text')} AS wt FROM pairs) WHERE len(wo) = len(wt))
+  WHERE length(ocr_word) = length(text_word))
+WHERE ocr_char <> text_char GROUP BY ALL"""))
+def confusion_table(spark, sf):
+    t = C.confusion_table(_pairs(spark, sf))
+    return t.select("ocr_char", "text_char", F.col("n").cast("bigint").alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Joins (JOI-1, JOI-2, JOI-4)
+# ---------------------------------------------------------------------------
+
+PAGE_OCR_CTE = """page_ocr AS (
+  SELECT page_id, unnest(l) AS ocr_prediction, CAST(unnest(range(0, len(l))) AS BIGINT) AS line_number
+  FROM (SELECT doc_id AS page_id, regexp_extract_all(
+          replace(replace(replace(translate(text, 'uc', 'ne'), 'm', 'rn'), 'th', 'tb'), 'li', 'h'), '.{1,48}') AS l
+        FROM documents))"""
+
+
+def _page_ocr_lines(spark, sf):
+    """OCR of whole pages re-segmented into lines (line counts differ from the verified text)."""
+    d = read_table(spark, sf, "documents")
+    o = d.select(F.col("doc_id").alias("page_id"),
+                 F.posexplode(F.regexp_extract_all(noise("text", F.lit(1)), F.lit(".{1,48}"), 0))
+                 .alias("line_number", "ocr_prediction"))
+    return spread(o.withColumn("line_number", F.col("line_number").cast("bigint")))
+
+
+@query("pair_join", with_pairs(f"""
+SELECT p.page_id, p.line_number, p.prediction, r.text
+FROM (SELECT page_id, line_number, {S.expand_literals('ocr_prediction')} AS prediction FROM pairs) p
+JOIN (SELECT page_id, line_number, text FROM pairs) r ON p.page_id = r.page_id AND p.line_number = r.line_number"""))
+def pair_join(spark, sf):
+    p = _pairs(spark, sf)
+    preds = p.select(*KEY, X.expand_literals("ocr_prediction").alias("prediction"))
+    refs = p.select(*KEY, "text")
+    return PR.pair_join(preds, refs, KEY)
+
+
+@query("unpaired_lines", with_pairs("""
+SELECT page_id, line_number, 'left_only' AS side FROM page_ocr o
+WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.page_id = o.page_id AND p.line_number = o.line_number)
+UNION ALL
+SELECT page_id, line_number, 'right_only' AS side FROM pairs p
+WHERE NOT EXISTS (SELECT 1 FROM page_ocr o WHERE p.page_id = o.page_id AND p.line_number = o.line_number)""",
+    PAGE_OCR_CTE))
+def unpaired_lines(spark, sf):
+    return PR.unpaired(_page_ocr_lines(spark, sf), _pairs(spark, sf), KEY)
+
+
+@query("align_lines", with_pairs(f"""
+SELECT page_id, line_number, aligned_line, CAST(d AS BIGINT) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, line_number
+                               ORDER BY d, abs(aligned_line - line_number), aligned_line) AS rk
+  FROM (SELECT o.page_id, o.line_number, p.line_number AS aligned_line, {S.lev('o.ocr_prediction', 'p.text')} AS d
+        FROM page_ocr o
+        JOIN (SELECT page_id, line_number, text, unnest(range(line_number - 2, line_number + 3)) AS cand FROM pairs) p
+          ON o.page_id = p.page_id AND o.line_number = p.cand))
+WHERE rk = 1""", PAGE_OCR_CTE))
+def align_lines(spark, sf):
+    return PR.align_lines(_page_ocr_lines(spark, sf), _pairs(spark, sf).select("page_id", "line_number", "text"))
