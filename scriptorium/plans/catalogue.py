@@ -651,3 +651,170 @@ SELECT page_id, line_number, aligned_line, CAST(d AS BIGINT) AS distance FROM (
 WHERE rk = 1""", PAGE_OCR_CTE))
 def align_lines(spark, sf):
     return PR.align_lines(_page_ocr_lines(spark, sf), _pairs(spark, sf).select("page_id", "line_number", "text"))
+
+
+# ---------------------------------------------------------------------------
+# Page side (PRJ-13, PRJ-14, AGG-14, AGG-16)
+# ---------------------------------------------------------------------------
+
+@query("bbox_from_polygon", """
+SELECT vec_id, list_min(xs) AS "left", list_min(ys) AS top, list_max(xs) AS "right", list_max(ys) AS bottom,
+       printf('%s_%02d.png', 'page' || CAST(label AS VARCHAR), vec_id) AS image_name
+FROM (SELECT vec_id, label,
+             list_transform(range(0, 32), lambda k: CAST(trunc(CAST(embedding[2 * k + 1] AS DOUBLE) * 1000) AS INTEGER)) AS xs,
+             list_transform(range(0, 32), lambda k: CAST(trunc(CAST(embedding[2 * k + 2] AS DOUBLE) * 1000) AS INTEGER)) AS ys
+      FROM embeddings)""")
+def bbox_from_polygon(spark, sf):
+    """PRJ-13/14 on ``embeddings`` read as 32-point polygons (x, y scaled by 1000, truncated)."""
+    e = read_table(spark, sf, "embeddings")
+    pts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.array(
+        (F.get("embedding", k * 2).cast("double") * 1000).cast("int"),
+        (F.get("embedding", k * 2 + 1).cast("double") * 1000).cast("int")))
+    b = e.select("vec_id", "label", P.bbox_from(pts, F.lit(None).cast("array<int>")).alias("bbox"))
+    return b.select("vec_id", "bbox.left", "bbox.top", "bbox.right", "bbox.bottom",
+                    P.line_image_name(F.concat(F.lit("page"), F.col("label").cast("string")), "vec_id").alias("image_name"))
+
+
+@query("assemble_pages", with_pairs("""
+SELECT page_id, CAST(line_number // 256 AS BIGINT) AS block, min(line_number) AS first_line,
+       CAST(count(*) AS BIGINT) AS n_lines, string_agg(prediction, chr(10) ORDER BY line_number) AS text
+FROM predicted GROUP BY page_id, line_number // 256""", PRED_CTE))
+def assemble_pages(spark, sf):
+    """AGG-16: corrected lines joined in order, as bounded blocks of 256 lines per page."""
+    b = P.assemble_blocks(_predicted(spark, sf), "page_id", "line_number", "prediction")
+    return b.select("page_id", "block", "first_line", F.col("n_lines").cast("bigint").alias("n_lines"), "text")
+
+
+@query("assemble_conversations", """
+SELECT conv_id, CAST(turn // 256 AS BIGINT) AS block, min(turn) AS first_line, CAST(count(*) AS BIGINT) AS n_lines,
+       string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id, turn // 256""")
+def assemble_conversations(spark, sf):
+    """AGG-16 on ``conversations``: turns joined in order per conversation."""
+    c = read_table(spark, sf, "conversations")
+    b = P.assemble_blocks(c, "conv_id", "turn", "text")
+    return b.select("conv_id", "block", "first_line", F.col("n_lines").cast("bigint").alias("n_lines"), "text")
+
+
+@query("page_summary", with_pairs("""
+SELECT page_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(prediction)) + count(*) - 1 AS BIGINT) AS text_length,
+       round((sum(length(prediction)) + count(*) - 1) / count(*), 6) AS avg_line_length
+FROM predicted GROUP BY page_id""", PRED_CTE))
+def page_summary(spark, sf):
+    s = P.page_summary(_predicted(spark, sf), "page_id", "prediction")
+    return s.select("page_id", F.col("n_lines").cast("bigint").alias("n_lines"), "text_length", "avg_line_length")
+
+
+# ---------------------------------------------------------------------------
+# Analysis (TOP-1, TOP-2, TOP-5, AGG-17, AGG-18, AGG-19, WIN-5)
+# ---------------------------------------------------------------------------
+
+SCORES_CTE = f"""scores AS (
+  SELECT page_id, line_number, lang, source, ocr_prediction AS ocr_input, prediction, text AS ground_truth,
+         CAST(ed AS BIGINT) AS edit_distance, CAST(length(ocr_prediction) AS BIGINT) AS input_length,
+         CAST(oe AS BIGINT) AS ocr_errors, CAST(oe - ed AS BIGINT) AS improvement
+  FROM (SELECT *, {S.lev('prediction', 'text')} AS ed, levenshtein(ocr_prediction, text) AS oe FROM predicted))"""
+
+_TOP_COLS = "page_id, line_number, edit_distance, improvement, ocr_input, prediction, ground_truth"
+
+
+def _scores(spark, sf, bleu=False):
+    p = _predicted(spark, sf)
+    s = _row_scores(p, key=KEY + ["lang", "source"], bleu=bleu)
+    return s
+
+
+@query("worst_rows", with_pairs(f"SELECT {_TOP_COLS} FROM scores ORDER BY edit_distance DESC, page_id, line_number LIMIT 10",
+                                PRED_CTE, SCORES_CTE))
+def worst_rows(spark, sf):
+    """TOP-1: 10 largest edit distances, ties in row order."""
+    return A.top_k(_scores(spark, sf), "edit_distance", 10).select(*_TOP_COLS.split(", "))
+
+
+@query("best_improvements", with_pairs(f"SELECT {_TOP_COLS} FROM scores ORDER BY improvement DESC, page_id, line_number LIMIT 10",
+                                       PRED_CTE, SCORES_CTE))
+def best_improvements(spark, sf):
+    """TOP-2: 10 largest improvements."""
+    return A.top_k(_scores(spark, sf), "improvement", 10).select(*_TOP_COLS.split(", "))
+
+
+@query("worst_per_lang", with_pairs(f"""
+SELECT lang, {_TOP_COLS}, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY edit_distance DESC, page_id, line_number) AS rk FROM scores)
+WHERE rk <= 3""", PRED_CTE, SCORES_CTE))
+def worst_per_lang(spark, sf):
+    """TOP-5: 3 worst rows per language."""
+    t = A.top_k_per_group(_scores(spark, sf), "lang", "edit_distance", 3)
+    return t.select("lang", *_TOP_COLS.split(", "), "rank")
+
+
+def _hist_sql(col: str) -> str:
+    return f"""
+SELECT CAST(bin AS BIGINT) AS bin, round(lo + bin * (hi - lo) / 30, 6) AS lower, round(lo + (bin + 1) * (hi - lo) / 30, 6) AS upper,
+       CAST(count(*) AS BIGINT) AS n
+FROM (SELECT least(CAST(floor((x - lo) * 30 / (hi - lo)) AS BIGINT), 29) AS bin, lo, hi
+      FROM (SELECT x, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi
+            FROM (SELECT CAST({col} AS DOUBLE) AS x, min(CAST({col} AS DOUBLE)) OVER () AS mn, max(CAST({col} AS DOUBLE)) OVER () AS mx
+                  FROM scores)))
+GROUP BY ALL"""
+
+
+@query("hist_edit_distance", with_pairs(_hist_sql("edit_distance"), PRED_CTE, SCORES_CTE))
+def hist_edit_distance(spark, sf):
+    """AGG-17: 30-bin histogram of edit distances."""
+    h = A.histogram(_scores(spark, sf), "edit_distance")
+    return h.select("bin", "lower", "upper", F.col("n").cast("bigint").alias("n"))
+
+
+@query("hist_improvement", with_pairs(_hist_sql("improvement"), PRED_CTE, SCORES_CTE))
+def hist_improvement(spark, sf):
+    """AGG-17: 30-bin histogram of improvements."""
+    h = A.histogram(_scores(spark, sf), "improvement")
+    return h.select("bin", "lower", "upper", F.col("n").cast("bigint").alias("n"))
+
+
+@query("error_by_length", with_pairs("""
+SELECT input_length, CAST(count(*) AS BIGINT) AS n, round(avg(edit_distance), 6) AS avg_edit_distance,
+       min(edit_distance) AS min_edit_distance, max(edit_distance) AS max_edit_distance,
+       round(avg(CASE WHEN length(ground_truth) = 0 THEN 0.0 ELSE CAST(edit_distance AS DOUBLE) / length(ground_truth) END), 6) AS avg_cer
+FROM scores GROUP BY input_length""", PRED_CTE, SCORES_CTE))
+def error_by_length(spark, sf):
+    """AGG-18: error by input length (table behind the scatter plots)."""
+    e = A.error_by_length(_scores(spark, sf))
+    return e.select("input_length", F.col("n").cast("bigint").alias("n"), "avg_edit_distance",
+                    "min_edit_distance", "max_edit_distance", "avg_cer")
+
+
+LOG_CTE = f"""mlog AS (
+  SELECT p.lang AS run, p.page_id // 25 AS step,
+         coalesce(CAST(sum(levenshtein({S.norm('p.ocr_prediction')}, {S.norm('p.text')})) AS DOUBLE)
+                  / nullif(sum(length({S.norm('p.text')})), 0), 0.0) AS cer,
+         CAST(count(*) AS BIGINT) AS eval_samples
+  FROM pairs p GROUP BY p.lang, p.page_id // 25)"""
+
+
+def _metric_log(spark, sf):
+    """Evaluation log: one row per (run = language, step = block of 25 pages)."""
+    parts = _pairs(spark, sf).select(
+        F.col("lang").alias("run"), F.floor(F.col("page_id") / 25).cast("bigint").alias("step"),
+        D.normalized_edit_distance("ocr_prediction", "text").alias("ed_norm"),
+        F.length(ws_normalize("text")).alias("ref_norm_len"))
+    return parts.groupBy("run", "step").agg(M.cer().alias("cer"), F.count(F.lit(1)).cast("bigint").alias("eval_samples"))
+
+
+@query("metric_trend", with_pairs("""
+SELECT run, step, round(cer, 6) AS cer, round(lag(cer) OVER w, 6) AS prev_cer, round(cer - lag(cer) OVER w, 6) AS delta_cer,
+       round(min(cer) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS best_cer_so_far
+FROM mlog WINDOW w AS (PARTITION BY run ORDER BY step)""", LOG_CTE))
+def metric_trend(spark, sf):
+    """WIN-5: CER trend over evaluation steps per run."""
+    return A.metric_trend(_metric_log(spark, sf))
+
+
+@query("best_checkpoint", with_pairs("""
+SELECT run, best_step, round(best_cer, 6) AS best_cer FROM (
+  SELECT run, step AS best_step, cer AS best_cer, row_number() OVER (PARTITION BY run ORDER BY cer, step) AS rk FROM mlog)
+WHERE rk = 1""", LOG_CTE))
+def best_checkpoint(spark, sf):
+    """AGG-19: lowest-CER step per run."""
+    return A.best_checkpoint(_metric_log(spark, sf))
