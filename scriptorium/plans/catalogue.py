@@ -818,3 +818,44 @@ WHERE rk = 1""", LOG_CTE))
 def best_checkpoint(spark, sf):
     """AGG-19: lowest-CER step per run."""
     return A.best_checkpoint(_metric_log(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Streams (STR-1..3): run to completion, then read their sinks back
+# ---------------------------------------------------------------------------
+
+from ..streaming import streams as ST  # noqa: E402
+
+
+@query("stream_metrics_log", with_pairs("""
+SELECT CAST(0 AS BIGINT) AS batch_id, cer, round(bleu, 6) AS bleu, round(edit_distance, 6) AS edit_distance, eval_samples
+FROM (SELECT coalesce(CAST(sum(levenshtein(no, nt)) AS DOUBLE) / nullif(sum(length(nt)), 0), 0.0) AS cer,
+             avg(b.bleu_score) AS bleu, avg(levenshtein(p.ocr_prediction, p.text)) AS edit_distance,
+             CAST(count(*) AS BIGINT) AS eval_samples
+      FROM (SELECT *, """ + S.norm("ocr_prediction") + " AS no, " + S.norm("text") + """ AS nt FROM pairs) p
+      JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number)""",
+    *S.bleu_ctes("pairs", "page_id,line_number", "ocr_prediction", "text")))
+def stream_metrics_log(spark, sf):
+    """STR-1: metric log written per micro-batch (one file per trigger; one table here -> batch 0)."""
+    log = spark.read.parquet(ST.stream_metrics_log(spark, sf))
+    return log.select(F.col("batch_id").cast("bigint").alias("batch_id"), "cer", _r("bleu").alias("bleu"),
+                      _r("edit_distance").alias("edit_distance"), F.col("eval_samples").cast("bigint").alias("eval_samples"))
+
+
+@query("stream_expand", with_pairs(f"SELECT page_id, line_number, {S.expand_literals('ocr_prediction')} AS prediction FROM pairs"))
+def stream_expand(spark, sf):
+    """STR-2: streamed expansion equals the batch expansion."""
+    return spark.read.parquet(ST.stream_expand(spark, sf)).select(*KEY, "prediction")
+
+
+@query("stream_window_cer", with_pairs(f"""
+SELECT strftime(time_bucket(INTERVAL 1 day, CAST(e.ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(time_bucket(INTERVAL 1 day, CAST(e.ts AS TIMESTAMP)) + INTERVAL 1 day, '%Y-%m-%d %H:%M:%S') AS window_end,
+       CAST(count(*) AS BIGINT) AS events, CAST(sum(d.errors) AS BIGINT) AS errors, CAST(sum(d.chars) AS BIGINT) AS chars,
+       coalesce(CAST(sum(d.errors) AS DOUBLE) / nullif(sum(d.chars), 0), 0.0) AS cer
+FROM events e JOIN docerr d ON e.event_id % (SELECT count(*) FROM documents) = d.page_id
+GROUP BY ALL""", f"""docerr AS (SELECT page_id, sum(levenshtein({S.norm('ocr_prediction')}, {S.norm('text')})) AS errors,
+                           sum(length({S.norm('text')})) AS chars FROM pairs GROUP BY page_id)"""))
+def stream_window_cer(spark, sf):
+    """STR-3: watermarked tumbling-window CER over event time (complete output = batch result)."""
+    return spark.read.parquet(ST.stream_window_cer(spark, sf))
