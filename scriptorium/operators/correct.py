@@ -26,6 +26,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import chars, words
 from ..schema import WS_CLASS
@@ -92,7 +93,7 @@ def correct(df: DataFrame, corrector, src: str = "ocr_prediction", out: str = "p
     """
     if not batch_fn:
         return corrector(df)
-    schema = df.schema.add(out, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
     fn: Callable = corrector
 
     def run(batches):
