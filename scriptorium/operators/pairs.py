@@ -57,16 +57,27 @@ def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, thres
 
     Output: page, OCR line number, aligned reference line number, distance.
     Ties go to the nearest line number, then the smaller one.  Distances are
-    exact: the capped Levenshtein (cheap, stops at ``threshold``) is tried
-    first and only pairs beyond the cap pay for the full computation.
+    exact.  Pass 1 scores every candidate with the capped Levenshtein (cost
+    bounded by ``threshold``); a line whose best candidate is within the cap
+    is resolved, since every candidate above the cap is worse.  Pass 2
+    computes full distances only for lines with no candidate under the cap.
     """
     cand = ref_lines.select(page, F.col(num).alias("ref_line"), F.col(ref).alias("_ref"),
                             F.explode(F.sequence(F.col(num) - band, F.col(num) + band)).alias(num))
     o = ocr_lines.select(page, num, F.col(ocr).alias("_ocr"))
+    pairs = o.join(cand, [page, num], "inner")
+
+    def best(scored):
+        b = scored.groupBy(page, num).agg(F.min(F.struct(
+            F.col("d").alias("d"), F.abs(F.col("ref_line") - F.col(num)).alias("gap"),
+            F.col("ref_line").alias("r"))).alias("b"))
+        return b.select(page, num, F.col("b.r").alias("aligned_line"), F.col("b.d").cast("bigint").alias("distance"))
+
     capped = F.levenshtein("_ocr", "_ref", threshold)
-    exact = F.when(capped >= 0, capped).otherwise(F.levenshtein("_ocr", "_ref"))
-    scored = o.join(cand, [page, num], "inner").select(page, num, "ref_line", exact.alias("d"))
-    best = scored.groupBy(page, num).agg(F.min(F.struct(
-        F.col("d").alias("d"), F.abs(F.col("ref_line") - F.col(num)).alias("gap"),
-        F.col("ref_line").alias("r"))).alias("b"))
-    return best.select(page, num, F.col("b.r").alias("aligned_line"), F.col("b.d").cast("bigint").alias("distance"))
+    first = best(pairs.select(page, num, "ref_line",
+                              F.when(capped >= 0, capped).otherwise(F.lit(threshold + 1)).alias("d")))
+    resolved = first.where(F.col("distance") <= threshold)
+    open_lines = first.where(F.col("distance") > threshold).select(page, num)
+    second = best(pairs.join(open_lines, [page, num], "left_semi")
+                  .select(page, num, "ref_line", F.levenshtein("_ocr", "_ref").alias("d")))
+    return resolved.unionByName(second)

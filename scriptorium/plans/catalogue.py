@@ -174,8 +174,10 @@ SELECT p.page_id, p.line_number, CAST(row_number() OVER (ORDER BY p.page_id, p.l
 FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number""",
     PRED_CTE, *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
 def row_scores(spark, sf):
-    scores = _row_scores(_predicted(spark, sf), key=KEY)
-    scores = POS.global_index(scores, KEY, "sample_id")
+    # index the pairs first: the range sampling then re-reads cheap rows, and the
+    # scoring runs once, on the balanced, checkpointed ranges
+    indexed = POS.global_index(_predicted(spark, sf), KEY, "sample_id")
+    scores = _row_scores(indexed, key=KEY + ["sample_id"])
     return scores.select(*KEY, "sample_id", "ocr_input", "prediction", "ground_truth", "edit_distance",
                          _r("bleu_score").alias("bleu_score"), "input_length", "output_length", "target_length",
                          "ocr_errors", "improvement")

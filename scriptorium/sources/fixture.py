@@ -44,9 +44,8 @@ def document_lines(documents: DataFrame, keep=("lang", "source")) -> DataFrame:
     ).withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
-def line_pairs(documents: DataFrame, keep=("lang", "source")) -> DataFrame:
-    """The derived line-pair table: page_id, line_number, line_id, text, ocr_prediction (+ keep)."""
-    lines = document_lines(documents, keep)
+def with_noise(lines: DataFrame, keep=("lang", "source")) -> DataFrame:
+    """Add ``line_id`` and ``ocr_prediction`` to (page_id, line_number, text, *keep)."""
     return lines.select(
         "page_id", "line_number", *keep,
         F.concat(F.col("page_id").cast("string"), F.lit("_line_"), F.col("line_number").cast("string")).alias("line_id"),
@@ -55,6 +54,11 @@ def line_pairs(documents: DataFrame, keep=("lang", "source")) -> DataFrame:
     )
 
 
+def line_pairs(documents: DataFrame, keep=("lang", "source")) -> DataFrame:
+    """The derived line-pair table: page_id, line_number, line_id, text, ocr_prediction (+ keep)."""
+    return with_noise(document_lines(documents, keep), keep)
+
+
 def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Hash lines on (page_id, line_number): even tasks even when one page is huge."""
     if num_partitions is None:
@@ -63,5 +67,8 @@ def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
 
 def load_pairs(spark: SparkSession, sf_dir: str, keep=("lang", "source"), spread_out: bool = True) -> DataFrame:
-    pairs = line_pairs(read_table(spark, sf_dir, "documents"), keep)
-    return spread(pairs) if spread_out else pairs
+    """Line pairs of the ``documents`` table.  With ``spread_out`` the exploded
+    lines are hashed across tasks first and the noise is computed after the
+    shuffle, in parallel."""
+    lines = document_lines(read_table(spark, sf_dir, "documents"), keep)
+    return with_noise(spread(lines) if spread_out else lines, keep)
