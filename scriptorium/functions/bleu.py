@@ -73,18 +73,23 @@ def ngram_stats(df: DataFrame, hyp_tokens: str, ref_tokens: str, prefix: str = "
 
     Sorted n-gram arrays are projected first, so the tagging lambda reads a
     materialised column instead of recomputing the n-grams per element.
+    Identical token arrays skip the n-grams: every n-gram matches (c_n = t_n).
     """
     ht, rt = F.col(hyp_tokens), F.col(ref_tokens)
+    same = F.col(f"{prefix}_same")
+    staged = df.select("*", (ht == rt).alias(f"{prefix}_same"))
     grams = []
     for n in range(1, MAX_ORDER + 1):
-        grams.append(F.array_sort(_ngrams(ht, n)).alias(f"{prefix}_gh{n}"))
-        grams.append(F.array_sort(_ngrams(rt, n)).alias(f"{prefix}_gr{n}"))
-    staged = df.select("*", *grams)
+        grams.append(F.when(~same, F.array_sort(_ngrams(ht, n))).alias(f"{prefix}_gh{n}"))
+        grams.append(F.when(~same, F.array_sort(_ngrams(rt, n))).alias(f"{prefix}_gr{n}"))
+    staged = staged.select("*", *grams)
     cols = [F.size(ht).alias(f"{prefix}_lh"), F.size(rt).alias(f"{prefix}_lr")]
     for n in range(1, MAX_ORDER + 1):
-        cols.append(F.size(F.col(f"{prefix}_gh{n}")).alias(f"{prefix}_t{n}"))
-        cols.append(F.size(F.array_intersect(_tagged(F.col(f"{prefix}_gh{n}")),
-                                             _tagged(F.col(f"{prefix}_gr{n}")))).alias(f"{prefix}_c{n}"))
+        tn = F.greatest(F.size(ht) - (n - 1), F.lit(0))
+        cols.append(tn.alias(f"{prefix}_t{n}"))
+        cols.append(F.when(same, tn).otherwise(
+            F.size(F.array_intersect(_tagged(F.col(f"{prefix}_gh{n}")), _tagged(F.col(f"{prefix}_gr{n}")))))
+            .alias(f"{prefix}_c{n}"))
     return staged.select(*[F.col(c) for c in df.columns], *cols)
 
 
@@ -115,7 +120,9 @@ def with_sentence_bleu(df: DataFrame, hyp: str, ref: str, out: str = "bleu_score
     """
     tok = tokens_13a if tokenizer == "13a" else tokens_plain
     cols = df.columns
-    staged = df.select("*", tok(F.coalesce(F.col(hyp), F.lit(""))).alias("_bl_ht"),
-                       tok(F.coalesce(F.col(ref), F.lit(""))).alias("_bl_rt"))
+    h, r = F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit(""))
+    staged = df.select("*", tok(r).alias("_bl_rt"))
+    # identical texts have identical tokens: tokenise the hypothesis only when it differs
+    staged = staged.select("*", F.when(h == r, F.col("_bl_rt")).otherwise(tok(h)).alias("_bl_ht"))
     staged = ngram_stats(staged, "_bl_ht", "_bl_rt")
     return staged.select(*[F.col(c) for c in cols], bleu_from_stats().alias(out))

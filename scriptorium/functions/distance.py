@@ -7,7 +7,7 @@ lines before scoring.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import _c, chars, words, ws_normalize, ws_strip
@@ -81,12 +81,18 @@ def _word_codes(ws: Column, vocab: Column) -> Column:
         "")
 
 
-def word_edit_distance(pred, ref) -> Column:
+def with_word_edit_distance(df: DataFrame, pred: str, ref: str, out: str = "word_ed") -> DataFrame:
     """AGG-15: standard word-level edit distance (substitute/insert/delete whole words).
 
     Each distinct word of the pair is coded as one character, then the
-    character Levenshtein of the coded strings is the word distance.
+    character Levenshtein of the coded strings is the word distance.  Word
+    arrays and the pair vocabulary are projected first so the coding lambda
+    reads columns.
     """
-    wp, wr = words(pred), words(ref)
-    vocab = F.array_distinct(F.concat(wp, wr))
-    return F.levenshtein(_word_codes(wp, vocab), _word_codes(wr, vocab)).cast("bigint")
+    cols = df.columns
+    st = df.select("*", words(pred).alias("_wed_p"), words(ref).alias("_wed_r"))
+    st = st.select("*", F.array_distinct(F.concat("_wed_p", "_wed_r")).alias("_wed_v"))
+    v = F.col("_wed_v")
+    return st.select(*[F.col(c) for c in cols],
+                     F.levenshtein(_word_codes(F.col("_wed_p"), v), _word_codes(F.col("_wed_r"), v))
+                     .cast("bigint").alias(out))

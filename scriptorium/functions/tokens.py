@@ -16,17 +16,25 @@ from .text import _c
 
 
 def byte_tokens(x, max_len: int = MAX_TOKENS, eos: bool = True) -> Column:
-    """SCA-7: array<int> of byte ids (+ end id), at most ``max_len`` long."""
-    h = F.hex(F.encode(_c(x), "UTF-8"))
+    """SCA-7: array<int> of byte ids (+ end id), at most ``max_len`` long.
+
+    The UTF-8 bytes are hex-encoded once and split into two-digit pairs; the
+    lambda then reads only its own element.
+    """
     keep = max_len - 1 if eos else max_len
-    n = F.least(F.length(h) / 2, F.lit(keep)).cast("int")
-    ids = F.transform(F.sequence(F.lit(0), n - 1),
-                      lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int") + BYTE_OFFSET)
-    body = F.when(n > 0, ids).otherwise(F.array().cast("array<int>"))
-    out = F.concat(body, F.array(F.lit(EOS_ID))) if eos else body
+    pairs = F.slice(F.regexp_extract_all(F.hex(F.encode(_c(x), "UTF-8")), F.lit(".."), 0), 1, keep)
+    ids = F.transform(pairs, lambda hx: _hex_digit(F.substring(hx, 1, 1)) * 16
+                      + _hex_digit(F.substring(hx, 2, 1)) + BYTE_OFFSET)
+    out = F.concat(ids, F.array(F.lit(EOS_ID))) if eos else ids
     return F.when(_c(x).isNotNull(), out)
 
 
+def _hex_digit(ch: Column) -> Column:
+    # '0'-'9' -> 0-9, 'A'-'F' -> 10-15 (``hex`` writes upper case), by code arithmetic
+    a = F.ascii(ch)
+    return a - 48 - F.when(a > 64, 7).otherwise(0)
+
+
 def attention_mask(ids) -> Column:
     return F.transform(_c(ids), lambda _: F.lit(1))
 

@@ -59,8 +59,6 @@ def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
         .cast("bigint").alias("word_match"),
         F.greatest(F.size("_wp"), F.size("_wr")).cast("bigint").alias("word_total"),
     ]
-    if word_level:
-        measures.append(D.word_edit_distance(p, r).alias("word_ed"))
     if ocr is not None:
         o = F.col(ocr)
         measures += [D.edit_distance(o, r).alias("ocr_ed"),
@@ -69,6 +67,8 @@ def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
     out = out.select(*[F.col(c) for c in out.columns if c != "_cmp"],
                      F.size(F.filter("_cmp", lambda x: x >= 1)).cast("bigint").alias("pad_match"),
                      F.size(F.filter("_cmp", lambda x: x == 2)).cast("bigint").alias("trunc_match"))
+    if word_level:
+        out = D.with_word_edit_distance(out, pred, ref, "word_ed")
     if bleu:
         out = with_sentence_bleu(out, pred, ref, "bleu_score")
     return out

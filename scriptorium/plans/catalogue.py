@@ -231,8 +231,8 @@ FROM (SELECT lang, wp, wr, list_distinct(list_concat(wp, wr)) AS v
 GROUP BY lang"""))
 def wer_standard(spark, sf):
     """AGG-15 (oracle codes words as ASCII characters, valid for < 128 distinct words per line pair)."""
-    parts = _pairs(spark, sf).select("lang", D.word_edit_distance("ocr_prediction", "text").alias("word_ed"),
-                                     F.size(words("text")).alias("ref_words"))
+    parts = D.with_word_edit_distance(_pairs(spark, sf), "ocr_prediction", "text", "word_ed") \
+        .select("lang", "word_ed", F.size(words("text")).alias("ref_words"))
     return parts.groupBy("lang").agg(F.sum("word_ed").cast("bigint").alias("word_errors"),
                                      F.sum("ref_words").cast("bigint").alias("ref_words"),
                                      M.wer_standard().alias("word_error_rate_std"))

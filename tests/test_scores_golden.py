@@ -77,8 +77,9 @@ def test_against_python_model(spark):
         D.edit_distance("p", "r").alias("ed"), ws_normalize("p").alias("np"), ws_strip("p").alias("sp"),
         D.padded_char_matches("p", "r").alias("pm"), D.truncated_char_matches("p", "r").alias("tm"),
         D.char_positions("p", "r").alias("ct"), D.word_matches("p", "r").alias("wm"),
-        D.word_positions("p", "r").alias("wt"), D.word_edit_distance("p", "r").alias("wed"),
-        F.size(words("p")).alias("nw")), "p", "r").collect()
+        D.word_positions("p", "r").alias("wt"),
+        F.size(words("p")).alias("nw")), "p", "r")
+    got = D.with_word_edit_distance(got, "p", "r", "wed").collect()
     for row in got:
         p, r = row["p"], row["r"]
         assert row["ed"] == models.lev(p, r)
