@@ -16,21 +16,22 @@ BINS = 30
 def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
     """AGG-17: ``bins`` equal bins over [min, max], last bin closed; non-empty bins.
 
-    min == max widens the range to +-0.5 (all rows in the middle bin).
-    min/max come from scalar subqueries (one small aggregate), not a join.
+    min == max widens the range to +-0.5 (all rows in the middle bin).  The
+    range is a parameter of the binning: one aggregate (partial per task, one
+    row back) fixes it, then the rows are binned and counted in a second pass.
     """
-    stats = df.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi"))
-    lo0 = stats.select("lo").scalar()
-    hi0 = stats.select("hi").scalar()
-    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
-    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
     x = F.col(col).cast("double")
-    b = F.least(F.floor((x - lo) * bins / (hi - lo)).cast("bigint"), F.lit(bins - 1))
-    counted = df.where(F.col(col).isNotNull()).select(b.alias("bin"), lo.alias("_lo"), hi.alias("_hi")) \
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    return counted.select("bin", F.round(F.col("_lo") + F.col("bin") * width, 6).alias("lower"),
-                          F.round(F.col("_lo") + (F.col("bin") + 1) * width, 6).alias("upper"), "n")
+    lo0, hi0 = df.agg(F.min(x), F.max(x)).first()
+    if lo0 is None:
+        return df.sparkSession.createDataFrame([], "bin bigint, lower double, upper double, n bigint")
+    lo, hi = (lo0 - 0.5, hi0 + 0.5) if lo0 == hi0 else (lo0, hi0)
+    b = F.least(F.floor((x - F.lit(lo)) * bins / F.lit(hi - lo)).cast("bigint"), F.lit(bins - 1))
+    # NULLs fall in a NULL bin, dropped after the aggregate: a filter on ``col``
+    # before it would be pushed into (and duplicate) the expression behind ``col``
+    counted = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).where(F.col("bin").isNotNull())
+    width = (F.lit(hi) - F.lit(lo)) / bins
+    return counted.select("bin", F.round(F.lit(lo) + F.col("bin") * width, 6).alias("lower"),
+                          F.round(F.lit(lo) + (F.col("bin") + 1) * width, 6).alias("upper"), "n")
 
 
 def error_by_length(scores: DataFrame, length: str = "input_length", ed: str = "edit_distance",

@@ -861,3 +861,39 @@ GROUP BY ALL""", f"""docerr AS (SELECT page_id, sum(levenshtein({S.norm('ocr_pre
 def stream_window_cer(spark, sf):
     """STR-3: watermarked tumbling-window CER over event time (complete output = batch result)."""
     return spark.read.parquet(ST.stream_window_cer(spark, sf))
+
+
+@query("score_correlations", with_pairs("""
+SELECT round(corr(CAST(input_length AS DOUBLE), CAST(edit_distance AS DOUBLE)), 6) AS corr_length_edit_distance,
+       round(corr(CAST(input_length AS DOUBLE), CASE WHEN length(ground_truth) = 0 THEN 0.0
+                  ELSE CAST(edit_distance AS DOUBLE) / length(ground_truth) END), 6) AS corr_length_cer,
+       round(corr(CAST(s.edit_distance AS DOUBLE), b.bleu_score), 6) AS corr_edit_distance_bleu
+FROM scores s JOIN bleu b ON s.page_id = b.page_id AND s.line_number = b.line_number""",
+    PRED_CTE, SCORES_CTE, *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
+def score_correlations(spark, sf):
+    """AGG-18: correlations behind the scatter plots (length vs distance, length vs CER, distance vs BLEU)."""
+    return A.correlations(_scores(spark, sf, bleu=True))
+
+
+@query("hist_bleu", with_pairs(_hist_sql("bleu_score").replace("FROM scores", "FROM (SELECT round(bleu_score, 12) AS bleu_score FROM bleu)"),
+                               PRED_CTE, *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
+def hist_bleu(spark, sf):
+    """AGG-17: 30-bin histogram of sentence BLEU (scores rounded to 12 places before binning)."""
+    s = _scores(spark, sf, bleu=True).select(F.round("bleu_score", 12).alias("bleu_score"))
+    h = A.histogram(s, "bleu_score")
+    return h.select("bin", "lower", "upper", F.col("n").cast("bigint").alias("n"))
+
+
+@query("decoded_examples", with_pairs(f"""
+SELECT page_id, line_number, idx, split,
+       substr(x, 1, len(list_filter(range(1, length(x) + 1), lambda k: strlen(substr(x, 1, k)) <= 127))) AS input_text,
+       y AS label_text
+FROM (SELECT page_id, line_number, idx, split, {S.sql_str(PREFIX_TRAIN)} || ocr_prediction AS x,
+             substr(text, 1, len(list_filter(range(1, length(text) + 1), lambda k: strlen(substr(text, 1, k)) <= 127))) AS y
+      FROM labeled WHERE split = 'train' ORDER BY idx LIMIT 2)""", SPLIT_CTE))
+def decoded_examples(spark, sf):
+    """TOP-3: the first 2 training examples decoded back from their byte tokens (a top-k by position)."""
+    t = TR.training_table(_pairs(spark, sf), KEY).where(F.col("split") == "train")
+    first = TR.first_examples(t, 2)
+    return first.select(*KEY, "idx", "split", decode_tokens("input_ids").alias("input_text"),
+                        decode_tokens("labels").alias("label_text"))
