@@ -7,8 +7,8 @@ The same column expressions as the batch jobs run per micro-batch:
   writes its own ``batch_id=N`` folder with overwrite, so a replayed batch
   (after a failure) replaces its row instead of duplicating it.
 * STR-2 stateless expansion of arriving lines into an append-only sink.
-* STR-3 event-time tumbling-window CER: events (``ts`` cast to TIMESTAMP)
-  with a watermark, joined stream-static to per-document error counts, then
+* STR-3 event-time tumbling-window CER: events (``ts`` wall clock read as
+  UTC, so results do not depend on the session time zone) with a watermark, joined stream-static to per-document error counts, then
   ``groupBy(window)``; complete output rewritten per batch, so the final
   table equals the batch query.
 
@@ -30,7 +30,7 @@ from ..functions.text import ws_normalize
 from ..operators import metrics as M
 from ..operators.scores import score_parts
 from ..session import ensure_checkpoint_dir
-from ..sources.fixture import line_pairs, read_table, spread
+from ..sources.fixture import line_pairs, load_pairs, read_table, spread
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:
@@ -84,20 +84,40 @@ def stream_expand(spark: SparkSession, sf_dir: str, out: str | None = None) -> s
 
 def document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static side of STR-3: per document, normalised OCR errors and reference characters."""
-    pairs = line_pairs(read_table(spark, sf_dir, "documents"), keep=())
+    pairs = load_pairs(spark, sf_dir, keep=())
     return pairs.groupBy("page_id").agg(
         F.sum(D.normalized_edit_distance("ocr_prediction", "text")).alias("errors"),
         F.sum(F.length(ws_normalize("text"))).alias("chars"))
 
 
+def utc_event_time(ts) -> F.Column:
+    """TIMESTAMP_NTZ wall clock read as UTC, whatever the session time zone."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+def utc_text(instant) -> F.Column:
+    """'yyyy-MM-dd HH:mm:ss' of an instant in UTC, independent of the session time zone."""
+    sec = F.unix_seconds(instant)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(sec / 86400).cast("int"))
+    sod = F.pmod(sec, F.lit(86400))
+    return F.concat(F.date_format(day, "yyyy-MM-dd"),
+                    F.format_string(" %02d:%02d:%02d", (sod / 3600).cast("int"),
+                                    ((sod % 3600) / 60).cast("int"), (sod % 60).cast("int")))
+
+
 def stream_window_cer(spark: SparkSession, sf_dir: str, out: str | None = None,
                       window: str = "1 day", watermark: str = "1 hour") -> str:
     """STR-3: tumbling-window CER over event time; returns the result folder."""
     out = out or _work_dir(spark, "window_cer")
-    docs = document_errors(spark, sf_dir)
+    # materialised once (shared checkpoint folder): every micro-batch joins the
+    # stored table instead of recomputing it
+    ensure_checkpoint_dir(spark)
+    docs = document_errors(spark, sf_dir).checkpoint(eager=True)
     n_docs = read_table(spark, sf_dir, "documents").count()   # parameter of the event -> page mapping
     events = (table_stream(spark, sf_dir, "events")
-              .select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+              .select(F.col("event_id"), utc_event_time("ts").alias("ts"))
               .withWatermark("ts", watermark)
               .withColumn("page_id", F.col("event_id") % F.lit(n_docs)))
     joined = events.join(docs, "page_id", "inner")
@@ -105,8 +125,8 @@ def stream_window_cer(spark: SparkSession, sf_dir: str, out: str | None = None,
         F.count(F.lit(1)).alias("events"), F.sum("errors").alias("errors"), F.sum("chars").alias("chars"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                     F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
+        batch.select(utc_text(F.col("w.start")).alias("window_start"),
+                     utc_text(F.col("w.end")).alias("window_end"),
                      F.col("events").cast("bigint").alias("events"), F.col("errors").cast("bigint").alias("errors"),
                      F.col("chars").cast("bigint").alias("chars"),
                      F.coalesce(F.try_divide(F.col("errors").cast("double"), F.col("chars").cast("double")),
