@@ -125,3 +125,11 @@ def test_metric_log_append(spark, tmp):
     K.append_metric_log(row, f"{tmp}/log")
     K.append_metric_log(row, f"{tmp}/log")
     assert spark.read.option("header", True).csv(f"{tmp}/log").count() == 2
+
+
+def test_list_pages_base_names(spark, tmp):
+    os.makedirs(f"{tmp}/imgs/sub.dir")
+    for name in ("p1.png", "p2.x.png", "sub.dir/p3.tif"):
+        _write(f"{tmp}/imgs/{name}", "x")
+    pages = R.list_pages(spark, f"{tmp}/imgs", "*.png")
+    assert sorted(r["base_name"] for r in pages.collect()) == ["p1", "p2.x"]
