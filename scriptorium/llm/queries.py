@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.fixture import read_table
-from . import bpe, records
+from . import bpe, quality_classifier, quality_rules, records
 from .storage import fresh_folder
 
 QUERIES: dict = {}
@@ -30,3 +31,26 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-records")
     records.write_records(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
     return records.scan_records(spark, folder)
+
+
+def _held_out(id_col: str = "doc_id"):
+    """The fold that is never learned from."""
+    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the n-gram verdict of every text; the trusted target is the documents labelled good."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    ratios = quality_rules.log_ratios(documents, documents.join(good, "doc_id", "left_semi"))
+    return quality_rules.judge(documents, ratios)
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from the labels outside the held-out fold."""
+    documents = read_table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(documents, read_table(spark, sf_dir, "labels").where(~_held_out()))
+    return (quality_classifier.classify(documents, model)
+            .select("doc_id", _held_out().alias("held_out"), "score", "predicted"))
