@@ -8,7 +8,7 @@ computed once.  A text's score is the logistic function of
 
     log N(x; mean1, cov1) - log N(x; mean0, cov0) + log prior odds,
 
-with the Mahalanobis terms from triangular solves against the cached factors.
+with the Mahalanobis terms from products with the cached inverse factors.
 
 Fitting reads at most ``MAX_LABELLED`` labelled rows, those of the smallest
 hash of their id (a documented bound; scoring reads every row).  Their ids are
@@ -40,7 +40,7 @@ FLOOR = 1e-4
 CLIP = 60.0
 THRESHOLD = 0.7
 
-STATISTICS = ("words", "word_length", "capitals", "digits", "symbols", "marks", "repeats", "same_lines", "variety", "line_length", "pipes", "shouts")
+STATISTICS = ("word_length", "capitals", "digits", "symbols", "marks", "repeats", "same_lines", "variety", "line_length", "pipes", "shouts")
 
 _CLASSES = np.zeros((5, 256), bool)
 _CLASSES[0, 65:91] = True                                            # capitals
@@ -54,27 +54,26 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of transformed statistics per text."""
     words = Words(data, off)
     n = words.count.astype(float)
-    some = np.maximum(n, 1)
     characters = row_sums(((data & 0xC0) != 0x80) & ~IS_SPACE[data], off)
-    chars = np.maximum(characters, 1)
     capitals, digits, symbols, marks, pipes = (row_sums(c[data], off) for c in _CLASSES)
     shouts = row_sums(data == 0x21, off)
     repeats = repeated_words(words.hashes, words.bounds)
     lines, same = repeated_lines(data, off, words.starts)
     variety = distinct_per_row(words.hashes, words.bounds)
+    # Shares of short texts are pulled towards those of plain prose by a few words, characters and lines added to the counts.
+    n_, chars_, lines_ = n + 20, characters + 110, lines + 4
     return np.column_stack((
-        np.log1p(n),
-        np.log1p(characters / some),
-        np.sqrt(capitals / chars),
-        np.sqrt(digits / chars),
-        np.sqrt(symbols / chars),
-        np.sqrt(marks / chars),
-        np.sqrt(repeats / some),
-        np.sqrt(same / np.maximum(lines, 1)),
-        np.log1p(variety) / np.log1p(some),
-        np.log1p(n / np.maximum(lines, 1)),
-        np.sqrt(pipes / chars),
-        np.sqrt(shouts / chars),
+        np.log1p(chars_ / n_),
+        np.sqrt(capitals / chars_),
+        np.sqrt(digits / chars_),
+        np.sqrt(symbols / chars_),
+        np.sqrt((marks + 4) / chars_),
+        np.sqrt(repeats / n_),
+        np.sqrt(same / lines_),
+        np.log1p(variety + 20) / np.log1p(n_),
+        np.log1p(n_ / lines_),
+        np.sqrt(pipes / chars_),
+        np.sqrt(shouts / chars_),
     ))
 
 
