@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -94,13 +95,12 @@ def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class PieceTokens:
     """Ids of pieces, filled by ``encode(list of bytes) -> list of id sequences``."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], pieces: int = 500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], pieces: int = 2_000_000):
         self.encode, self.most = encode, pieces
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice in order, and where each row's ids begin (rows + 1)."""
@@ -109,22 +109,22 @@ class PieceTokens:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         ends = np.append(starts[1:], len(data))
         hashes, example, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slot) + len(hashes) > self.most:
+        if len(self.keys) + len(hashes) > self.most:
             self.forget()
-        keys = hashes.tolist()
-        slots = [self.slot.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
+        place = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != hashes[inside]
+        if new.any():
             found = self.encode([data[starts[j]: ends[j]].tobytes() for j in example[new]])
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            base = len(self.size)
-            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.ids = np.concatenate((self.ids, *[np.asarray(x, np.int32) for x in found]))
-            for i, where in enumerate(new):
-                self.slot[keys[where]] = slots[where] = base + i
-        each = np.asarray(slots)[inverse]
-        size = self.size[each]
+            size = np.fromiter(map(len, found), np.int32, len(found))
+            self.first = np.insert(self.first, place[new], len(self.ids) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place[new], size)
+            self.keys = np.insert(self.keys, place[new], hashes[new])
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))))
+            place = np.searchsorted(self.keys, hashes)
+        each = place[inverse]
+        size = self.size[each].astype(np.int64)
         before = np.cumsum(size) - size
         total = int(size.sum())
         ids = self.ids[np.arange(total) + np.repeat(self.first[each] - before, size)]
