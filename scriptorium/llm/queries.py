@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixture import read_table
-from . import bpe, chat, language_id, quality_classifier, quality_rules, records
+from . import bpe, chat, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, records
 from .storage import fresh_folder
 
 QUERIES: dict = {}
@@ -73,3 +73,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(documents.where(~_held_out()))
     return language_id.identify(documents, model).select(
         "doc_id", _held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("bigint").alias("n_spans"))
+
+
+@_query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its place."""
+    return decontaminate.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its host's boilerplate lines."""
+    documents = read_table(spark, sf_dir, "documents")
+    return line_dedup.drop_boilerplate(documents, dropped="n_dropped").select("doc_id", "text", "n_dropped")
+
+
+ORACLE["op9_line_dedup"] = line_dedup.ORACLE_SQL
