@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixture import read_table
-from . import bpe, chat, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, records
+from . import bpe, chat, decontaminate, jaccard_join, language_id, licenses, line_dedup, quality_classifier, quality_rules, records
 from .storage import fresh_folder
 
 QUERIES: dict = {}
@@ -95,3 +95,10 @@ ORACLE["op9_line_dedup"] = line_dedup.ORACLE_SQL
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of every text that may name a licence, with its family."""
+    documents = read_table(spark, sf_dir, "documents")
+    return licenses.scan(documents, licenses.fit(spark, licenses.paragraphs_of(documents)))
