@@ -7,8 +7,8 @@ sets' Jaccard similarity is at least ``percent`` / 100.  Steps:
    documents names those that are that common in it, three times at least; one
    that is as common in the whole corpus is so in some chunk).  The list only
    orders shingles, rare ones first; results do not depend on it.
-2. Each document becomes a set key, a size, a count vector over ``GROUPS``
-   hashed groups, and its first ``size - ceil(percent * size / 100) + 1``
+2. Each document becomes a set key, a size, a count vector over hashed
+   groups, and its first ``size - ceil(percent * size / 100) + 1``
    shingles: linked sets share one of these at least.  Equal sets are one
    class from here on.
 3. Classes that share such a shingle form a block.  In a block an R-tree over
@@ -42,11 +42,10 @@ from pyspark.sql import functions as F
 
 from .batches import LOWER, mix, row_sums, rows_of, span_hashes, text_slices, word_spans
 from .components import components
-from .rtree import CountTree, Forest, enough
+from .rtree import CountTree, Forest, enough, vector_lengths
 from .storage import written
 from .wordstats import windows
 
-GROUPS = 64
 #: Share of documents from which a shingle is common, and shingles per chunk when counting them.
 COMMON, CHUNK = 1e-3, 4_000_000
 #: Most classes of a block in one task, and of a tile.
@@ -148,13 +147,16 @@ def _features(words: int, percent: int, shared, id_col: str, text_col: str):
         for rows, data, off in text_slices(batches, text_col):
             sets, bounds = shingle_sets(data, off, words)
             n = np.diff(bounds)
-            counts = np.bincount(rows_of(bounds) * GROUPS + (sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS).astype("<u4")
+            length = vector_lengths(n)
+            at = np.concatenate(([0], np.cumsum(length)))
+            row = rows_of(bounds)
+            counts = np.bincount(at[row] + (sets & (length - 1).astype(np.uint64)[row]).astype(np.int64), minlength=at[-1]).astype("<u2")
             # A set can only link with another one if it and one token more are similar enough.
             size = np.where(100 * n >= percent * (n + 1), n - (percent * n + 99) // 100 + 1, 0)
             prefix = _prefixes(sets, bounds, size, common, level).view(np.int64)
             yield pa.record_batch([
                 rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(n), pa.array(set_keys(sets, bounds)),
-                pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * GROUPS), len(n), [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary()),
+                pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * at).astype(np.int32).tobytes()), pa.py_buffer(counts.tobytes())]),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(prefix)),
             ], names=["doc_id", "n", "cls", "counts", "prefix"])
     return run
@@ -185,11 +187,8 @@ def _forests(percent: int):
             cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)
             if len(cls) > 1:
                 sizes = group.column("n").to_numpy()[first]
-                points = np.frombuffer(b"".join(x.as_py() for x in group.column("counts")), "<u4").reshape(-1, GROUPS)[first].astype(np.int32)
-                if len(cls) == 2:
-                    root = np.array([0, 0 if enough(np.minimum(points[0], points[1]).sum(), sizes.sum(), percent) else 1])
-                else:
-                    root = CountTree(points, sizes).connect(percent)
+                counts = group.column("counts")
+                root = CountTree([np.frombuffer(counts[i].as_py(), "<u2").astype(np.int64) for i in first.tolist()], sizes).connect(percent)
                 linked = np.flatnonzero(root != np.arange(len(cls)))
                 a.extend(cls[linked].tolist())
                 b.extend(cls[root[linked]].tolist())

@@ -3,6 +3,11 @@
 A point holds, per group of hashed tokens, how many of a set's tokens fall into
 the group.  Two sets share at most ``sum(min(a_g, b_g))`` tokens; for two nodes
 the same sum over the upper corners of their boxes bounds every pair below.
+
+Vectors have a power-of-two length of ``GROUPS`` or more, longer for larger
+sets; token h lies in group ``h mod length``, so a longer vector folds into a
+shorter one.  The tree is built on vectors folded to ``GROUPS``; pairs that it
+lets through are bounded again at the shorter of their own lengths.
 """
 
 from __future__ import annotations
@@ -10,6 +15,16 @@ from __future__ import annotations
 import numpy as np
 
 LEAF, FAN = 64, 16
+GROUPS = 64
+
+
+def vector_lengths(sizes: np.ndarray) -> np.ndarray:
+    """Groups of sets of these sizes: about an eighth of the size, ``GROUPS`` at least."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes / 8, GROUPS))).astype(np.int64)
+
+
+def folded(vector: np.ndarray, length: int) -> np.ndarray:
+    return vector.reshape(-1, length).sum(0)
 
 
 class Forest:
@@ -40,8 +55,10 @@ def enough(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 class CountTree:
     """Bulk-loaded tree: points sorted by size and then by their widest group are cut into leaves, leaves into nodes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vectors: list[np.ndarray], sizes: np.ndarray):
         n = len(sizes)
+        self.vectors = vectors
+        points = np.array([folded(v, GROUPS) for v in vectors], np.int32)
         order = np.argsort(sizes, kind="stable")
         slab = LEAF * max(1, int(np.ceil(np.sqrt(n / LEAF))))
         cut = []
@@ -81,6 +98,12 @@ class CountTree:
                 i, j = pairs[:, 0], pairs[:, 1]
         return i, j
 
+    def may_link(self, p: int, q: int, percent: int) -> bool:
+        """The bound at the shorter length of the two vectors."""
+        a, b = self.vectors[self.order[p]], self.vectors[self.order[q]]
+        length = min(len(a), len(b))
+        return bool(enough(np.minimum(folded(a, length), folded(b, length)).sum(), self.sizes[p] + self.sizes[q], percent))
+
     def connect(self, percent: int) -> np.ndarray:
         """For each point, the smallest point that it reaches over pairs that the bound allows.
 
@@ -109,8 +132,9 @@ class CountTree:
             bound = np.minimum(self.points[left, None], self.points[None, right]).sum(2, dtype=np.int64)
             bound = np.minimum(bound, np.minimum(self.sizes[left, None], self.sizes[None, right]))
             for p, q in np.argwhere(enough(bound, self.sizes[left, None] + self.sizes[None, right], percent)).tolist():
-                if p + left.start < q + right.start:
-                    forest.join(p + left.start, q + right.start)
+                p, q = p + left.start, q + right.start
+                if p < q and forest.root(p) != forest.root(q) and self.may_link(p, q, percent):
+                    forest.join(p, q)
         out = np.empty(n, np.int64)
         out[self.order] = self.order[forest.roots()]
         return out
