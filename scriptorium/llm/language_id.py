@@ -247,7 +247,7 @@ def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
             new = np.ones(len(labels), bool)
             new[1:] = (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(labels)) - 1
+            last = (np.append(first[1:], len(labels)) - 1)[:len(first)]
             base = runs.row_first[row[first]] if len(first) else first
             spans = pa.StructArray.from_arrays([pa.array(runs.starts[first] - base, pa.int64()), pa.array(runs.ends[last] - base, pa.int64()),
                                                 pa.array(names[labels[first]], pa.string())], names=["start", "end", "lang"])

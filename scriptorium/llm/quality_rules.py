@@ -28,8 +28,8 @@ from .batches import IS_SPACE, per_slice, row_sums, text_slices
 from .wordstats import Words, repeated_lines, repeated_words, windows
 
 BUCKETS = 1 << 16
-#: Occurrences added to every bucket of either multinomial.
-SMOOTHING = 1.0
+#: Occurrences added to every bucket in the target, and to those expected of it from the raw corpus: rare buckets say little.
+SMOOTHING = 8.0
 THRESHOLD = -0.1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -71,8 +71,7 @@ def log_ratios(raw: DataFrame, target: DataFrame, text_col: str = "text") -> np.
         t[row.bucket], r[row.bucket] = row.t, row.n
     if not t.sum() or not r.sum():
         return np.zeros(BUCKETS, np.float32)
-    t, r = t + SMOOTHING, r + SMOOTHING
-    return (np.log(t / t.sum()) - np.log(r / r.sum())).astype(np.float32)
+    return np.log((t + SMOOTHING) / (t.sum() * r / r.sum() + SMOOTHING)).astype(np.float32)
 
 
 def base_counts(data: np.ndarray, off: np.ndarray, words: Words) -> list[np.ndarray]:
