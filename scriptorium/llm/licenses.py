@@ -10,8 +10,8 @@ it was not trained on; below it a paragraph is ``unknown``.  A family is only
 reported if one of its templates agrees: at least ``LEAST_AGREEMENT`` of the
 template's word pairs occur in the paragraph.
 
-The corpus paragraphs for training are at most ``NEGATIVES``, those of the
-smallest hash (a documented bound); every paragraph of every text is scanned.
+The corpus paragraphs for training are at most ``NEGATIVES``, chosen by their
+hash (a documented bound); every paragraph of every text is scanned.
 
 Semantics: null and empty texts have no paragraphs; every paragraph with a
 stem is a row, unknown or not; paragraphs are numbered from 0 among all lines
@@ -142,8 +142,9 @@ def training_table(spark: SparkSession, paragraphs: DataFrame, negatives: int =
     pieces = windows.where(F.col("share") <= FRAGMENT_SHARE).select("words").distinct()
     positives = own.select(F.when(F.col("n") == 1, F.col("label")).otherwise(0.0).alias("label"), "words")
     fragments = pieces.join(own.select("words"), "words", "left_anti").select(F.lit(0.0).alias("label"), "words")
-    corpus = (paragraphs.where(~names_licence(F.col("paragraph")) & (F.trim("paragraph") != ""))
-              .select("paragraph", F.xxhash64("paragraph").alias("h")).orderBy("h", "paragraph").limit(negatives)
+    plain = (paragraphs.where(~names_licence(F.col("paragraph")) & (F.trim("paragraph") != "")).select("paragraph", F.xxhash64("paragraph").alias("h")))
+    step = max(1, plain.count() // max(1, negatives))
+    corpus = (plain.where(F.pmod("h", F.lit(step)) == 0).dropDuplicates(["h"]).orderBy("h").limit(negatives)
               .select(F.lit(0.0).alias("label"), word_list(F.col("paragraph")).alias("words")))
     return positives.unionByName(fragments).unionByName(corpus).withColumn("fold", F.pmod(F.xxhash64("words"), F.lit(5)))
 
