@@ -47,7 +47,7 @@ from .storage import written
 from .wordstats import windows
 
 #: Share of documents from which a shingle is common, and shingles per chunk when counting them.
-COMMON, CHUNK = 1e-3, 4_000_000
+COMMON, CHUNK = 1e-3, 2_000_000
 #: Most classes of a block in one task, and of a tile.
 BLOCK, TILE = 8192, 1024
 

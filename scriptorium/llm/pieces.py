@@ -95,7 +95,7 @@ def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class PieceTokens:
     """Ids of pieces, filled by ``encode(list of bytes) -> list of id sequences``."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], pieces: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], pieces: int = 1_000_000):
         self.encode, self.most = encode, pieces
         self.forget()
 
