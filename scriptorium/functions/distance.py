@@ -18,14 +18,6 @@ def edit_distance(a, b) -> Column:
     return F.levenshtein(_c(a), _c(b)).cast("bigint")
 
 
-def bounded_edit_distance(a, b, threshold: int) -> Column:
-    """SCA-1 with a cap: ``-1`` when the distance exceeds ``threshold``.
-
-    Bounded cost per pair, used where many candidates are scored (JOI-2).
-    """
-    return F.levenshtein(_c(a), _c(b), threshold).cast("bigint")
-
-
 def normalized_edit_distance(pred, ref) -> Column:
     """Edit distance after whitespace normalisation (numerator of AGG-1/AGG-2)."""
     return edit_distance(ws_normalize(pred), ws_normalize(ref))
@@ -73,12 +65,19 @@ def word_positions(pred, ref) -> Column:
     return F.greatest(F.size(words(pred)), F.size(words(ref))).cast("bigint")
 
 
+#: Distinct words of one pair that have a code point of their own (all but the surrogates and the first 256).
+MAX_PAIR_VOCABULARY = 0x110000 - 0x800 - 0x100
+
+
 def _word_codes(ws: Column, vocab: Column) -> Column:
-    # One BMP character per distinct word (U+4E00 + position in the pair's vocabulary).
-    return F.array_join(
-        F.transform(ws, lambda w: F.decode(
-            F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(vocab, w)), 4, "0")), "UTF-16BE")),
-        "")
+    # One character per distinct word: U+0100 and up by the word's place in the pair's vocabulary, past the surrogates.
+    def code(w: Column) -> Column:
+        at = F.array_position(vocab, w) + 0xFF
+        point = F.when(at < 0xD800, at).otherwise(at + 0x800)
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    return F.when(F.size(vocab) > MAX_PAIR_VOCABULARY, F.raise_error(F.lit(f"more than {MAX_PAIR_VOCABULARY} distinct words in one pair"))) \
+        .otherwise(F.array_join(F.transform(ws, code), ""))
 
 
 def with_word_edit_distance(df: DataFrame, pred: str, ref: str, out: str = "word_ed") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.distance import row_cer
 
@@ -16,11 +17,21 @@ BINS = 30
 def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
     """AGG-17: ``bins`` equal bins over [min, max], last bin closed; non-empty bins.
 
-    min == max widens the range to +-0.5 (all rows in the middle bin).  The
-    range is a parameter of the binning: one aggregate (partial per task, one
-    row back) fixes it, then the rows are binned and counted in a second pass.
+    min == max widens the range to +-0.5 (all rows in the middle bin).  An
+    integer column is counted by value first, in one pass over the rows, and
+    the small result is binned.  For other columns one aggregate fixes the
+    range, then the rows are binned and counted in a second pass.
     """
     x = F.col(col).cast("double")
+    if isinstance(df.schema[col].dataType, (T.IntegerType, T.LongType)):
+        values = df.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        ends = Window.partitionBy()  # over the distinct values
+        lo1, hi1 = F.min("x").over(ends), F.max("x").over(ends)
+        ranged = (values.where("x IS NOT NULL").select("x", "n", F.when(lo1 == hi1, lo1 - 0.5).otherwise(lo1).alias("lo"), F.when(lo1 == hi1, hi1 + 0.5).otherwise(hi1).alias("hi")))
+        b = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))).cast("bigint"), F.lit(bins - 1))
+        width = (F.col("hi") - F.col("lo")) / bins
+        return (ranged.groupBy(b.alias("bin"), "lo", "hi").agg(F.sum("n").alias("n"))
+                .select("bin", F.round(F.col("lo") + F.col("bin") * width, 6).alias("lower"), F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("upper"), "n"))
     lo0, hi0 = df.agg(F.min(x), F.max(x)).first()
     if lo0 is None:
         return df.sparkSession.createDataFrame([], "bin bigint, lower double, upper double, n bigint")

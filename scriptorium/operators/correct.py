@@ -7,21 +7,21 @@ its most frequent reading (ties: smallest text word) when seen at least
 combine map-side first, so a very frequent word (a third of all rows)
 reaches the shuffle as one partial count per task.
 
-JOI-3, apply: lines are split into word and whitespace tokens (whitespace is
-kept verbatim), tokens are joined to the lexicon, and lines are re-assembled
-in token order.  The join is left to AQE: it becomes a broadcast hash join
+JOI-3, apply: the distinct words of each line are joined to the lexicon
+(whitespace never is), the hits of a line become a map, and the line is
+rebuilt in its row.  The join is left to AQE: it becomes a broadcast hash join
 when the lexicon's measured size is under the broadcast threshold and stays
-a sort-merge join (with skew splitting) beyond it.  The regroup is per line,
-so each group is bounded by the line length.
+a sort-merge join (with skew splitting) beyond it.
 
 MOD-1, corrector seam: ``correct(df, corrector)`` accepts a DataFrame ->
-DataFrame function (e.g. the lexicon) or a pandas batch function run through
-``mapInPandas`` (a user-supplied model loaded once per task).
+DataFrame function (e.g. the lexicon) or a :class:`BatchCorrector`, a model
+loaded once per task and run through ``mapInPandas``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,15 +62,20 @@ def learn_lexicon(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "t
 
 def apply_lexicon(lines: DataFrame, lexicon: DataFrame, key=("page_id", "line_number"),
                   src: str = "ocr_prediction", out: str = "prediction") -> DataFrame:
-    """JOI-3: replace every word found in the lexicon; whitespace and unknown words are kept."""
+    """JOI-3: replace every word found in the lexicon; whitespace and unknown words are kept.
+
+    Only a line's distinct words meet the lexicon, and only hits come back, as
+    one map per line; the line is rebuilt in its own row from its own tokens.
+    """
     key = list(key)
-    toks = lines.select(*key, F.posexplode_outer(tokens(src)).alias("pos", "tok"))
-    lex = lexicon.select(F.col("ocr_word").alias("tok"), F.col("text_word").alias("_rep"))
-    joined = toks.join(lex, "tok", "left")
-    fixed = joined.select(*key, "pos", F.coalesce("_rep", "tok", F.lit("")).alias("t"))
-    rebuilt = fixed.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), "").alias(out))
-    return lines.join(rebuilt, key, "left")
+    found = lines.select(*key, F.explode(F.array_distinct(words(src))).alias("_word"))
+    lex = lexicon.select(F.col("ocr_word").alias("_word"), F.col("text_word").alias("_rep"))
+    hits = (found.join(lex, "_word").groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("_word", "_rep"))).alias("_hits")))
+    staged = lines.join(hits, key, "left").withColumn("_tokens", tokens(src))
+    rebuilt = F.array_join(F.transform("_tokens", lambda t: F.coalesce(F.element_at("_hits", t), t)), "")
+    return staged.select(*[F.col(c) for c in lines.columns],
+                         F.when(F.col("_hits").isNull(), F.coalesce(F.col(src), F.lit(""))).otherwise(rebuilt).alias(out))
 
 
 def confusion_table(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
@@ -82,31 +87,56 @@ def confusion_table(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str =
             .groupBy("ocr_char", "text_char").agg(F.count(F.lit(1)).alias("n")))
 
 
-def correct(df: DataFrame, corrector, src: str = "ocr_prediction", out: str = "prediction",
-            batch_fn: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class BatchCorrector:
+    """A model behind MOD-1: ``load()`` runs once per task and returns ``list[str] -> list[str]``."""
+
+    load: Callable[[], Callable[[list[str]], list[str]]]
+    batch_size: int = 8
+
+
+def correct(df: DataFrame, corrector, src: str = "ocr_prediction", out: str = "prediction", failed: str = "correction_failed") -> DataFrame:
     """MOD-1: run a corrector over ``src`` into ``out``.
 
     * DataFrame -> DataFrame function: called directly (native plans).
-    * ``batch_fn=True``: ``corrector(list[str]) -> list[str]`` over Arrow batches via
-      ``mapInPandas``; a failed batch falls back to the input (PRJ-6) and blank
-      lines are never sent (PRJ-5).
+    * :class:`BatchCorrector`: over Arrow batches via ``mapInPandas``, in lists of
+      ``batch_size`` lines.  Outputs are stripped.  When a list fails or comes
+      back with another length, its lines are tried one by one; a line that
+      fails alone keeps its input (PRJ-6) and is marked in ``failed``, so what
+      happens to a line does not depend on its neighbours.  Blank lines are
+      never sent (PRJ-5); null lines stay null.
     """
-    if not batch_fn:
+    if not isinstance(corrector, BatchCorrector):
         return corrector(df)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
-    fn: Callable = corrector
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType()), T.StructField(failed, T.BooleanType())])
+
+    def attempt(fn, texts):
+        fixed = list(fn(texts))
+        if len(fixed) != len(texts) or not all(isinstance(x, str) for x in fixed):
+            raise ValueError("a corrector returns one string per line")
+        return [x.strip() for x in fixed]
+
+    def one_by_one(fn, texts):
+        for text in texts:
+            try:
+                yield attempt(fn, [text])[0], False
+            except Exception:  # this line keeps its input and is counted
+                yield text, True
 
     def run(batches):
+        fn = corrector.load()
         for pdf in batches:
             texts = pdf[src]
-            blank = texts.isna() | (texts.fillna("").str.strip() == "")
-            result = pd.Series([""] * len(pdf), index=pdf.index, dtype=object)
-            todo = texts[~blank]
-            if len(todo):
+            result, bad = pd.Series([""] * len(pdf), index=pdf.index, dtype=object), pd.Series(False, index=pdf.index)
+            todo = texts.index[~(texts.isna() | (texts.fillna("").str.strip() == ""))]
+            for lo in range(0, len(todo), corrector.batch_size):
+                some = todo[lo:lo + corrector.batch_size]
+                lines = texts[some].tolist()
                 try:
-                    result[~blank] = list(fn(todo.tolist()))
-                except Exception:  # PRJ-6: failed correction keeps the input
-                    result[~blank] = todo
-            pdf[out] = result.where(~texts.isna(), None)
+                    done = [(x, False) for x in attempt(fn, lines)]
+                except Exception:
+                    done = list(one_by_one(fn, lines))
+                result[some], bad[some] = [x for x, _ in done], [f for _, f in done]
+            pdf[out], pdf[failed] = result.where(~texts.isna(), None), bad
             yield pdf
     return df.mapInPandas(run, schema)

@@ -64,6 +64,8 @@ def evaluation_columns(bleu: bool = True) -> list[Column]:
     cols += [
         exact_match_rate().alias("exact_match_accuracy"),
         char_accuracy_padded().alias("character_accuracy"),
+        char_accuracy_truncated().alias("character_accuracy_truncated"),
+        word_accuracy().alias("word_accuracy"),
         F.avg(F.col("ed").cast("double")).alias("edit_distance_mean"),
         F.stddev_pop(F.col("ed").cast("double")).alias("edit_distance_std"),
         F.median(F.col("ed").cast("double")).alias("edit_distance_median"),

@@ -1,10 +1,8 @@
 """Pair-table checks and joins: PRJ-1, PRJ-2, PRJ-8, JOI-1, JOI-2, JOI-4.
 
-JOI-2 (line alignment) is a band join rewritten as an equi-join: each
-verified line is exploded to the line numbers it may align with (+-k),
-joined on (page_id, line number), scored with a capped Levenshtein and the
-best candidate per OCR line kept with a partial-aggregating ``min(struct)``.
-Candidates per line are exactly 2k+1; no cap is needed for completeness.
+JOI-2 (line alignment) is a band join without a join: OCR and verified lines
+of a page meet per block of lines in one aggregate, and each OCR line is
+scored against the 2k+1 lines around it in its row.
 """
 
 from __future__ import annotations
@@ -32,6 +30,14 @@ def drop_incomplete(df: DataFrame, required=REQUIRED_PAIR_COLUMNS) -> DataFrame:
     return df.na.drop(subset=list(required))
 
 
+def incomplete_counts(df: DataFrame, required=REQUIRED_PAIR_COLUMNS) -> DataFrame:
+    """PRJ-2 report: rows in, kept and dropped, in one aggregate."""
+    complete = F.lit(True)
+    for c in required:
+        complete = complete & F.col(c).isNotNull()
+    return df.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(complete).alias("rows_kept"), F.count_if(~complete).alias("rows_dropped"))
+
+
 def default_line_ids(df: DataFrame, idx: str = "idx", col: str = "line_id") -> DataFrame:
     """PRJ-8: ``sample_{i}`` where the line id is missing."""
     return df.withColumn(col, F.coalesce(F.col(col), F.concat(F.lit("sample_"), F.col(idx).cast("string"))))
@@ -43,11 +49,15 @@ def pair_join(preds: DataFrame, refs: DataFrame, key=("page_id", "line_number"))
 
 
 def unpaired(left: DataFrame, right: DataFrame, key=("page_id", "line_number")) -> DataFrame:
-    """JOI-4: keys present on one side only, tagged with the side."""
+    """JOI-4: keys present on one side only, tagged with the side; one full outer join."""
     k = list(key)
-    lo = left.select(*k).join(right.select(*k), k, "left_anti").withColumn("side", F.lit("left_only"))
-    ro = right.select(*k).join(left.select(*k), k, "left_anti").withColumn("side", F.lit("right_only"))
-    return lo.unionByName(ro)
+    both = left.select(*k, F.lit(True).alias("_l")).join(right.select(*k, F.lit(True).alias("_r")), k, "full_outer")
+    return (both.where(F.col("_l").isNull() | F.col("_r").isNull())
+            .select(*k, F.when(F.col("_r").isNull(), "left_only").otherwise("right_only").alias("side")))
+
+
+#: Lines of a page that are aligned in one row; verified lines near an edge belong to both sides.
+ALIGN_BLOCK = 64
 
 
 def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, threshold: int = 16,
@@ -57,27 +67,31 @@ def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, thres
 
     Output: page, OCR line number, aligned reference line number, distance.
     Ties go to the nearest line number, then the smaller one.  Distances are
-    exact.  Pass 1 scores every candidate with the capped Levenshtein (cost
-    bounded by ``threshold``); a line whose best candidate is within the cap
-    is resolved, since every candidate above the cap is worse.  Pass 2
-    computes full distances only for lines with no candidate under the cap.
+    exact.  Both sides meet in one aggregate per (page, block of
+    ``ALIGN_BLOCK`` lines), a group of bounded size; verified lines within
+    ``band`` of a block's edge are repeated in the next block.  In the row,
+    candidates are scored with the capped Levenshtein first; only a line with
+    no candidate under the cap computes full distances.
     """
-    cand = ref_lines.select(page, F.col(num).alias("ref_line"), F.col(ref).alias("_ref"),
-                            F.explode(F.sequence(F.col(num) - band, F.col(num) + band)).alias(num))
-    o = ocr_lines.select(page, num, F.col(ocr).alias("_ocr"))
-    pairs = o.join(cand, [page, num], "inner")
-
-    def best(scored):
-        b = scored.groupBy(page, num).agg(F.min(F.struct(
-            F.col("d").alias("d"), F.abs(F.col("ref_line") - F.col(num)).alias("gap"),
-            F.col("ref_line").alias("r"))).alias("b"))
-        return b.select(page, num, F.col("b.r").alias("aligned_line"), F.col("b.d").cast("bigint").alias("distance"))
-
-    capped = F.levenshtein("_ocr", "_ref", threshold)
-    first = best(pairs.select(page, num, "ref_line",
-                              F.when(capped >= 0, capped).otherwise(F.lit(threshold + 1)).alias("d")))
-    resolved = first.where(F.col("distance") <= threshold)
-    open_lines = first.where(F.col("distance") > threshold).select(page, num)
-    second = best(pairs.join(open_lines, [page, num], "left_semi")
-                  .select(page, num, "ref_line", F.levenshtein("_ocr", "_ref").alias("d")))
-    return resolved.unionByName(second)
+    block = lambda n: F.floor(n / ALIGN_BLOCK)
+    o = ocr_lines.select(page, block(F.col(num)).alias("_b"), F.struct(F.col(num).alias("n"), F.col(ocr).alias("t")).alias("_o"),
+                         F.lit(None).cast("struct<n: bigint, t: string>").alias("_r"))
+    r = ref_lines.select(page, F.explode(F.array_distinct(F.array(block(F.col(num) - band), block(F.col(num) + band)))).alias("_b"),
+                         F.lit(None).cast("struct<n: bigint, t: string>").alias("_o"),
+                         F.struct(F.col(num).alias("n"), F.col(ref).alias("t")).alias("_r"))
+    blocks = o.union(r).groupBy(page, "_b").agg(F.collect_list("_o").alias("_os"), F.collect_list("_r").alias("_rs"))
+    lines = blocks.select(page, F.explode("_os").alias("_o"), "_rs")
+    near = lines.select(page, "_o", F.filter("_rs", lambda x: F.abs(x["n"] - F.col("_o.n")) <= band).alias("_near")).where(F.size("_near") > 0)
+
+    def scored(distance):
+        return F.array_min(F.transform("_near", lambda x: F.struct(
+            distance(F.col("_o.t"), x["t"]).alias("d"), F.abs(x["n"] - F.col("_o.n")).alias("gap"), x["n"].alias("r"))))
+
+    def capped(a, b):
+        d = F.levenshtein(a, b, threshold)
+        return F.when(d >= 0, d).otherwise(threshold + 1)
+
+    first = near.select(page, "_o", "_near", scored(capped).alias("_first"))
+    best = F.when(F.col("_first.d") <= threshold, F.col("_first")).otherwise(scored(F.levenshtein))
+    return (first.select(page, F.col("_o.n").alias(num), best.alias("_best"))
+            .select(page, num, F.col("_best.r").alias("aligned_line"), F.col("_best.d").cast("bigint").alias("distance")))

@@ -23,22 +23,20 @@ from ..session import ensure_checkpoint_dir
 _LOCAL_BITS = 33
 
 
-def _num_parts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def global_index(df: DataFrame, order_cols, out: str = "idx", with_total: str | None = None) -> DataFrame:
+    """WIN-1: dense 0-based index in ``order_cols`` order; optional total row count column.
 
-
-def global_index(df: DataFrame, order_cols, out: str = "idx", num_partitions: int | None = None,
-                 with_total: str | None = None) -> DataFrame:
-    """WIN-1: dense 0-based index in ``order_cols`` order; optional total row count column."""
+    All columns of ``df`` are checkpointed: select the ones needed first.  The
+    number of ranges is left to AQE, which sizes them by the data.
+    """
     order_cols = list(order_cols)
-    n = _num_parts(df, num_partitions)
     # Range bounds come from a sample of the input, and the sample depends on
     # the input order; the counting branch and the numbering branch must see
     # the same ranges.  A reliable checkpoint (shared spark.checkpoint.dir)
     # fixes the ranges once and cuts lineage, so retries and lost executors
     # re-read the same partitions instead of re-sampling.
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
               .checkpoint(eager=True)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_part", F.shiftright(F.col("_mid"), _LOCAL_BITS)) \

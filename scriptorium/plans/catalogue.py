@@ -51,7 +51,7 @@ SELECT lang,
 FROM pairs GROUP BY lang"""))
 def cer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     """Minimum slice: documents -> lines -> noise -> normalise -> levenshtein -> CER per language."""
-    pairs = load_pairs(spark, sf)
+    pairs = load_pairs(spark, sf, spread_out=True)
     parts = pairs.select("lang", F.levenshtein(ws_normalize("ocr_prediction"), ws_normalize("text")).alias("ed_norm"),
                          F.length(ws_normalize("text")).alias("ref_norm_len"))
     return parts.groupBy("lang").agg(
@@ -77,19 +77,20 @@ from ..operators import positions as POS  # noqa: E402
 from ..operators import training as TR  # noqa: E402
 from ..operators.scores import row_scores as _row_scores  # noqa: E402
 from ..schema import PREFIX_EVAL, PREFIX_INFER, PREFIX_TRAIN  # noqa: E402
-from ..sources.fixture import noise, spread  # noqa: E402
+from ..sources.fixture import noise  # noqa: E402
 from . import sqlparts as S  # noqa: E402
 
 KEY = ["page_id", "line_number"]
 
 
-def _pairs(spark, sf):
-    return load_pairs(spark, sf)
+def _pairs(spark, sf, heavy=False):
+    """Line pairs; ``heavy``: spread over the tasks ahead of edit distances, BLEU or patterns."""
+    return load_pairs(spark, sf, spread_out=heavy)
 
 
-def _predicted(spark, sf):
+def _predicted(spark, sf, heavy=False):
     """Pairs with a ``prediction``: blank lines -> '' (PRJ-5), else literal expansion of the OCR text."""
-    p = _pairs(spark, sf)
+    p = _pairs(spark, sf, heavy)
     return p.withColumn("prediction", F.when(ws_strip("ocr_prediction") == "", F.lit(""))
                         .otherwise(X.expand_literals("ocr_prediction")))
 
@@ -114,25 +115,33 @@ SELECT CAST(count(*) AS BIGINT) AS total_rows,
        round(avg(length(ocr_prediction)), 6) AS avg_len_ocr_prediction,
        round(avg(length(text)), 6) AS avg_len_text,
        CAST(count(*) FILTER (WHERE ocr_prediction IS NULL OR text IS NULL) AS BIGINT) AS rows_with_null
-FROM pairs"""))
+FROM gappy""", """gappy AS (
+  SELECT * REPLACE (CASE WHEN line_number % 11 = 3 THEN NULL ELSE ocr_prediction END AS ocr_prediction,
+                    CASE WHEN line_number % 13 = 5 THEN NULL ELSE text END AS text) FROM pairs)"""))
 def dataset_profile(spark, sf):
-    prof = M.dataset_profile(_pairs(spark, sf))
+    prof = M.dataset_profile(_with_gaps(_pairs(spark, sf)))
     return prof.select("total_rows", _r("avg_len_ocr_prediction").alias("avg_len_ocr_prediction"),
                        _r("avg_len_text").alias("avg_len_text"), "rows_with_null")
 
 
+GAPS_CTE = """gappy AS (
+  SELECT * REPLACE (CASE WHEN line_number % 11 = 3 THEN NULL ELSE ocr_prediction END AS ocr_prediction,
+                    CASE WHEN line_number % 13 = 5 THEN NULL ELSE text END AS text) FROM pairs)"""
+
+
+def _with_gaps(pairs):
+    """Pairs with NULLs in both text columns, by line number."""
+    gap = lambda c, m, r: F.when(F.col("line_number") % m == r, F.lit(None)).otherwise(F.col(c))
+    return pairs.withColumn("ocr_prediction", gap("ocr_prediction", 11, 3)).withColumn("text", gap("text", 13, 5))
+
+
 @query("null_drop", with_pairs("""
 SELECT CAST(count(*) AS BIGINT) AS rows_in,
        CAST(count(*) FILTER (WHERE ocr_prediction IS NOT NULL AND text IS NOT NULL) AS BIGINT) AS rows_kept,
        CAST(count(*) FILTER (WHERE ocr_prediction IS NULL OR text IS NULL) AS BIGINT) AS rows_dropped
-FROM pairs"""))
+FROM gappy""", GAPS_CTE))
 def null_drop(spark, sf):
-    p = _pairs(spark, sf)
-    kept = PR.drop_incomplete(p)
-    rows_in = p.agg(F.count(F.lit(1)).alias("rows_in"))
-    rows_kept = kept.agg(F.count(F.lit(1)).alias("rows_kept"))
-    return rows_in.select("rows_in", rows_kept.select("rows_kept").scalar().alias("rows_kept")) \
-        .select("rows_in", "rows_kept", (F.col("rows_in") - F.col("rows_kept")).alias("rows_dropped"))
+    return PR.incomplete_counts(_with_gaps(_pairs(spark, sf)))
 
 
 # ---------------------------------------------------------------------------
@@ -176,7 +185,7 @@ FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line
 def row_scores(spark, sf):
     # index the pairs first: the range sampling then re-reads cheap rows, and the
     # scoring runs once, on the balanced, checkpointed ranges
-    indexed = POS.global_index(_predicted(spark, sf), KEY, "sample_id")
+    indexed = POS.global_index(_predicted(spark, sf).select(*KEY, "ocr_prediction", "prediction", "text"), KEY, "sample_id")
     scores = _row_scores(indexed, key=KEY + ["sample_id"])
     return scores.select(*KEY, "sample_id", "ocr_input", "prediction", "ground_truth", "edit_distance",
                          _r("bleu_score").alias("bleu_score"), "input_length", "output_length", "target_length",
@@ -195,7 +204,7 @@ FROM (SELECT no, nt, {S.lev('np', 'nt')} AS d_after
       FROM (SELECT {S.norm('ocr_prediction')} AS no, {S.norm('prediction')} AS np, {S.norm('text')} AS nt FROM predicted))""",
     PRED_CTE))
 def cer_before_after(spark, sf):
-    p = _predicted(spark, sf)
+    p = _predicted(spark, sf, heavy=True)
     parts = p.select(D.normalized_edit_distance("ocr_prediction", "text").alias("before"),
                      D.normalized_edit_distance("prediction", "text").alias("ed_norm"),
                      F.length(ws_normalize("text")).alias("ref_norm_len"))
@@ -210,7 +219,7 @@ SELECT lang, CAST(sum(levenshtein({S.norm('ocr_prediction')}, {S.norm('text')}))
                 / nullif(sum(len({S.words('text')})), 0), 0.0) AS word_error_rate
 FROM pairs GROUP BY lang"""))
 def wer_char_numerator(spark, sf):
-    parts = _pairs(spark, sf).select("lang", D.normalized_edit_distance("ocr_prediction", "text").alias("ed_norm"),
+    parts = _pairs(spark, sf, heavy=True).select("lang", D.normalized_edit_distance("ocr_prediction", "text").alias("ed_norm"),
                                      F.size(words("text")).alias("ref_words"))
     return parts.groupBy("lang").agg(F.sum("ed_norm").cast("bigint").alias("char_errors"),
                                      F.sum("ref_words").cast("bigint").alias("ref_words"),
@@ -231,7 +240,7 @@ FROM (SELECT lang, wp, wr, list_distinct(list_concat(wp, wr)) AS v
 GROUP BY lang"""))
 def wer_standard(spark, sf):
     """AGG-15 (oracle codes words as ASCII characters, valid for < 128 distinct words per line pair)."""
-    parts = D.with_word_edit_distance(_pairs(spark, sf), "ocr_prediction", "text", "word_ed") \
+    parts = D.with_word_edit_distance(_pairs(spark, sf, heavy=True), "ocr_prediction", "text", "word_ed") \
         .select("lang", "word_ed", F.size(words("text")).alias("ref_words"))
     return parts.groupBy("lang").agg(F.sum("word_ed").cast("bigint").alias("word_errors"),
                                      F.sum("ref_words").cast("bigint").alias("ref_words"),
@@ -309,7 +318,7 @@ SELECT lang, round(avg(d), 6) AS edit_distance_mean, round(stddev_pop(d), 6) AS
        CAST(max(d) AS BIGINT) AS edit_distance_max
 FROM (SELECT lang, CAST(levenshtein(ocr_prediction, text) AS DOUBLE) AS d FROM pairs) GROUP BY ROLLUP (lang)"""))
 def edit_distance_stats(spark, sf):
-    p = _pairs(spark, sf).select("lang", D.edit_distance("ocr_prediction", "text").cast("double").alias("d"))
+    p = _pairs(spark, sf, heavy=True).select("lang", D.edit_distance("ocr_prediction", "text").cast("double").alias("d"))
     return p.rollup("lang").agg(_r(F.avg("d")).alias("edit_distance_mean"), _r(F.stddev_pop("d")).alias("edit_distance_std"),
                                 F.median("d").alias("edit_distance_median"), F.min("d").cast("bigint").alias("edit_distance_min"),
                                 F.max("d").cast("bigint").alias("edit_distance_max"))
@@ -318,7 +327,7 @@ def edit_distance_stats(spark, sf):
 @query("sentence_bleu", with_pairs("SELECT page_id, line_number, round(bleu_score, 6) AS bleu_score FROM bleu",
                                    *S.bleu_ctes("pairs", "page_id,line_number", "ocr_prediction", "text")))
 def sentence_bleu(spark, sf):
-    b = with_sentence_bleu(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), "ocr_prediction", "text")
+    b = with_sentence_bleu(_pairs(spark, sf, heavy=True).select(*KEY, "ocr_prediction", "text"), "ocr_prediction", "text")
     return b.select(*KEY, _r("bleu_score").alias("bleu_score"))
 
 
@@ -328,7 +337,7 @@ SELECT p.lang, round(avg(b.bleu_score), 6) AS bleu_score_mean, round(stddev_pop(
 FROM pairs p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number GROUP BY ROLLUP (p.lang)""",
     *S.bleu_ctes("pairs", "page_id,line_number", "ocr_prediction", "text")))
 def bleu_stats(spark, sf):
-    b = with_sentence_bleu(_pairs(spark, sf).select("lang", "ocr_prediction", "text"), "ocr_prediction", "text")
+    b = with_sentence_bleu(_pairs(spark, sf, heavy=True).select("lang", "ocr_prediction", "text"), "ocr_prediction", "text")
     return b.rollup("lang").agg(_r(F.avg("bleu_score")).alias("bleu_score_mean"),
                                 _r(F.stddev_pop("bleu_score")).alias("bleu_score_std"),
                                 F.count(F.lit(1)).cast("bigint").alias("total_samples"))
@@ -345,6 +354,10 @@ SELECT lang,
        coalesce(CAST(sum(len(list_filter(range(1, greatest(len({pc}), len({rc})) + 1),
                  lambda i: coalesce(({pc})[i], ' ') = coalesce(({rc})[i], ' ')))) AS DOUBLE)
                 / nullif(sum(greatest(len({pc}), len({rc}))), 0), 0.0) AS character_accuracy,
+       coalesce(CAST(sum(len(list_filter(range(1, least(len({pc}), len({rc})) + 1), lambda i: ({pc})[i] = ({rc})[i]))) AS DOUBLE)
+                / nullif(sum(greatest(len({pc}), len({rc}))), 0), 0.0) AS character_accuracy_truncated,
+       coalesce(CAST(sum(len(list_filter(range(1, least(len(pw), len(rw)) + 1), lambda i: pw[i] = rw[i]))) AS DOUBLE)
+                / nullif(sum(greatest(len(pw), len(rw))), 0), 0.0) AS word_accuracy,
        round(avg(d), 6) AS edit_distance_mean,
        round(stddev_pop(d), 6) AS edit_distance_std,
        CAST(median(d) AS DOUBLE) AS edit_distance_median,
@@ -352,7 +365,7 @@ SELECT lang,
        CAST(count(*) FILTER (WHERE sp = st) AS BIGINT) AS exact_matches
 FROM (SELECT *, {S.lev('np', 'nt')} AS dn, {S.lev('prediction', 'text')} AS d
       FROM (SELECT p.lang, p.prediction, p.text, b.bleu_score, {S.norm('p.prediction')} AS np, {S.norm('p.text')} AS nt,
-                   {S.strip('p.prediction')} AS sp, {S.strip('p.text')} AS st
+                   {S.strip('p.prediction')} AS sp, {S.strip('p.text')} AS st, {S.words('p.prediction')} AS pw, {S.words('p.text')} AS rw
             FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number))
 GROUP BY ROLLUP (lang)"""
 
@@ -361,11 +374,11 @@ GROUP BY ROLLUP (lang)"""
                                        *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
 def evaluation_report(spark, sf):
     """AGG-21: the evaluator's whole metric set in one aggregate, per language plus the total row."""
-    parts = score_parts(_predicted(spark, sf), pred="prediction", ref="text")
+    parts = score_parts(_predicted(spark, sf, heavy=True), pred="prediction", ref="text")
     rep = M.evaluate(parts, by=["lang"], rollup=True)
     return rep.select("lang", "character_error_rate", "word_error_rate", _r("bleu_score_mean").alias("bleu_score_mean"),
                       _r("bleu_score_std").alias("bleu_score_std"), "exact_match_accuracy", "character_accuracy",
-                      _r("edit_distance_mean").alias("edit_distance_mean"),
+                      "character_accuracy_truncated", "word_accuracy", _r("edit_distance_mean").alias("edit_distance_mean"),
                       _r("edit_distance_std").alias("edit_distance_std"), "edit_distance_median",
                       F.col("total_samples").cast("bigint").alias("total_samples"),
                       F.col("exact_matches").cast("bigint").alias("exact_matches"))
@@ -388,13 +401,13 @@ def strip_marks(spark, sf):
 @query("expand_full")
 def expand_full(spark, sf):
     """SCA-6c over every line (look-around patterns: checked against a Python model in tests)."""
-    return _pairs(spark, sf).select(*KEY, "text", X.expand_abbreviations("text").alias("text_converted"))
+    return _pairs(spark, sf, heavy=True).select(*KEY, "text", X.expand_abbreviations("text").alias("text_converted"))
 
 
 @query("conversion_stats")
 def conversion_stats(spark, sf):
     """AGG-13: total rows, changed rows (PRJ-9), percentage changed."""
-    conv = _pairs(spark, sf).select(X.changed_flag("text", X.expand_abbreviations("text")).alias("changed"))
+    conv = _pairs(spark, sf, heavy=True).select(X.changed_flag("text", X.expand_abbreviations("text")).alias("changed"))
     return conv.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("changed").alias("changed_rows")) \
         .select("total_rows", "changed_rows",
                 F.round(F.try_divide(F.col("changed_rows") * 100.0, F.col("total_rows")), 6).alias("pct_changed"))
@@ -514,7 +527,7 @@ SELECT page_id, line_number, idx, split,
        array_to_string({_ids_sql('text')}, ',') AS labels
 FROM labeled WHERE ocr_prediction IS NOT NULL AND text IS NOT NULL""", SPLIT_CTE))
 def training_table(spark, sf):
-    t = TR.training_table(_pairs(spark, sf), KEY)
+    t = TR.training_table(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY)
     return t.select(*KEY, "idx", "split", F.array_join("input_ids", ",").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("mask_ones"),
                     F.array_join("labels", ",").alias("labels"))
@@ -545,7 +558,7 @@ LEX_CTES = [SPLIT_CTE, f"""wp AS (
 
 
 def _lexicon_parts(spark, sf):
-    s = POS.positional_split(_pairs(spark, sf), KEY)
+    s = POS.positional_split(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY)
     lex = C.learn_lexicon(s.where(F.col("split") == "train"))
     return s, lex
 
@@ -617,7 +630,7 @@ def _page_ocr_lines(spark, sf):
     o = d.select(F.col("doc_id").alias("page_id"),
                  F.posexplode(F.regexp_extract_all(noise("text", F.lit(1)), F.lit(".{1,48}"), 0))
                  .alias("line_number", "ocr_prediction"))
-    return spread(o.withColumn("line_number", F.col("line_number").cast("bigint")))
+    return o.withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
 @query("pair_join", with_pairs(f"""
@@ -721,7 +734,7 @@ _TOP_COLS = "page_id, line_number, edit_distance, improvement, ocr_input, predic
 
 
 def _scores(spark, sf, bleu=False):
-    p = _predicted(spark, sf)
+    p = _predicted(spark, sf, heavy=True)
     s = _row_scores(p, key=KEY + ["lang", "source"], bleu=bleu)
     return s
 
@@ -797,7 +810,7 @@ LOG_CTE = f"""mlog AS (
 
 def _metric_log(spark, sf):
     """Evaluation log: one row per (run = language, step = block of 25 pages)."""
-    parts = _pairs(spark, sf).select(
+    parts = _pairs(spark, sf, heavy=True).select(
         F.col("lang").alias("run"), F.floor(F.col("page_id") / 25).cast("bigint").alias("step"),
         D.normalized_edit_distance("ocr_prediction", "text").alias("ed_norm"),
         F.length(ws_normalize("text")).alias("ref_norm_len"))
@@ -893,7 +906,7 @@ FROM (SELECT page_id, line_number, idx, split, {S.sql_str(PREFIX_TRAIN)} || ocr_
       FROM labeled WHERE split = 'train' ORDER BY idx LIMIT 2)""", SPLIT_CTE))
 def decoded_examples(spark, sf):
     """TOP-3: the first 2 training examples decoded back from their byte tokens (a top-k by position)."""
-    t = TR.training_table(_pairs(spark, sf), KEY).where(F.col("split") == "train")
+    t = TR.training_table(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY).where(F.col("split") == "train")
     first = TR.first_examples(t, 2)
     return first.select(*KEY, "idx", "split", decode_tokens("input_ids").alias("input_text"),
                         decode_tokens("labels").alias("label_text"))

@@ -24,7 +24,7 @@ from ..operators import analysis as A
 from ..operators import metrics as M
 from ..operators import pages as P
 from ..operators.correct import correct
-from ..operators.pairs import drop_incomplete
+from ..operators.pairs import default_line_ids, drop_incomplete
 from ..operators.positions import global_index, split_report
 from ..operators.scores import blank_short_circuit, fallback, score_parts
 from ..operators.training import training_table
@@ -34,32 +34,32 @@ from ..sources import readers as R
 from ..sources import sinks as K
 
 
-def _order_key(df: DataFrame) -> list[str]:
-    return ["page_id", "line_number"] if {"page_id", "line_number"} <= set(df.columns) else ["line_id"]
-
-
 def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=None) -> DataFrame:
     """Evaluate a corrector on a test CSV; writes metrics JSON, error CSV and examples; returns metrics."""
-    pairs = drop_incomplete(R.read_test_csv(spark, test_csv))
-    key = _order_key(pairs)
-    t0 = time.time()
+    ensure_checkpoint_dir(spark)
+    pairs = drop_incomplete(R.read_test_csv(spark, test_csv)).select(R.POSITION, "ocr_prediction", "text")
+    indexed = global_index(pairs, [R.POSITION], "sample_id").drop(R.POSITION)
+    t0 = time.time()  # AGG-10 times the prediction alone
     if corrector is None:
-        fixed = pairs.withColumn("prediction", F.col("ocr_prediction"))
+        fixed = indexed.withColumn("prediction", F.col("ocr_prediction"))
     else:
-        fixed = correct(pairs, corrector, "ocr_prediction", "prediction")
+        fixed = correct(indexed, corrector, "ocr_prediction", "prediction").withColumn("prediction", ws_strip("prediction"))
     fixed = fallback(blank_short_circuit(fixed, "ocr_prediction", "prediction"), "ocr_prediction", "prediction")
-    ensure_checkpoint_dir(spark)
-    scored = score_parts(fixed, "prediction", "text", ocr="ocr_prediction").checkpoint(eager=True)
+    if corrector is not None:
+        fixed = fixed.checkpoint(eager=True)
     elapsed = time.time() - t0
+    scored = score_parts(fixed, "prediction", "text", ocr="ocr_prediction").checkpoint(eager=True)
     metrics = M.evaluate(scored).select("*", F.lit(elapsed).alias("evaluation_time_seconds"),
                                         (F.col("total_samples") / F.lit(max(elapsed, 1e-9))).alias("samples_per_second"))
     K.write_metrics_json(metrics, f"{out_dir}/metrics")
-    rows = scored.select(*key, F.col("ocr_prediction").alias("ocr_input"), "prediction",
+    K.append_metric_log(metrics.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("character_error_rate").alias("cer"),
+                                       F.col("bleu_score_mean").alias("bleu"), F.col("edit_distance_mean").alias("edit_distance"),
+                                       F.col("total_samples").alias("eval_samples")), f"{out_dir}/metrics_log")
+    rows = scored.select("sample_id", F.col("ocr_prediction").alias("ocr_input"), "prediction",
                          F.col("text").alias("ground_truth"), F.col("ed").alias("edit_distance"), "bleu_score",
                          F.length("ocr_prediction").alias("input_length"), F.length("prediction").alias("output_length"),
                          F.length("text").alias("target_length"), F.col("ocr_ed").alias("ocr_errors"),
                          (F.col("ocr_ed") - F.col("ed")).alias("improvement"))
-    rows = global_index(rows, key, "sample_id")
     K.write_rows_csv(rows.select("sample_id", "ocr_input", "prediction", "ground_truth", "edit_distance", "bleu_score",
                                  "input_length", "output_length", "target_length", "ocr_errors", "improvement"),
                      f"{out_dir}/detailed_error_analysis")
@@ -75,14 +75,14 @@ def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=N
 
 def training_table_job(spark: SparkSession, pair_csv: str, out_dir: str, max_len: int = 128) -> DataFrame:
     """MOD-4 job: writes Parquet partitioned by split and a one-row summary; returns the split report."""
-    raw = R.read_pair_csv(spark, pair_csv)
+    raw = R.read_pair_csv(spark, pair_csv).select(R.POSITION, "ocr_prediction", "text")
     profile = M.dataset_profile(raw)
-    key = _order_key(raw)
-    table = training_table(raw, key, max_len=max_len)
+    t0 = time.time()
+    table = training_table(raw, [R.POSITION], max_len=max_len).drop(R.POSITION)
     table.write.mode("overwrite").partitionBy("split").parquet(f"{out_dir}/training_table")
     written = spark.read.parquet(f"{out_dir}/training_table")
     report = split_report(written)
-    K.write_metrics_json(profile.select(F.lit(pair_csv).alias("dataset_path"), "*", F.lit(max_len).alias("max_length")),
+    K.write_metrics_json(profile.select(F.lit(pair_csv).alias("dataset_path"), "*", F.lit(max_len).alias("max_length"), F.lit(time.time() - t0).alias("preparation_seconds")),
                          f"{out_dir}/training_summary/profile")
     K.write_metrics_json(report, f"{out_dir}/training_summary/splits")
     return report
@@ -91,7 +91,7 @@ def training_table_job(spark: SparkSession, pair_csv: str, out_dir: str, max_len
 def conversion_job(spark: SparkSession, input_csv: str, output_csv: str | None = None) -> DataFrame:
     """Abbreviation expansion of a CSV's ``text`` column; returns the statistics row."""
     df = R.read_converter_csv(spark, input_csv)
-    conv = df.withColumn("text_converted", expand_abbreviations("text"))
+    conv = df.drop(R.POSITION).withColumn("text_converted", expand_abbreviations("text"))
     K.write_rows_csv(conv, output_csv or K.converted_path(input_csv))
     stats = conv.agg(F.count(F.lit(1)).alias("total_rows"),
                      F.count_if(changed_flag("text", "text_converted")).alias("changed_rows"))
@@ -103,12 +103,11 @@ def inference_eval_job(spark: SparkSession, jsonl: str, out_dir: str, corrector=
                        prefix: str = PREFIX_INFER) -> DataFrame:
     """JSONL evaluation: exact match, truncated character accuracy, word accuracy (SNK-4)."""
     samples = R.read_jsonl(spark, jsonl)
-    samples = global_index(samples.withColumn("_pos", F.monotonically_increasing_id()), ["_pos"], "idx")
-    samples = samples.withColumn("line_id", F.coalesce("line_id", F.concat(F.lit("sample_"), F.col("idx").cast("string"))))
+    samples = default_line_ids(global_index(samples, [R.POSITION], "idx"))
     base = samples.select("idx", "line_id", remove_prefix("input", prefix).alias("original_ocr"),
                           F.col("target").alias("ground_truth"))
     fixed = (base.withColumn("prediction", F.col("original_ocr")) if corrector is None
-             else correct(base, corrector, "original_ocr", "prediction"))
+             else correct(base, corrector, "original_ocr", "prediction").withColumn("prediction", ws_strip("prediction")))
     fixed = fallback(fixed, "original_ocr", "prediction")
     parts = fixed.select("*", D.exact_match("prediction", "ground_truth").alias("exact"),
                          D.truncated_char_matches("prediction", "ground_truth").alias("trunc_match"),
@@ -135,7 +134,7 @@ def page_job(spark: SparkSession, segmentation: DataFrame, recognised: DataFrame
     joined = lines.join(recognised, ["page_id", "line_number"], "left") \
         .withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))
     fixed = (joined.withColumn("corrected_text", F.col("ocr_text")) if corrector is None
-             else correct(joined, corrector, "ocr_text", "corrected_text"))
+             else correct(joined, corrector, "ocr_text", "corrected_text").withColumn("corrected_text", ws_strip("corrected_text")))
     fixed = fixed.withColumn("corrected_text", F.when(ws_strip("ocr_text") == "", F.lit(""))
                              .otherwise(F.coalesce("corrected_text", "ocr_text")))
     blocks = P.assemble_blocks(fixed, "page_id", "line_number", "corrected_text")

@@ -1,7 +1,8 @@
 """Session set-up shared by jobs, tests and the bench.
 
-A cluster brings its own configuration; these defaults only fill in what is
-unset, so nothing here overrides a production ``spark-defaults.conf``.
+A cluster brings its own configuration.  :func:`build_session` is for local
+runs; the checkpoint folder is always read from the session and only chosen
+here, by :func:`ensure_checkpoint_dir`, for a local master without one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -31,8 +33,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     conf["spark.driver.memory"] = os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "16g")
     if extra:
         conf.update(extra)
-    # Local runs only: a scratch checkpoint folder when none is configured.
-    conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scriptorium-ckpt-"))
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

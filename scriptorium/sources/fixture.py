@@ -10,8 +10,9 @@ both Spark and the SQL oracle evaluate identically:
   ``c->e``; insert ``m->rn``; delete `` a``/``li->h``), every 4th line clean.
 
 The explode is narrow (no shuffle).  Documents vary from one word to twenty
-thousand, so a single scan task can emit most lines; :func:`spread` hashes
-lines on their full key to even out the CPU-heavy scoring that follows.
+thousand, so a single scan task can emit most lines; ahead of CPU-heavy
+scoring :func:`spread` evens lines out, with a partition count that AQE takes
+from the data's size.
 """
 
 from __future__ import annotations
@@ -59,14 +60,12 @@ def line_pairs(documents: DataFrame, keep=("lang", "source")) -> DataFrame:
     return with_noise(document_lines(documents, keep), keep)
 
 
-def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Hash lines on (page_id, line_number): even tasks even when one page is huge."""
-    if num_partitions is None:
-        num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(num_partitions, "page_id", "line_number")
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance lines on (page_id, line_number): even tasks even when one page is huge."""
+    return df.hint("rebalance", "page_id", "line_number")
 
 
-def load_pairs(spark: SparkSession, sf_dir: str, keep=("lang", "source"), spread_out: bool = True) -> DataFrame:
+def load_pairs(spark: SparkSession, sf_dir: str, keep=("lang", "source"), spread_out: bool = False) -> DataFrame:
     """Line pairs of the ``documents`` table.  With ``spread_out`` the exploded
     lines are hashed across tasks first and the noise is computed after the
     shuffle, in parallel."""

@@ -42,20 +42,36 @@ def na_to_null(df: DataFrame, cols=None) -> DataFrame:
                        if c in cols else F.col(c) for c in df.columns])
 
 
-def read_csv_strings(spark: SparkSession, path: str, sep: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with header, every column STRING, pandas-compatible quoting, multi-line cells."""
+POSITION = "_position"
+
+
+def file_position() -> F.Column:
+    """A row's place in file order: file, offset of the split in it, place in the split; only valid on a scan."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def read_csv_strings(spark: SparkSession, path: str, sep: str, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with header, every column STRING, pandas-compatible quoting; ``POSITION`` holds the file order.
+
+    A row with more cells than the header raises, as it would in pandas.
+    ``multi_line=False`` is for files whose cells hold no line breaks: Spark
+    can then split a file over many tasks.
+    """
     columns = columns or _columns(header_line(spark, path), sep)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus"]])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
+          .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("encoding", "UTF-8").csv(path))
-    return na_to_null(df)
+    message = F.concat(F.lit("more cells than columns, first surplus cell: "), F.col("_surplus"))
+    checked = [F.when(F.col("_surplus").isNotNull(), F.raise_error(message)).otherwise(F.col(columns[0])).alias(columns[0]), *columns[1:]]
+    return na_to_null(df.select(*checked, file_position().alias(POSITION)), columns)
 
 
 def read_pair_csv(spark: SparkSession, path: str, sep: str = ";",
-                  required=REQUIRED_PAIR_COLUMNS) -> DataFrame:
+                  required=REQUIRED_PAIR_COLUMNS, multi_line: bool = True) -> DataFrame:
     """SRC-1: line-pair CSV (``;``), required columns checked at plan time (PRJ-1)."""
-    df = require_columns(read_csv_strings(spark, path, sep), required)
+    df = require_columns(read_csv_strings(spark, path, sep, multi_line=multi_line), required)
     if "line_number" in df.columns:
         df = df.withColumn("line_number", F.col("line_number").cast("int"))
     return df
@@ -82,8 +98,8 @@ def read_converter_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-4: JSONL test samples ``{input, target, line_id?}``; a malformed line fails the read."""
-    return spark.read.schema(JSONL_SCHEMA).option("mode", "FAILFAST").json(path)
+    """SRC-4: JSONL test samples ``{input, target, line_id?}`` in file order; a malformed line fails the read."""
+    return spark.read.schema(JSONL_SCHEMA).option("mode", "FAILFAST").json(path).select("*", file_position().alias(POSITION))
 
 
 def list_pages(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

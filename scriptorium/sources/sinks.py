@@ -26,22 +26,22 @@ WORST_TITLE = "WORST CORRECTION CASES (Highest Edit Distance)"
 BEST_TITLE = "BEST IMPROVEMENT CASES"
 
 
-def _ordered_text(rows: DataFrame, page: str, order: list[str], text: str, out: str, num_partitions: int | None) -> None:
-    n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (rows.repartitionByRange(n, page, *order).sortWithinPartitions(page, *order)
+def _ordered_text(rows: DataFrame, page: str, order: list[str], text: str, out: str) -> None:
+    (rows.repartitionByRange(page, *order).sortWithinPartitions(page, *order)
      .select(page, F.col(text).alias("value")).write.mode("overwrite").partitionBy(page).text(out))
 
 
-def write_page_text(blocks: DataFrame, out: str, page: str = "page_id", num_partitions: int | None = None) -> None:
+def write_page_text(blocks: DataFrame, out: str, page: str = "page_id") -> None:
     """SNK-1: one folder per page holding the corrected text (blocks in order, see AGG-16)."""
-    _ordered_text(blocks, page, ["block"], "text", out, num_partitions)
+    _ordered_text(blocks, page, ["block"], "text", out)
 
 
 def write_line_report(lines: DataFrame, out: str, page: str = "page_id", source: str = "image_path",
-                      device: str = "spark", num_partitions: int | None = None) -> None:
+                      device: str = "spark", page_source: str | None = None) -> None:
     """SNK-2: detailed per-line report per page (header, one block per line, combined text).
 
     ``lines``: page, line_number, ocr_text, corrected_text, image_path, optional bbox struct.
+    ``page_source`` names the column with the page's own image; without it the header shows the page.
     """
     has_bbox = "bbox" in lines.columns
     bbox_txt = (F.when(F.col("bbox").isNotNull(), F.format_string(
@@ -51,7 +51,7 @@ def write_line_report(lines: DataFrame, out: str, page: str = "page_id", source:
         F.format_string("Line %d:\n  Original OCR: %s\n  Corrected:    %s\n  Image:        %s",
                         "line_number", F.coalesce("ocr_text", F.lit("")), F.coalesce("corrected_text", F.lit("")),
                         F.coalesce(F.col(source), F.lit(""))), bbox_txt, F.lit("\n" + LINE_RULE)).alias("t"))
-    stats = lines.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.first(source).alias("src"))
+    stats = lines.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.min(page_source or page).cast("string").alias("src"))
     head = stats.select(page, F.lit(0).alias("sec"), F.lit(0).cast("bigint").alias("o"), F.format_string(
         f"{REPORT_TITLE}\n{REPORT_RULE}\n\nSource Image: %s\nTotal Lines: %d\nProcessing Device: {device}\n",
         F.coalesce("src", F.lit("")), "n").alias("t"))
@@ -60,7 +60,7 @@ def write_line_report(lines: DataFrame, out: str, page: str = "page_id", source:
     final = lines.select(page, F.lit(3).alias("sec"), F.col("line_number").cast("bigint").alias("o"),
                          F.coalesce("corrected_text", F.lit("")).alias("t"))
     rows = head.unionByName(body).unionByName(foot).unionByName(final)
-    _ordered_text(rows, page, ["sec", "o"], "t", out, num_partitions)
+    _ordered_text(rows, page, ["sec", "o"], "t", out)
 
 
 def write_metrics_json(metrics: DataFrame, out: str) -> None:

@@ -1,87 +1,85 @@
-"""Small independent Python versions of the measured quantities (test oracles)."""
+"""Plain versions of the measured quantities, from their definitions (test oracles)."""
 
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import zip_longest
+
+PAD = object()
+
+
+def edit_distance(a, b):
+    """Fewest insertions, deletions and substitutions that turn sequence ``a`` into ``b``: a recursion on prefixes."""
+    a, b = tuple(a), tuple(b)
+
+    @lru_cache(maxsize=None)
+    def prefixes(i, j):
+        if not i or not j:
+            return i + j
+        if a[i - 1] == b[j - 1]:
+            return prefixes(i - 1, j - 1)
+        return 1 + min(prefixes(i - 1, j), prefixes(i, j - 1), prefixes(i - 1, j - 1))
+
+    # Fill the memory diagonal by diagonal, so the recursion stays shallow.
+    for k in range(max(len(a), len(b)) + 1):
+        prefixes(min(k, len(a)), min(k, len(b)))
+    return prefixes(len(a), len(b))
 
 
 def lev(a, b):
-    if len(a) < len(b):
-        a, b = b, a
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a):
-        cur = [i + 1]
-        for j, cb in enumerate(b):
-            cur.append(min(prev[j + 1] + 1, cur[j] + 1, prev[j] + (ca != cb)))
-        prev = cur
-    return prev[-1]
+    return edit_distance(a, b)
+
+
+def word_lev(p, r):
+    return edit_distance(p.split(), r.split())
 
 
 def norm(s):
     return " ".join(s.split())
 
 
+def agreement(p, r, fill):
+    """Equal places of two sequences when the shorter one is filled up, and the number of places."""
+    places = list(zip_longest(p, r, fillvalue=fill))
+    return sum(x == y for x, y in places), len(places)
+
+
 def padded(p, r):
-    p, r = p.strip(), r.strip()
-    m = max(len(p), len(r))
-    return sum(a == b for a, b in zip(p.ljust(m), r.ljust(m))), m
+    return agreement(p.strip(), r.strip(), " ")
 
 
 def truncated(p, r):
-    p, r = p.strip(), r.strip()
-    return sum(p[i] == r[i] for i in range(min(len(p), len(r)))), max(len(p), len(r))
+    return agreement(p.strip(), r.strip(), PAD)
 
 
 def word_acc(p, r):
-    pw, rw = p.strip().split(), r.strip().split()
-    return sum(pw[i] == rw[i] for i in range(min(len(pw), len(rw)))), max(len(pw), len(rw))
+    return agreement(p.split(), r.split(), PAD)
 
 
 def tok13a(line):
     line = line.rstrip()
-    line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
-    line = line.replace("&quot;", '"').replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        line = line.replace(old, new)
     line = f" {line} "
-    line = re.sub(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ", line)
-    line = re.sub(r"([^0-9])([\.,])", r"\1 \2 ", line)
-    line = re.sub(r"([\.,])([^0-9])", r" \1 \2", line)
-    line = re.sub(r"([0-9])(-)", r"\1 \2 ", line)
+    # The rules of the 13a tokenisation.
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
+                        (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        line = re.sub(pattern, by, line)
     return line.split()
 
 
 def bleu(hyp, ref):
+    """Sentence BLEU: brevity penalty times the geometric mean of clipped precisions, empty ones halved ever again."""
     h, r = tok13a(hyp), tok13a(ref)
-    correct, total = [], []
-    for n in range(1, 5):
-        hg = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
-        rg = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
-        correct.append(sum(min(c, rg[g]) for g, c in hg.items()))
-        total.append(max(len(h) - n + 1, 0))
-    if not any(correct):
+    grams = lambda words, n: Counter(zip(*(words[k:] for k in range(n))))
+    hits = [sum((grams(h, n) & grams(r, n)).values()) for n in range(1, 5)]
+    if not sum(hits):
         return 0.0
-    bp = 1.0 if len(h) >= len(r) else math.exp(1 - len(r) / len(h))
-    logs, smooth, eff = [], 1.0, 4
-    for n in range(4):
-        if total[n] == 0:
-            break
-        eff = n + 1
-        if correct[n] == 0:
-            smooth *= 2
-            logs.append(math.log(1.0 / (smooth * total[n])))
-        else:
-            logs.append(math.log(correct[n] / total[n]))
-    return bp * math.exp(sum(logs[:eff]) / eff)
-
-
-def word_lev(p, r):
-    return lev_seq(p.split(), r.split())
-
-
-def lev_seq(a, b):
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        cur = [i + 1]
-        for j, y in enumerate(b):
-            cur.append(min(prev[j + 1] + 1, cur[j] + 1, prev[j] + (x != y)))
-        prev = cur
-    return prev[-1]
+    order = min(4, len(h))
+    empty, logs = 0, 0.0
+    for n in range(1, order + 1):
+        empty += not hits[n - 1]
+        share = hits[n - 1] or 0.5 ** empty
+        logs += math.log(share / (len(h) - n + 1))
+    return min(1.0, math.exp(1 - len(r) / len(h))) * math.exp(logs / order)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators.correct import apply_lexicon, confusion_table, correct, learn_lexicon
+from scriptorium.operators.correct import BatchCorrector, apply_lexicon, confusion_table, correct, learn_lexicon
 
 
 def _pairs(spark):
@@ -26,16 +26,25 @@ def test_confusion(spark):
     assert t[("b", "h")] == 4
 
 
-def test_batch_corrector_with_fallback(spark):
-    df = spark.createDataFrame([("abc",), ("  ",), (None,), ("boom",)], "ocr_prediction string")
+def test_batch_corrector_falls_back_line_by_line(spark):
+    df = spark.createDataFrame([("abc",), ("  ",), (None,), ("boom",), ("xyz",), ("short",)], "ocr_prediction string")
 
-    def upper(texts):
-        if "boom" in texts:
-            raise RuntimeError("model failure")
-        return [t.upper() for t in texts]
-    out = correct(df.repartition(1), upper, batch_fn=True).collect()
-    got = {r["ocr_prediction"]: r["prediction"] for r in out}
-    assert got["  "] == ""          # blank line never sent
-    assert got[None] is None
-    assert got["boom"] == "boom"     # failure keeps the input
-    assert got["abc"] == "abc"       # same batch as the failure -> input kept
+    def load():
+        def upper(texts):
+            if "boom" in texts:
+                raise RuntimeError("model failure")
+            return [f" {t.upper()} " for t in texts if t != "short"]
+        return upper
+
+    for size in (1, 2, 100):
+        out = correct(df.repartition(1), BatchCorrector(load, size)).collect()
+        got = {r["ocr_prediction"]: (r["prediction"], r["correction_failed"]) for r in out}
+        assert got == {"abc": ("ABC", False), "  ": ("", False), None: (None, False), "boom": ("boom", True),
+                       "xyz": ("XYZ", False), "short": ("short", True)}
+
+
+def test_whitespace_and_repeated_words_in_application(spark):
+    lex = spark.createDataFrame([("a", "b"), ("b", "c")], "ocr_word string, text_word string")
+    lines = spark.createDataFrame([(1, 0, " a  a b\ta "), (1, 1, "z"), (1, 2, None), (1, 3, "  ")], "page_id long, line_number long, ocr_prediction string")
+    out = {r["line_number"]: r["prediction"] for r in apply_lexicon(lines, lex).collect()}
+    assert out == {0: " b  b c\tb ", 1: "z", 2: "", 3: "  "}

@@ -119,6 +119,37 @@ def test_evaluation_and_training_jobs(spark, tmp):
     assert t.where("split = 'train'").select(F.max("idx")).first()[0] == 31
 
 
+def test_input_without_keys_and_file_order(spark, tmp):
+    """Two columns are enough, and rows are numbered and split in file order, not by their ids."""
+    lines = [f"t {i};p {i}" for i in range(12)]
+    p = _write(f"{tmp}/two.csv", "text;ocr_prediction\n" + "\n".join(lines) + "\n")
+    assert jobs.evaluation_job(spark, p, f"{tmp}/eval2").first()["total_samples"] == 12
+    rows = spark.read.option("header", True).csv(f"{tmp}/eval2/detailed_error_analysis").collect()
+    assert {int(r["sample_id"]): r["ground_truth"] for r in rows} == {i: f"t {i}" for i in range(12)}
+    assert spark.read.option("header", True).csv(f"{tmp}/eval2/metrics_log").first()["eval_samples"] == "12"
+    p = _write(f"{tmp}/ids.csv", "line_id;text;ocr_prediction;page_id;line_number\n" + "".join(f"p_line_{i};t{i};o{i};p;{i}\n" for i in range(20)))
+    jobs.training_table_job(spark, p, f"{tmp}/train2")
+    from scriptorium.functions.tokens import decode_tokens
+    t = spark.read.parquet(f"{tmp}/train2/training_table").select("idx", "split", decode_tokens("labels").alias("t")).collect()
+    assert {r["idx"]: r["t"] for r in t} == {i: f"t{i}" for i in range(20)}
+    assert {r["idx"] for r in t if r["split"] == "test"} == {18, 19}
+
+
+def test_surplus_cells_raise(spark, tmp):
+    p = _write(f"{tmp}/s.csv", "text;ocr_prediction\na;b\nc;d;EXTRA\n")
+    with pytest.raises(Exception, match="EXTRA"):
+        R.read_pair_csv(spark, p).collect()
+    p = _write(f"{tmp}/few.csv", "text;ocr_prediction;x\na;b\n")
+    assert R.read_pair_csv(spark, p, multi_line=False).select("text", "ocr_prediction", "x").first() == ("a", "b", None)
+
+
+def test_corrector_in_jobs(spark, tmp):
+    from scriptorium.operators.correct import BatchCorrector
+    p = _write(f"{tmp}/c.csv", "text;ocr_prediction\nthe cat;tbe cat\nthe dog;tbe dog\n")
+    fix = BatchCorrector(lambda: lambda texts: [t.replace("tbe", "the") + " " for t in texts])
+    assert jobs.evaluation_job(spark, p, f"{tmp}/ce", fix).first()["exact_matches"] == 2
+
+
 def test_metric_log_append(spark, tmp):
     row = spark.createDataFrame([("2024-01-01 00:00:00", 0.1, 0.5, 1.0, 10)],
                                 "timestamp string, cer double, bleu double, edit_distance double, eval_samples long")
