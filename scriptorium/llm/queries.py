@@ -42,7 +42,8 @@ def _held_out(id_col: str = "doc_id"):
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the n-gram verdict of every text; the trusted target is the documents labelled good."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    # Always a merge join: labels grow with the documents, and a plan that changes with their size could not be projected.
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
     ratios = quality_rules.log_ratios(documents, documents.join(good, "doc_id", "left_semi"))
     return quality_rules.judge(documents, ratios)
 
