@@ -237,6 +237,13 @@ def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), flat], names=batch.schema.names[:2])
 
 
+def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded binary) of every row, in one pass with one Python worker per task."""
+    first, second = encode_rows(path, id_col, text_col), decode_rows(path, id_col)
+    return df.select(id_col, text_col).mapInArrow(lambda it: second(first(it)),
+                                                  f"{id_col} {_id_type(df, id_col)}, token_ids array<int>, decoded binary")
+
+
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every row in one pass; (id, n_tokens, ids_sha256, decoded_sha256)."""
     first, second, third = encode_rows(path, id_col, text_col), decode_rows(path, id_col), _digests(path, id_col)
