@@ -50,7 +50,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: (doc_id, n_tokens, token_ids, decoded_sha256), the last from the bytes that the ids decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.decode(bpe.encode(docs, path), path)
+    encoded = bpe.encode_and_decode(docs, path)
     return encoded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
