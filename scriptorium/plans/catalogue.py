@@ -77,7 +77,7 @@ from ..operators import positions as POS  # noqa: E402
 from ..operators import training as TR  # noqa: E402
 from ..operators.scores import row_scores as _row_scores  # noqa: E402
 from ..schema import PREFIX_EVAL, PREFIX_INFER, PREFIX_TRAIN  # noqa: E402
-from ..sources.fixture import noise  # noqa: E402
+from ..sources.fixture import noise, spread  # noqa: E402
 from . import sqlparts as S  # noqa: E402
 
 KEY = ["page_id", "line_number"]
@@ -88,11 +88,13 @@ def _pairs(spark, sf, heavy=False):
     return load_pairs(spark, sf, spread_out=heavy)
 
 
+def _prediction():
+    return F.when(ws_strip("ocr_prediction") == "", F.lit("")).otherwise(X.expand_literals("ocr_prediction"))
+
+
 def _predicted(spark, sf, heavy=False):
     """Pairs with a ``prediction``: blank lines -> '' (PRJ-5), else literal expansion of the OCR text."""
-    p = _pairs(spark, sf, heavy)
-    return p.withColumn("prediction", F.when(ws_strip("ocr_prediction") == "", F.lit(""))
-                        .otherwise(X.expand_literals("ocr_prediction")))
+    return _pairs(spark, sf, heavy).withColumn("prediction", _prediction())
 
 
 PRED_CTE = (f"predicted AS (SELECT *, CASE WHEN {S.strip('ocr_prediction')} = '' THEN '' "
@@ -183,9 +185,9 @@ SELECT p.page_id, p.line_number, CAST(row_number() OVER (ORDER BY p.page_id, p.l
 FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number""",
     PRED_CTE, *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
 def row_scores(spark, sf):
-    # index the pairs first: the range sampling then re-reads cheap rows, and the
-    # scoring runs once, on the balanced, checkpointed ranges
-    indexed = POS.global_index(_predicted(spark, sf).select(*KEY, "ocr_prediction", "prediction", "text"), KEY, "sample_id")
+    # index the narrow pairs first, then spread them for the scoring, which runs once
+    indexed = spread(POS.global_index(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY, "sample_id"))
+    indexed = indexed.withColumn("prediction", _prediction())
     scores = _row_scores(indexed, key=KEY + ["sample_id"])
     return scores.select(*KEY, "sample_id", "ocr_input", "prediction", "ground_truth", "edit_distance",
                          _r("bleu_score").alias("bleu_score"), "input_length", "output_length", "target_length",
@@ -696,7 +698,7 @@ SELECT page_id, CAST(line_number // 256 AS BIGINT) AS block, min(line_number) AS
 FROM predicted GROUP BY page_id, line_number // 256""", PRED_CTE))
 def assemble_pages(spark, sf):
     """AGG-16: corrected lines joined in order, as bounded blocks of 256 lines per page."""
-    b = P.assemble_blocks(_predicted(spark, sf), "page_id", "line_number", "prediction")
+    b = P.assemble_blocks(_predicted(spark, sf, heavy=True), "page_id", "line_number", "prediction")
     return b.select("page_id", "block", "first_line", F.col("n_lines").cast("bigint").alias("n_lines"), "text")
 
 
