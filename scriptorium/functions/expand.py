@@ -108,7 +108,7 @@ WORD_PATTERNS = [
     (f"{_B}sp̄?irit[ūu]s?{_E}", "spiritus"),
 ]
 
-# Combining marks removed at the end.
+# Combining marks removed at the end; a set, each written once in code-point order (order has no effect).
 COMBINING_MARKS = "̀́̂̃̄̆̇̈̊̋̌"
 
 
