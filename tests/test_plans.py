@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 
 def _plan(df):

@@ -11,7 +11,7 @@ from scriptorium.operators.scores import score_parts
 from scriptorium.sources.fixture import load_pairs
 from scriptorium.streaming import streams as ST
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 
 def test_stream_metric_log_equals_batch(spark):
