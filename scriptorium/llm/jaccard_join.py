@@ -14,8 +14,9 @@ sets' Jaccard similarity is at least ``percent`` / 100.  Steps:
 3. Classes that share such a shingle form a block.  In a block an R-tree over
    the count vectors finds the pairs whose overlap, bounded by summed
    coordinate minima, allows a link.  Only a spanning forest of them leaves
-   the task.  A block of more than ``BLOCK`` classes is cut, and every two of
-   its parts meet in a task.
+   the task.  A block of more than ``BLOCK`` classes is cut by hash, and every
+   two of its parts meet in a task.  Block sizes come from a pre-aggregated
+   count, so no key's rows meet in one task.
 4. The forests' components are clusters: every link lies in one.  Exact
    overlaps are computed inside clusters, from the shingles themselves; large
    clusters are cut into tiles like large blocks.
@@ -37,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import LOWER, mix, row_sums, rows_of, span_hashes, text_slices, word_spans
@@ -48,8 +49,8 @@ from .wordstats import windows
 
 #: Share of documents from which a shingle is common, and shingles per chunk when counting them.
 COMMON, CHUNK = 1e-3, 2_000_000
-#: Most classes of a block in one task, and of a tile.
-BLOCK, TILE = 8192, 1024
+#: Classes of a block that stay together in one task, and of a tile.
+BLOCK, TILE = 2048, 1024
 
 _FEATURES = "doc_id bigint, n bigint, cls bigint, counts binary, prefix array<bigint>"
 
@@ -206,22 +207,35 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): spanning forests, block by block, of the pairs of classes that may link."""
     postings = classes.select("cls", F.explode("prefix").alias("key"))
-    counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
-    # Blocks with the same members are one block.
-    small = (counted.where(F.col("c") <= BLOCK).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("members"))
-             .select("members", F.xxhash64("members").alias("task"), F.hash("members").alias("h"))
-             .groupBy("task", "h").agg(F.first("members").alias("members"))
-             .select("task", F.explode("members").alias("cls")))
-    half = BLOCK // 2
-    parts = F.ceil(F.col("c") / half).cast("int")
-    part = ((F.row_number().over(Window.partitionBy("key").orderBy("cls")) - 1) / half).cast("int")
-    large = (counted.where(F.col("c") > BLOCK).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-             .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "cls"))
+    # Size and members' checksum of each block, pre-aggregated; blocks with the same members are one block.
+    blocks = (postings.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+              .where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"))
+    members = postings.join(blocks, "key").select("key", "cls", _parts("c", BLOCK // 2, BLOCK).alias("parts"))
     points = classes.select("cls", "n", "counts")
-    return (small.unionByName(large).join(points, "cls").repartition("task").sortWithinPartitions("task")
+    return (members.withColumn("part", _part("cls", "parts")).withColumn("other", _others("parts"))
+            .select(_task("key", "part", "other"), "cls").join(points, "cls").repartition("task").sortWithinPartitions("task")
             .mapInArrow(_forests(percent), "a bigint, b bigint"))
 
 
+def _parts(count: str, size: int, whole: int) -> Column:
+    """Number of parts of about ``size`` rows; up to ``whole`` rows stay together."""
+    return F.when(F.col(count) <= whole, 1).otherwise(F.ceil(F.col(count) / size)).cast("int")
+
+
+def _part(member: str, parts: str) -> Column:
+    """A member's part, by its hash: needs neither an order nor the other members."""
+    return F.pmod(F.xxhash64(member, F.lit(2)), F.col(parts)).cast("int")
+
+
+def _others(parts: str) -> Column:
+    """One row per part that the row's part meets, itself included."""
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _task(group: str, part: str, other: str) -> Column:
+    return F.xxhash64(group, F.least(part, other), F.greatest(part, other)).alias("task")
+
+
 def _shingled(words: int):
     """Rows with a text -> the same rows with their shingles instead; rows whose set is not that of their class go."""
     def run(batches):
@@ -297,14 +311,14 @@ def link_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col: str
     classes = sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix"))
     known = sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     clusters = components(candidate_edges(classes, percent)).withColumnsRenamed({"node": "cls", "root": "cluster"})
-    # Tiles of the clusters, by size.
-    sized = (clusters.join(known, "cls").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
-             .withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls")) - 1)
-             .select("cluster", "cls", "rep", "copies", (F.col("place") / TILE).cast("int").alias("tile"), F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    # Tiles of the clusters.
+    clusters = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster")
+    sized = (clusters.join(known, "cls").withColumn("tiles", _parts("m", TILE, TILE))
+             .select("cluster", "cls", "rep", "copies", _part("cls", "tiles").alias("tile"), "tiles"))
     shingled = (documents.join(sized, F.col("doc_id") == F.col("rep")).select("cluster", "cls", "copies", "tile", "tiles", "text")
                 .mapInArrow(_shingled(words), "cluster bigint, cls bigint, copies bigint, tile int, tiles int, shingles binary"))
-    tasks = (shingled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select(F.xxhash64("cluster", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"), "cls", "copies", "tile",
+    tasks = (shingled.withColumn("other", _others("tiles"))
+             .select(_task("cluster", "tile", "other"), "cls", "copies", "tile",
                      (F.col("tile") == F.col("other")).alias("same"), "shingles"))
     verified = written(tasks.repartition("task").sortWithinPartitions("task")
                        .mapInArrow(_verified(percent), "cls bigint, root bigint, links bigint"), "verified-links")
