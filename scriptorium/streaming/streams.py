@@ -6,7 +6,8 @@ The same column expressions as the batch jobs run per micro-batch:
   aggregate per micro-batch, appended through ``foreachBatch``.  Each batch
   writes its own ``batch_id=N`` folder with overwrite, so a replayed batch
   (after a failure) replaces its row instead of duplicating it.
-* STR-2 stateless expansion of arriving lines into an append-only sink.
+* STR-2 stateless expansion (literals, or the full conversion) of arriving
+  lines into an append-only sink.
 * STR-3 event-time tumbling-window CER: events (``ts`` wall clock read as
   UTC, so results do not depend on the session time zone) with a watermark, joined stream-static to per-document error counts, then
   ``groupBy(window)``; complete output rewritten per batch, so the final
@@ -69,12 +70,17 @@ def stream_metrics_log(spark: SparkSession, sf_dir: str, out: str | None = None)
     return f"{out}/log"
 
 
-def stream_expand(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
-    """STR-2: expansion of arriving OCR lines into an append-only Parquet sink."""
+def stream_expand(spark: SparkSession, sf_dir: str, out: str | None = None, conversion=X.expand_literals) -> str:
+    """STR-2: expansion of arriving OCR lines into an append-only Parquet sink.
+
+    ``conversion`` maps the recognised text to the prediction; the full
+    conversion with patterns and marks is ``expand_abbreviations``.  A job
+    restarted with the same ``out`` goes on where the last one stopped.
+    """
     out = out or _work_dir(spark, "expand")
     pairs = line_pairs(table_stream(spark, sf_dir, "documents"))
     fixed = pairs.select("page_id", "line_number", "ocr_prediction",
-                         X.expand_literals("ocr_prediction").alias("prediction"))
+                         conversion("ocr_prediction").alias("prediction"))
     q = (fixed.writeStream.format("parquet").option("path", f"{out}/data")
          .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append")
          .trigger(availableNow=True).start())

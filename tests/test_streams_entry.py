@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from scriptorium.functions import expand as X
 from scriptorium.operators.scores import score_parts
 from scriptorium.sources.fixture import load_pairs
 from scriptorium.streaming import streams as ST
@@ -29,6 +30,20 @@ def test_stream_window_sums_equal_totals(spark):
     assert tot == events
 
 
+def test_stream_full_expansion_equals_batch_and_restarts(spark, tmp_path):
+    out = str(tmp_path / "expand")
+    data = ST.stream_expand(spark, SF_SMALL, out, conversion=X.expand_abbreviations)
+    columns = ["page_id", "line_number", "ocr_prediction", "prediction"]
+    batch = load_pairs(spark, SF_SMALL).withColumn("prediction", X.expand_abbreviations("ocr_prediction")).select(columns)
+    streamed = spark.read.parquet(data).select(columns)
+    n = batch.count()
+    assert streamed.count() == n > 0
+    assert batch.exceptAll(streamed).isEmpty()
+    # Started again on the same folder, nothing is left to do and nothing is written twice.
+    ST.stream_expand(spark, SF_SMALL, out, conversion=X.expand_abbreviations)
+    assert spark.read.parquet(data).count() == n
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
