@@ -874,8 +874,8 @@ FROM events e JOIN docerr d ON e.event_id % (SELECT count(*) FROM documents) = d
 GROUP BY ALL""", f"""docerr AS (SELECT page_id, sum(levenshtein({S.norm('ocr_prediction')}, {S.norm('text')})) AS errors,
                            sum(length({S.norm('text')})) AS chars FROM pairs GROUP BY page_id)"""))
 def stream_window_cer(spark, sf):
-    """STR-3: watermarked tumbling-window CER over event time (complete output = batch result)."""
-    return spark.read.parquet(ST.stream_window_cer(spark, sf))
+    """STR-3: watermarked tumbling-window CER over event time (last state of each window = batch result)."""
+    return ST.latest_windows(spark, ST.stream_window_cer(spark, sf))
 
 
 @query("score_correlations", with_pairs("""

@@ -9,9 +9,11 @@ The same column expressions as the batch jobs run per micro-batch:
 * STR-2 stateless expansion (literals, or the full conversion) of arriving
   lines into an append-only sink.
 * STR-3 event-time tumbling-window CER: events (``ts`` wall clock read as
-  UTC, so results do not depend on the session time zone) with a watermark, joined stream-static to per-document error counts, then
-  ``groupBy(window)``; complete output rewritten per batch, so the final
-  table equals the batch query.
+  UTC, so results do not depend on the session time zone) with a watermark,
+  joined stream-static to per-document error counts, then ``groupBy(window)``
+  in update mode: state ends with the watermark and later rows are dropped.
+  Each batch writes the windows that it changed to its own ``batch_id=N``
+  folder, so a replay replaces them; ``latest_windows`` reads their last state.
 
 Outputs and checkpoints live under the shared checkpoint folder named by
 ``spark.checkpoint.dir``; triggers are ``availableNow`` (process what is
@@ -40,9 +42,9 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    """File-source stream over one table of a folder of Parquet tables."""
+    """File-source stream over one table of a folder of Parquet tables: ``table.parquet`` and later ``table-*.parquet``."""
     schema = read_table(spark, sf_dir, table).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}{{,-*}}.parquet")
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
@@ -137,9 +139,16 @@ def stream_window_cer(spark: SparkSession, sf_dir: str, out: str | None = None,
                      F.col("chars").cast("bigint").alias("chars"),
                      F.coalesce(F.try_divide(F.col("errors").cast("double"), F.col("chars").cast("double")),
                                 F.lit(0.0)).alias("cer")) \
-            .write.mode("overwrite").parquet(f"{out}/result")
+            .write.mode("overwrite").parquet(f"{out}/result/batch_id={batch_id}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return f"{out}/result"
+
+
+def latest_windows(spark: SparkSession, result: str) -> DataFrame:
+    """Last state of each window from the folders that ``stream_window_cer`` wrote."""
+    values = ["events", "errors", "chars", "cer"]
+    last = spark.read.parquet(result).groupBy("window_start", "window_end").agg(F.max_by(F.struct(*values), "batch_id").alias("last"))
+    return last.select("window_start", "window_end", "last.*")

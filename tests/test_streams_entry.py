@@ -1,8 +1,12 @@
 """Streams equal their batch equivalents; the driver contract runs; oracle agreement at sf0.001."""
 
 import math
+import os
+from datetime import datetime
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,12 +28,33 @@ def test_stream_metric_log_equals_batch(spark):
 
 
 def test_stream_window_sums_equal_totals(spark):
-    res = spark.read.parquet(ST.stream_window_cer(spark, SF_SMALL))
+    res = ST.latest_windows(spark, ST.stream_window_cer(spark, SF_SMALL))
     tot = res.agg(F.sum("events").alias("e")).first()["e"]
     events = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
     assert tot == events
 
 
+def test_window_stream_updates_windows_and_drops_late_rows(spark, tmp_path):
+    folder, out = tmp_path / "tables", str(tmp_path / "out")
+    folder.mkdir()
+    os.symlink(f"{SF_SMALL}/documents.parquet", folder / "documents.parquet")
+    events = pq.read_table(f"{SF_SMALL}/events.parquet").slice(0, 3)
+
+    def put(name, *times):
+        stamps = pa.array([datetime.fromisoformat(t) for t in times]).cast(events.schema.field("ts").type)
+        at = events.schema.get_field_index("ts")
+        pq.write_table(events.slice(0, len(times)).set_column(at, events.schema.field("ts"), stamps), folder / name)
+
+    def counts(result):
+        return {r.window_start[:10]: r.events for r in ST.latest_windows(spark, result).collect()}
+
+    put("events.parquet", "2024-01-05 10:00:00", "2024-01-07 10:00:00", "2024-01-07 11:00:00")
+    assert counts(ST.stream_window_cer(spark, str(folder), out)) == {"2024-01-05": 1, "2024-01-07": 2}
+    # A restarted job: one more row for the open day, and one for a day that the watermark has closed.
+    put("events-2.parquet", "2024-01-07 12:00:00", "2024-01-05 11:00:00")
+    assert counts(ST.stream_window_cer(spark, str(folder), out)) == {"2024-01-05": 1, "2024-01-07": 3}
+
+
 def test_stream_full_expansion_equals_batch_and_restarts(spark, tmp_path):
     out = str(tmp_path / "expand")
     data = ST.stream_expand(spark, SF_SMALL, out, conversion=X.expand_abbreviations)
