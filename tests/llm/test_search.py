@@ -202,6 +202,19 @@ def test_line_dedup_equals_plain(spark):
     assert ld.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_drops_lines_shared_by_unrelated_documents(spark):
+    shared = {"Read our newsletter every week.": 60, "All prices include tax.": 14, "Back to the top of the page.": 6, "A rare coincidence of words.": 4}
+    rows = [(i, "\n".join([prose(i, 12), *(line for line, n in shared.items() if i % (500 // n) == 0 and i // (500 // n) < n), prose(1000 + i, 12)]), "big") for i in range(500)]
+    rows += [(2000 + i, f"{prose(2000 + i, 12)}" + ("\nMENU" if i < 4 else "") + ("\nHOME" if i < 5 else ""), "small") for i in range(20)]
+    rows += [(5000 + i, f"own {i}" + ("\nrare" if i < 10 else "") + ("\ncommon" if i < 11 else ""), "huge") for i in range(2000)]
+    out = {r.doc_id: r.text for r in ld.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    left = "\n".join(out.values()).split("\n")
+    assert {line: left.count(line) for line in shared} == {**dict.fromkeys(shared, 0), "A rare coincidence of words.": 4}
+    assert (left.count("MENU"), left.count("HOME")) == (4, 0)  # fewer than LEAST_PAGES pages of a small host are no boilerplate
+    assert (left.count("rare"), left.count("common")) == (10, 0)  # the ratio of a large host
+    assert all(prose(i, 12) in out[i] for i in range(500))
+
+
 def test_line_dedup_of_repeated_and_null_ids(spark):
     rows = [(None, f"top\nown {i}", "h") for i in range(10)] + [(1, "top\nx", "h"), (1, "top\nx", "g")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
