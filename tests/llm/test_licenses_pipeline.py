@@ -1,6 +1,7 @@
 """Operator 6 and the corpus pipeline."""
 
 import hashlib
+import textwrap
 
 import pytest
 
@@ -8,7 +9,7 @@ import corpus_pipeline
 from scriptorium.llm import licenses
 from scriptorium.llm.queries import ORACLE, QUERIES
 
-from helpers import HARD_TEXTS, table
+from helpers import HARD_TEXTS, prose, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +35,35 @@ def test_templates_and_strangers(spark, model):
     assert not set(got) & set(range(first + 4, len(texts)))
 
 
+def test_wrapped_notices(spark, model):
+    known = [(family, text) for family, texts in licenses.TEMPLATES.items() for text in texts if len(text) > 100]
+    wrapped = [(family, "\n".join(textwrap.wrap(text, width, initial_indent=mark, subsequent_indent=mark)))
+               for family, text in known for width, mark in ((70, ""), (80, ""), (72, " * "), (40, "# "))]
+    texts = [f"A file of ours\n\nwritten by hand\n{text}\nand more words of another kind" for _, text in wrapped]
+    inside = [(family, f"{prose(i, 300)} {text} {prose(i + 50, 300)}") for i, (family, text) in enumerate(known)]
+    got = {}
+    for r in licenses.scan(table(spark, texts + [t for _, t in inside]), model).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph_no, r.family))
+    assert len(wrapped) >= 20 and {f for f, _ in known} >= {"MIT", "BSD", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0"}
+    assert {i: got.get(i) for i in range(len(texts))} == {i: [(3, family)] for i, (family, _) in enumerate(wrapped)}
+    assert [got.get(len(texts) + i) for i in range(len(inside))] == [[(0, family)] for family, _ in inside]
+
+
+def test_names_without_a_stem(spark, model):
+    names = {"Released under GPL-3.0.": "GPL-3.0", "Available under CC BY 4.0.": "CC-BY-4.0", "Released under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Released under the MIT.": "MIT",
+             "Released under Apache-2.0.": "Apache-2.0", "To the extent possible under law, the author has waived all related or neighboring rights to this work.": "CC0-1.0"}
+    assert not any(stem in name.lower() for name in names for stem in licenses.STEMS)
+    texts = [f"some words\n{name}\n\nmore" for name in names] + ["to the author\n\nof this\n\nwork"]
+    got = sorted((r.doc_id, r.paragraph_no, r.family) for r in licenses.scan(table(spark, texts), model).collect())
+    assert got == [(i, 1, family) for i, family in enumerate(names.values())]
+
+
+def test_every_agreeing_paragraph_has_an_anchor():
+    for n, (_, words) in enumerate(licenses.NOTICES, 1):
+        pairs = set(licenses._pairs(words))
+        assert len(pairs - {p for p, k, *_ in licenses.ANCHORS if k == n}) < licenses.LEAST_AGREEMENT * len(pairs)
+
+
 def test_scan_finds_every_planted_line(spark):
     lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
