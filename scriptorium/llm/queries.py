@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixture import read_table
-from . import bpe, chat, decontaminate, jaccard_join, language_id, licenses, line_dedup, quality_classifier, quality_rules, records
+from . import (
+    bpe, chat, decontaminate, exact_search, jaccard_join, language_id, lexical_search, licenses, line_dedup, quality_classifier, quality_rules, records, vector_codes,
+)
 from .storage import fresh_folder
 
 QUERIES: dict = {}
@@ -103,3 +105,30 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph of every text that may name a licence, with its family."""
     documents = read_table(spark, sf_dir, "documents")
     return licenses.scan(documents, licenses.fit(spark, licenses.paragraphs_of(documents)))
+
+
+@_query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors under codebooks fitted to all of them."""
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_vector_codes"] = vector_codes.ORACLE_SQL
+
+
+@_query
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50."""
+    return exact_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+ORACLE["op12_exact_search"] = exact_search.ORACLE_SQL
+
+
+@_query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = lexical_search.ORACLE_SQL
