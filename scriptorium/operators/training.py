@@ -22,7 +22,12 @@ def training_table(pairs: DataFrame, key=("page_id", "line_number"), prefix: str
                    ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
     """MOD-4: key, input_ids, attention_mask, labels, split."""
     clean = pairs.na.drop(subset=[ocr, truth])
-    split = positional_split(clean, key, three_way=three_way)
+    return tokenized(positional_split(clean, key, three_way=three_way), key, prefix, max_len, ocr, truth)
+
+
+def tokenized(split: DataFrame, key=("page_id", "line_number"), prefix: str = PREFIX_TRAIN, max_len: int = MAX_TOKENS,
+              ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
+    """The training table of complete pairs that have their ``idx`` and ``split``."""
     ids = byte_tokens(add_prefix(ocr, prefix), max_len)
     staged = split.select(*key, "idx", "split", ids.alias("input_ids"), byte_tokens(truth, max_len).alias("labels"))
     return staged.select(*key, "idx", "split", "input_ids", attention_mask("input_ids").alias("attention_mask"), "labels")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ws_normalize
 from ..operators import metrics as M
 from ..operators.scores import score_parts
-from ..sources.fixture import document_lines, load_pairs, read_table
+from ..sources.fixture import document_lines, indexed_pairs, load_pairs, read_table
 from .registry import query
 from .sqlparts import DOC_LINES, norm, with_pairs
 
@@ -77,7 +77,7 @@ from ..operators import positions as POS  # noqa: E402
 from ..operators import training as TR  # noqa: E402
 from ..operators.scores import row_scores as _row_scores  # noqa: E402
 from ..schema import PREFIX_EVAL, PREFIX_INFER, PREFIX_TRAIN  # noqa: E402
-from ..sources.fixture import noise, spread  # noqa: E402
+from ..sources.fixture import noise  # noqa: E402
 from . import sqlparts as S  # noqa: E402
 
 KEY = ["page_id", "line_number"]
@@ -185,9 +185,8 @@ SELECT p.page_id, p.line_number, CAST(row_number() OVER (ORDER BY p.page_id, p.l
 FROM predicted p JOIN bleu b ON p.page_id = b.page_id AND p.line_number = b.line_number""",
     PRED_CTE, *S.bleu_ctes("predicted", "page_id,line_number", "prediction", "text")))
 def row_scores(spark, sf):
-    # index the narrow pairs first, then spread them for the scoring, which runs once
-    indexed = spread(POS.global_index(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY, "sample_id"))
-    indexed = indexed.withColumn("prediction", _prediction())
+    # numbered from the page table, scored in the tasks that explode the lines
+    indexed = indexed_pairs(spark, sf, out="sample_id").withColumn("prediction", _prediction())
     scores = _row_scores(indexed, key=KEY + ["sample_id"])
     return scores.select(*KEY, "sample_id", "ocr_input", "prediction", "ground_truth", "edit_distance",
                          _r("bleu_score").alias("bleu_score"), "input_length", "output_length", "target_length",
@@ -475,8 +474,7 @@ FROM (SELECT page_id, line_number, CAST(row_number() OVER (ORDER BY page_id, lin
              {_ids_sql('text')} AS ids FROM pairs)"""))
 def padded_batches(spark, sf):
     """SCA-7b: labels padded with -100 to the longest row of each batch of 8 (batches in key order)."""
-    p = _pairs(spark, sf).select(*KEY, byte_tokens("text").alias("labels"))
-    p = POS.global_index(p, KEY, "idx").withColumn("input_ids", F.col("labels")) \
+    p = indexed_pairs(spark, sf).select(*KEY, "idx", byte_tokens("text").alias("labels")).withColumn("input_ids", F.col("labels")) \
         .withColumn("attention_mask", F.transform("labels", lambda _: F.lit(1)))
     b = TR.padded_batches(p, 8)
     return b.select(*KEY, "batch", F.size("labels_padded").cast("bigint").alias("padded_length"),
@@ -495,6 +493,11 @@ def greedy_argmax(spark, sf):
 # Positions (WIN-1, WIN-3a/b, AGG-20) and the training table (MOD-4)
 # ---------------------------------------------------------------------------
 
+def _split_pairs(spark, sf):
+    """WIN-3a on the pairs, numbered from the page table."""
+    return POS.split_by_index(indexed_pairs(spark, sf, with_total="_n").select(*KEY, "ocr_prediction", "text", "idx", "_n"))
+
+
 @query("global_index", with_pairs("""
 SELECT page_id, line_number, CAST(row_number() OVER (ORDER BY page_id, line_number) - 1 AS BIGINT) AS idx FROM pairs"""))
 def global_index_q(spark, sf):
@@ -529,7 +532,7 @@ SELECT page_id, line_number, idx, split,
        array_to_string({_ids_sql('text')}, ',') AS labels
 FROM labeled WHERE ocr_prediction IS NOT NULL AND text IS NOT NULL""", SPLIT_CTE))
 def training_table(spark, sf):
-    t = TR.training_table(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY)
+    t = TR.tokenized(_split_pairs(spark, sf), KEY)  # the derived pairs are complete
     return t.select(*KEY, "idx", "split", F.array_join("input_ids", ",").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("mask_ones"),
                     F.array_join("labels", ",").alias("labels"))
@@ -560,7 +563,7 @@ LEX_CTES = [SPLIT_CTE, f"""wp AS (
 
 
 def _lexicon_parts(spark, sf):
-    s = POS.positional_split(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY)
+    s = _split_pairs(spark, sf)
     lex = C.learn_lexicon(s.where(F.col("split") == "train"))
     return s, lex
 
@@ -908,7 +911,7 @@ FROM (SELECT page_id, line_number, idx, split, {S.sql_str(PREFIX_TRAIN)} || ocr_
       FROM labeled WHERE split = 'train' ORDER BY idx LIMIT 2)""", SPLIT_CTE))
 def decoded_examples(spark, sf):
     """TOP-3: the first 2 training examples decoded back from their byte tokens (a top-k by position)."""
-    t = TR.training_table(_pairs(spark, sf).select(*KEY, "ocr_prediction", "text"), KEY).where(F.col("split") == "train")
+    t = TR.tokenized(_split_pairs(spark, sf), KEY).where(F.col("split") == "train")
     first = TR.first_examples(t, 2)
     return first.select(*KEY, "idx", "split", decode_tokens("input_ids").alias("input_text"),
                         decode_tokens("labels").alias("label_text"))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.positions import paged_index
+
 LINE_PATTERN = ".{1,48}"
 
 
@@ -71,3 +73,19 @@ def load_pairs(spark: SparkSession, sf_dir: str, keep=("lang", "source"), spread
     shuffle, in parallel."""
     lines = document_lines(read_table(spark, sf_dir, "documents"), keep)
     return with_noise(spread(lines) if spread_out else lines, keep)
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """A table's rows dealt to all cores if its scan has fewer tasks than there are cores; unchanged otherwise.
+
+    For small files only: a large table has tasks enough, and its rows stay where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def indexed_pairs(spark: SparkSession, sf_dir: str, keep=(), out: str = "idx", with_total: str | None = None) -> DataFrame:
+    """Line pairs with their dense 0-based index in (page, line) order; no line leaves the task that explodes it."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", *keep)
+    return paged_index(evenly(documents), F.regexp_count("text", F.lit(LINE_PATTERN)), lambda pages, more: with_noise(document_lines(pages, [*keep, *more]), [*keep, *more]),
+                       out=out, with_total=with_total)
