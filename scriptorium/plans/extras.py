@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expand as X
-from ..functions.text import base_name
+from ..functions.bitdistance import page_edit_distance
+from ..functions.text import base_name, ws_normalize
+from ..operators import metrics as M
 from ..operators import pages as P
 from ..operators import pairs as PR
+from ..operators.align import align_pages
 from ..operators.correct import BatchCorrector, correct
 from ..operators.scores import blank_short_circuit, fallback
-from ..sources.fixture import load_pairs, read_table
+from ..sources.fixture import evenly, load_pairs, noise, read_table
 from ..sources.readers import na_to_null
 from ..streaming.streams import utc_event_time, utc_text
 from . import sqlparts as S
@@ -141,3 +144,43 @@ def segmentation_branches(spark, sf):
         "vec_id", F.lit(None).cast("string").alias("text_direction"), F.lit(None).cast("string").alias("type"),
         F.array(line(F.array(F.array(at(0), at(1)), F.array(at(2), at(3))), no_box), line(none, no_box), line(none, box)).alias("lines"))
     return P.segmentation_lines(seg, "vec_id").select("vec_id", "line_number", "bbox.left", "bbox.top", "bbox.right", "bbox.bottom")
+
+
+RAW_CTE = f"""raw AS (
+  SELECT lang, {S.norm('t')} AS nt, {S.norm("replace(replace(replace(translate(t, 'uc', 'ne'), 'm', 'rn'), 'th', 'tb'), 'li', 'h')")} AS np
+  FROM (SELECT lang, unnest(string_split(text, chr(10))) AS t FROM documents))"""
+
+
+@query("cer_raw_lines", f"""WITH {RAW_CTE}
+SELECT lang, CAST(sum({S.lev('np', 'nt')}) AS BIGINT) AS total_errors, CAST(sum(length(nt)) AS BIGINT) AS total_chars, CAST(max(length(nt)) AS BIGINT) AS longest,
+       coalesce(CAST(sum({S.lev('np', 'nt')}) AS DOUBLE) / nullif(sum(length(nt)), 0), 0.0) AS cer
+FROM raw GROUP BY lang""")
+def cer_raw_lines(spark, sf):
+    """SCA-1 and AGG-1 on lines of any length, as the texts have them."""
+    documents = evenly(read_table(spark, sf, "documents").select("lang", "text"))
+    lines = documents.select("lang", F.explode(F.split("text", "\n")).alias("text"))
+    lines = lines.select("lang", ws_normalize(noise("text", F.lit(1))).alias("np"), ws_normalize("text").alias("nt"))
+    scored = lines.select("lang", page_edit_distance("np", "nt").alias("ed_norm"), F.length("nt").alias("ref_norm_len"))
+    return scored.groupBy("lang").agg(F.sum("ed_norm").cast("bigint").alias("total_errors"), F.sum("ref_norm_len").cast("bigint").alias("total_chars"),
+                                      F.max("ref_norm_len").cast("bigint").alias("longest"), M.cer().alias("cer"))
+
+
+@query("align_drift", S.with_pairs("""
+SELECT page_id, CAST(count(*) FILTER (WHERE paired) AS BIGINT) AS n_paired, CAST(coalesce(sum(CASE WHEN paired THEN 0 WHEN lost THEN 1 ELSE 2 END), 0) AS BIGINT) AS n_alone,
+       CAST(sum(CASE WHEN paired THEN d WHEN lost THEN length(text) ELSE length(text) + length(ocr_prediction) END) AS BIGINT) AS distance
+FROM (SELECT *, NOT lost AND 2 * d <= greatest(length(text), length(ocr_prediction)) AS paired
+      FROM (SELECT page_id, text, ocr_prediction, levenshtein(ocr_prediction, text) AS d, (line_number + page_id) % 17 = 5 AS lost FROM pairs))
+GROUP BY page_id"""))
+def align_drift(spark, sf):
+    """JOI-2 on pages whose recognition lost every 17th line, so that the others move up.
+
+    The SQL knows which lines were lost; the operator has to find out.  A page
+    whose lines allow a cheaper alignment than the true one differs from the SQL.
+    """
+    pairs = load_pairs(spark, sf, keep=())
+    page, n = F.col("page_id"), F.col("line_number")
+    lost_before = F.floor((n + page + 11) / 17) - F.floor((page + 11) / 17)
+    left = pairs.where((n + page) % 17 != 5).select(page, (n - lost_before).cast("bigint").alias("line_number"), "ocr_prediction")
+    both = F.col("line_number").isNotNull() & F.col("aligned_line").isNotNull()
+    return (align_pages(left, pairs.select(*KEY, "text")).groupBy("page_id")
+            .agg(F.count_if(both).alias("n_paired"), F.count_if(~both).alias("n_alone"), F.sum("distance").cast("bigint").alias("distance")))
