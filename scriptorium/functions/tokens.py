@@ -59,3 +59,25 @@ def argmax(v) -> Column:
     """SCA-7c: 0-based index of the first maximum (NaN counts as the largest, like numpy)."""
     arr = _c(v)
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+
+
+def greedy_ids(logits, vocabulary: int | None = None) -> Column:
+    """SCA-7c: the first best id of every position.
+
+    ``logits`` holds one array per position, or, with ``vocabulary`` given, all
+    positions packed one after the other.  A position without numbers gives
+    null; a packed array that is no whole number of positions is an error.
+    """
+    arr = _c(logits)
+    if vocabulary is None:
+        return F.transform(arr, argmax)
+    n = F.size(arr)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(vocabulary))).otherwise(F.array().cast("array<int>"))
+    ids = F.transform(starts, lambda at: argmax(F.slice(arr, at + 1, vocabulary)))
+    broken = F.raise_error(F.concat(F.lit("packed scores of length "), n.cast("string"), F.lit(f" are no whole number of {vocabulary}")))
+    return F.when(arr.isNotNull(), F.when(n % vocabulary != 0, broken).otherwise(ids))
+
+
+def greedy_text(logits, vocabulary: int | None = None) -> Column:
+    """SCA-7c and the inverse of SCA-7: scores of positions to text; pad, end and unknown ids vanish, so do positions without a score."""
+    return decode_tokens(F.filter(greedy_ids(logits, vocabulary), lambda i: i.isNotNull()))

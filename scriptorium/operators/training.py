@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import add_prefix
-from ..functions.tokens import attention_mask, byte_tokens, pad_to
+from ..functions.bleu import with_sentence_bleu
+from ..functions.distance import edit_distance, normalized_edit_distance
+from ..functions.text import add_prefix, ws_normalize
+from ..functions.tokens import attention_mask, byte_tokens, decode_tokens, greedy_text, pad_to
 from ..schema import LABEL_PAD_ID, MAX_TOKENS, PAD_ID, PREFIX_TRAIN
+from .metrics import cer
 from .positions import global_index, positional_split
 
 
@@ -57,3 +60,16 @@ def first_examples(table: DataFrame, n: int = 3, order=("idx",)) -> DataFrame:
 def indexed(pairs: DataFrame, key=("page_id", "line_number")) -> DataFrame:
     """WIN-1 on a pair table."""
     return global_index(pairs, key, "idx")
+
+
+def evaluate_logits(df: DataFrame, logits: str, labels: str, vocabulary: int | None = None, by=()) -> DataFrame:
+    """SCA-7c, AGG-1, AGG-3, AGG-4 on model output: (by, cer, bleu, edit_distance, eval_samples).
+
+    Scores become ids and text, label ids (with -100 for padding) become the
+    reference text; a null side counts as empty.
+    """
+    texts = df.select(*by, F.coalesce(greedy_text(logits, vocabulary), F.lit("")).alias("prediction"), F.coalesce(decode_tokens(labels), F.lit("")).alias("text"))
+    parts = texts.select("*", edit_distance("prediction", "text").alias("ed"), normalized_edit_distance("prediction", "text").alias("ed_norm"),
+                         F.length(ws_normalize("text")).alias("ref_norm_len"))
+    parts = with_sentence_bleu(parts, "prediction", "text", "bleu_score")
+    return parts.groupBy(*by).agg(cer().alias("cer"), F.avg("bleu_score").alias("bleu"), F.avg("ed").alias("edit_distance"), F.count(F.lit(1)).alias("eval_samples"))

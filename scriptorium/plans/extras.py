@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import expand as X
 from ..functions.bitdistance import page_edit_distance
 from ..functions.text import base_name, ws_normalize
+from ..functions.tokens import argmax, decode_tokens, greedy_ids, greedy_text
 from ..operators import metrics as M
 from ..operators import pages as P
 from ..operators import pairs as PR
+from ..operators import training as TR
 from ..operators.align import align_pages
 from ..operators.correct import BatchCorrector, correct
 from ..operators.scores import blank_short_circuit, fallback
@@ -184,3 +186,44 @@ def align_drift(spark, sf):
     both = F.col("line_number").isNotNull() & F.col("aligned_line").isNotNull()
     return (align_pages(left, pairs.select(*KEY, "text")).groupBy("page_id")
             .agg(F.count_if(both).alias("n_paired"), F.count_if(~both).alias("n_alone"), F.sum("distance").cast("bigint").alias("distance")))
+
+
+def _letters_sql(pick: str) -> str:
+    """Eight letters of an embedding: per eight components the place of the first largest or smallest, none for place 0."""
+    part = "embedding[CAST(p * 8 + 1 AS BIGINT):CAST(p * 8 + 8 AS BIGINT)]"
+    return f"list_transform(range(0, 8), lambda p: CAST(list_position({part}, {pick}({part})) - 1 AS INTEGER))"
+
+
+def _text_sql(ids: str) -> str:
+    return f"array_to_string(list_transform({ids}, lambda i: CASE WHEN i = 0 THEN '' ELSE chr(CAST(96 + i AS INTEGER)) END), '')"
+
+
+LOGIT_CTE = f"""logit_texts AS (SELECT vec_id, label, {_text_sql(_letters_sql('list_max'))} AS prediction, {_text_sql(_letters_sql('list_min'))} AS text FROM embeddings)"""
+
+
+def _logits(spark, sf):
+    """``embeddings`` as 8 positions x 107 ids, seven of which are letters and one the pad; label ids with -100 for the pad."""
+    eight = lambda p: F.slice("embedding", p * 8 + 1, 8)
+    low = F.array_repeat(F.lit(-9.0).cast("float"), 99)
+    scores = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.concat(F.slice(eight(p), 1, 1), low, F.slice(eight(p), 2, 7)))
+    least = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: argmax(F.transform(eight(p), lambda x: -x)))
+    labels = F.transform(least, lambda i: F.when(i == 0, F.lit(-100)).otherwise(99 + i))
+    return read_table(spark, sf, "embeddings").select("vec_id", "label", "embedding", scores.alias("logits"), labels.alias("labels"))
+
+
+@query("greedy_text", f"""WITH {LOGIT_CTE}
+SELECT t.vec_id, prediction, text, array_to_string({_letters_sql('list_max')}, ',') AS packed_ids FROM logit_texts t JOIN embeddings e ON t.vec_id = e.vec_id""")
+def greedy_text_q(spark, sf):
+    """SCA-7c on positions x vocabulary, nested and packed, to ids and to text."""
+    return _logits(spark, sf).select("vec_id", greedy_text("logits").alias("prediction"), decode_tokens("labels").alias("text"),
+                                     F.array_join(greedy_ids("embedding", 8), ",").alias("packed_ids"))
+
+
+@query("logit_metrics", "WITH " + ",\n".join([LOGIT_CTE, *S.bleu_ctes("logit_texts", "vec_id", "prediction", "text")]) + """
+SELECT label, coalesce(CAST(sum(levenshtein(prediction, text)) AS DOUBLE) / nullif(sum(length(text)), 0), 0.0) AS cer, round(avg(bleu_score), 6) AS bleu,
+       round(avg(levenshtein(prediction, text)), 6) AS edit_distance, CAST(count(*) AS BIGINT) AS eval_samples
+FROM logit_texts JOIN bleu USING (vec_id) GROUP BY label""")
+def logit_metrics(spark, sf):
+    """Metrics of model output given as scores and padded labels."""
+    m = TR.evaluate_logits(_logits(spark, sf), "logits", "labels", by=["label"])
+    return m.select("label", "cer", F.round("bleu", 6).alias("bleu"), F.round("edit_distance", 6).alias("edit_distance"), F.col("eval_samples").cast("bigint").alias("eval_samples"))
