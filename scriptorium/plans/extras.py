@@ -17,14 +17,17 @@ from ..functions.tokens import argmax, decode_tokens, greedy_ids, greedy_text
 from ..operators import metrics as M
 from ..operators import pages as P
 from ..operators import pairs as PR
+from ..operators import spell as SP
 from ..operators import training as TR
 from ..operators.align import align_pages
-from ..operators.correct import BatchCorrector, correct
+from ..operators.correct import BatchCorrector, apply_lexicon, correct, learn_lexicon
 from ..operators.scores import blank_short_circuit, fallback
 from ..sources.fixture import evenly, load_pairs, noise, read_table
 from ..sources.readers import na_to_null
 from ..streaming.streams import utc_event_time, utc_text
+from ..functions.distance import normalized_edit_distance
 from . import sqlparts as S
+from .catalogue import LEX_CTES, _split_pairs
 from .registry import query
 
 KEY = ["page_id", "line_number"]
@@ -227,3 +230,103 @@ def logit_metrics(spark, sf):
     """Metrics of model output given as scores and padded labels."""
     m = TR.evaluate_logits(_logits(spark, sf), "logits", "labels", by=["label"])
     return m.select("label", "cer", F.round("bleu", 6).alias("bleu"), F.round("edit_distance", 6).alias("edit_distance"), F.col("eval_samples").cast("bigint").alias("eval_samples"))
+
+
+def _char_codes(x: str) -> str:
+    """A word whose letters beyond ASCII are single bytes: they are at most 31 in these texts."""
+    return f"translate({x}, (SELECT letters FROM beyond), (SELECT codes FROM beyond))"
+
+
+#: Verified words of the training split, unseen words of the test split, and all candidates by comparing every pair of suitable length.
+SPELL_CTES = [*LEX_CTES[:4], f"""voc AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS word FROM labeled WHERE split = 'train') GROUP BY word)""",
+              f"""unseen AS MATERIALIZED (
+  SELECT DISTINCT word FROM (SELECT unnest({S.words('ocr_prediction')}) AS word FROM labeled WHERE split = 'test')
+  WHERE word NOT IN (SELECT ocr_word FROM lex) AND word NOT IN (SELECT word FROM voc))""",
+              """beyond AS MATERIALIZED (
+  SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS letters, coalesce(string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY c), '') AS codes FROM (
+    SELECT c, row_number() OVER (ORDER BY c) AS i FROM (
+      SELECT DISTINCT unnest(string_split(word, '')) AS c FROM (SELECT word FROM voc UNION ALL SELECT word FROM unseen)) WHERE ord(c) > 127))""",
+              f"""asked AS MATERIALIZED (SELECT word, {_char_codes('word')} AS w, least(2, length(word) // 3) AS k FROM unseen WHERE length(word) >= 3)""",
+              f"""offered AS MATERIALIZED (SELECT word AS candidate, {_char_codes('word')} AS v, n FROM voc WHERE n >= 2)""",
+              """found AS MATERIALIZED (
+  SELECT word, candidate, n, levenshtein(w, v) AS distance, k FROM asked JOIN offered ON abs(length(w) - length(v)) <= k WHERE levenshtein(w, v) <= k)"""]
+
+
+def _spelling(spark, sf):
+    s = _split_pairs(spark, sf)
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    lexicon = learn_lexicon(train)
+    vocabulary = SP.word_counts(train, "text")
+    return train, test, lexicon, SP.candidates(SP.unknown_words(test, lexicon, vocabulary), vocabulary.where(F.col("n") >= SP.MIN_SEEN))
+
+
+@query("spell_candidates", S.with_pairs("SELECT word, candidate, CAST(n AS BIGINT) AS n, CAST(distance AS BIGINT) AS distance FROM found", *SPELL_CTES))
+def spell_candidates(spark, sf):
+    """MOD-2 for unseen words: the verified words within the allowed edits of each."""
+    return _spelling(spark, sf)[3].select("word", "candidate", "n", "distance")
+
+
+def _prefix_sql(a: str, b: str) -> str:
+    return f"coalesce(list_position(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)), true) - 1, least(length({a}), length({b})))"
+
+
+def _parts_sql(src: str, a: str, b: str, more: str) -> str:
+    """Two words without their common start and end."""
+    return f"""SELECT {more}, substr(a, 1, length(a) - e) AS a, substr(b, 1, length(b) - e) AS b FROM (
+  SELECT *, {_prefix_sql('reverse(a)', 'reverse(b)')} AS e FROM (
+    SELECT *, substr({a}, p + 1) AS a, substr({b}, p + 1) AS b FROM (SELECT *, {_prefix_sql(a, b)} AS p FROM {src})))"""
+
+
+RANK_CTES = [f"""chars AS (
+  SELECT a, b, count(*) AS n FROM (SELECT unnest(string_split(ocr_word, '')) AS a, unnest(string_split(text_word, '')) AS b FROM wp WHERE length(ocr_word) = length(text_word))
+  WHERE a <> b GROUP BY a, b)""",
+             f"""swaps AS (
+  SELECT a, b, count(*) AS n FROM ({_parts_sql('(SELECT * FROM wp WHERE ocr_word <> text_word)', 'ocr_word', 'text_word', 'ocr_word')})
+  WHERE length(a) <= 3 AND length(b) <= 3 AND NOT (length(a) = 1 AND length(b) = 1) GROUP BY a, b)""",
+             "weights AS MATERIALIZED (SELECT a, b, CAST(floor(100 * ln(1.0 + n)) AS BIGINT) AS known FROM (SELECT * FROM chars UNION ALL SELECT * FROM swaps))",
+             "every AS MATERIALIZED (SELECT CAST(floor(100 * ln(1.0 + coalesce(sum(n), 0))) AS BIGINT) AS total FROM (SELECT n FROM chars UNION ALL SELECT n FROM swaps))",
+             f"""pieces AS (
+  SELECT word, candidate, n, distance, 1 AS how, a, b, distance AS edits FROM ({_parts_sql('found', 'word', 'candidate', 'word, candidate, n, distance')})
+  UNION ALL
+  SELECT word, candidate, n, distance, 2, a, b, 1 FROM (
+    SELECT *, unnest(string_split(word, '')) AS a, unnest(string_split(candidate, '')) AS b FROM found
+    WHERE length(word) = length(candidate)
+      AND distance = len(list_filter(range(1, length(word) + 1), lambda i: substr(word, i, 1) <> substr(candidate, i, 1)))) WHERE a <> b)""",
+             """priced AS (
+  SELECT word, candidate, n, distance, min(cost) AS cost FROM (
+    SELECT word, candidate, n, distance, how, sum(CASE WHEN known IS NULL THEN edits * total ELSE total - known END) AS cost
+    FROM pieces LEFT JOIN weights USING (a, b), every GROUP BY word, candidate, n, distance, how) GROUP BY word, candidate, n, distance)""",
+             """chosen AS (
+  SELECT word AS ocr_word, candidate AS text_word, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, distance, n DESC, candidate) AS r
+    FROM (SELECT *, CAST(floor(100 * ln(1.0 + n)) AS BIGINT) - cost AS score FROM priced)) WHERE r = 1 AND score > 0)"""]
+
+
+@query("spell_corrections", S.with_pairs("SELECT ocr_word, text_word, CAST(score AS BIGINT) AS score FROM chosen", *SPELL_CTES, *RANK_CTES))
+def spell_corrections(spark, sf):
+    """MOD-2 and MOD-3 together: what unseen words are corrected to."""
+    train, _, _, found = _spelling(spark, sf)
+    return SP.corrections(found, SP.confusion_weights(train)).select("ocr_word", "text_word", "score")
+
+
+@query("spell_evaluation", S.with_pairs(f"""
+SELECT CAST(sum(before) AS DOUBLE) / sum(length(nt)) AS cer_lexicon, CAST(sum(after) AS DOUBLE) / sum(length(nt)) AS cer_spelled,
+       CAST(count(*) FILTER (WHERE after < before) AS BIGINT) AS lines_better, CAST(count(*) FILTER (WHERE after > before) AS BIGINT) AS lines_worse
+FROM (SELECT nt, {S.lev('nl', 'nt')} AS before, {S.lev('ns', 'nt')} AS after FROM (
+  SELECT {S.norm('any_value(l.text)')} AS nt,
+         {S.norm("coalesce(string_agg(coalesce(x.text_word, k.tok), '' ORDER BY k.pos), '')")} AS nl,
+         {S.norm("coalesce(string_agg(coalesce(x.text_word, c.text_word, k.tok), '' ORDER BY k.pos), '')")} AS ns
+  FROM labeled l LEFT JOIN toks k ON l.page_id = k.page_id AND l.line_number = k.line_number
+       LEFT JOIN lex x ON k.tok = x.ocr_word LEFT JOIN chosen c ON k.tok = c.ocr_word
+  WHERE l.split = 'test' GROUP BY l.page_id, l.line_number))""", *SPELL_CTES, LEX_CTES[4], *RANK_CTES))
+def spell_evaluation(spark, sf):
+    """Error rate of the held-out split with the lexicon alone and with corrected unseen words."""
+    train, test, lexicon, _ = _spelling(spark, sf)
+    both = SP.extend_lexicon(lexicon, train, test)
+    out = apply_lexicon(apply_lexicon(test.select(*KEY, "ocr_prediction", "text"), lexicon, KEY, out="by_lexicon"), both, KEY)
+    parts = out.select(normalized_edit_distance("by_lexicon", "text").alias("before"), normalized_edit_distance("prediction", "text").alias("after"),
+                       F.length(ws_normalize("text")).alias("n"))
+    return parts.agg(M.cer("before", "n").alias("cer_lexicon"), M.cer("after", "n").alias("cer_spelled"),
+                     F.count_if(F.col("after") < F.col("before")).cast("bigint").alias("lines_better"),
+                     F.count_if(F.col("after") > F.col("before")).cast("bigint").alias("lines_worse"))
