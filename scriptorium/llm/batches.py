@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first n bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Bytes that separate words: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -72,15 +73,6 @@ def per_slice(fn: Callable[[np.ndarray, np.ndarray], list], ids: str, text: str,
     return run
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of the hash base modulo 2**64, at least ``n`` of them."""
-    global _POWERS
-    if len(_POWERS) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, 4096), _BASE, np.uint64))))
-    return _POWERS
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the word."""
     h = h.astype(np.uint64, copy=True)
@@ -92,19 +84,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; spans are ascending and do not overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span (spans have at least one byte).
+
+    Eight bytes at a time, mixed with their place by a function that is not
+    linear before they are added, so that no rearrangement of a text keeps
+    its hash.  Different seeds give independent hashes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(total) - np.repeat(first, lengths)
-    where = inside + np.repeat(starts, lengths) if total != len(data) else None
-    values = (data if where is None else data[where]).astype(np.uint64)
-    values += np.uint64(1)
-    values *= powers(int(lengths.max()))[inside]
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _MIX1)
+    count = (lengths + 7) >> 3
+    first = np.cumsum(count) - count
+    step = np.arange(int(count.sum())) - np.repeat(first, count)
+    at = np.repeat(starts, count) + 8 * step
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    words = words[at] & _FIRST_BYTES[np.minimum(np.repeat(ends, count) - at, 8)]
+    with np.errstate(over="ignore"):
+        places = mix(np.arange(1, int(count.max()) + 1).astype(np.uint64) * _STEP + np.uint64(seed & 0xFFFFFFFF) * _MIX2)
+        mixed = mix(words ^ places[step])
+        total = mixed if len(mixed) == len(starts) else np.add.reduceat(mixed, first)
+        return mix(total + lengths.astype(np.uint64) * _MIX1)
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

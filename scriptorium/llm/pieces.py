@@ -16,7 +16,6 @@ bounds its memory and never changes a result.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 from itertools import chain
 
@@ -25,18 +24,27 @@ import numpy as np
 from .batches import span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
-#: Characters of the property White_Space.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CLASS: np.ndarray | None = None
 
 
 def character_classes() -> np.ndarray:
-    """Class of every code point, built once per worker from its general category."""
+    """Class of every code point, built once per worker.
+
+    Python's own tables belong to another version of Unicode than those of the
+    libraries, which know more letters.  So the library is asked: an encoding
+    whose pattern is one class returns the bytes of that class and skips the rest.
+    """
     global _CLASS
     if _CLASS is None:
-        kinds = {"L": LETTER, "N": NUMBER}
-        _CLASS = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        _CLASS[WHITE] = SPACE
+        import tiktoken
+
+        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+        table = np.full(0x110000, OTHER, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            probe = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+            found = bytes(probe.encode_ordinary(every)).decode()
+            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        _CLASS = table
     return _CLASS
 
 
@@ -96,11 +104,11 @@ class PieceTokens:
     """Ids of pieces, filled by ``encode(list of bytes) -> list of id sequences``."""
 
     def __init__(self, encode: Callable[[list[bytes]], list], pieces: int = 1_000_000):
-        self.encode, self.most = encode, pieces
+        self.encode, self.most, self.seed = encode, pieces, 0
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.keys, self.checks, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice in order, and where each row's ids begin (rows + 1)."""
@@ -108,7 +116,17 @@ class PieceTokens:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes, example, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        checks = span_hashes(data, starts, ends, seed=-1)
+        while True:
+            hashes, example, inverse = np.unique(span_hashes(data, starts, ends, seed=self.seed), return_index=True, return_inverse=True)
+            place = np.searchsorted(self.keys, hashes)
+            inside = np.flatnonzero(place < len(self.keys))
+            met = inside[self.keys[place[inside]] == hashes[inside]]
+            # A piece is known if two independent hashes say so; pieces that agree in one alone get other hashes, and the memory starts anew.
+            if (checks[example][inverse] == checks).all() and (self.checks[place[met]] == checks[example[met]]).all():
+                break
+            self.seed += 1
+            self.forget()
         if len(self.keys) + len(hashes) > self.most:
             self.forget()
         place = np.searchsorted(self.keys, hashes)
@@ -121,6 +139,7 @@ class PieceTokens:
             self.first = np.insert(self.first, place[new], len(self.ids) + np.cumsum(size) - size)
             self.size = np.insert(self.size, place[new], size)
             self.keys = np.insert(self.keys, place[new], hashes[new])
+            self.checks = np.insert(self.checks, place[new], checks[example[new]])
             self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))))
             place = np.searchsorted(self.keys, hashes)
         each = place[inverse]

@@ -28,3 +28,14 @@ def table(spark, texts, **columns):
 def documents(spark, texts):
     """A table with the columns of documents."""
     return table(spark, texts, lang=["en"] * len(texts), source=["h"] * len(texts), n_chars=[len(t or "") for t in texts])
+
+
+def thue_morse(length: int) -> str:
+    """Letters a and b, on which polynomial hashes modulo a power of two agree with those of the complement."""
+    text = "a"
+    while len(text) < length:
+        text += text.translate({97: 98, 98: 97})
+    return text
+
+
+COMPLEMENT = {97: 98, 98: 97}

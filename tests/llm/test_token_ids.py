@@ -16,7 +16,7 @@ from scriptorium.llm import bpe, records
 from scriptorium.llm.batches import utf8
 from scriptorium.llm.pieces import PieceTokens, piece_starts
 
-from helpers import HARD_TEXTS, prose, table
+from helpers import COMPLEMENT, HARD_TEXTS, prose, table, thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 HF_PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -137,3 +137,57 @@ def test_repeated_and_null_ids(spark, tmp_path):
     records.write_records(df, HF_PATH, folder)
     got = sorted(((r.doc_id is not None, r.start) for r in records.scan_records(spark, folder).collect()))
     assert got == [(False, 0), (True, 2), (True, 4), (True, 6)]
+
+
+def test_letters_are_the_libraries_letters(library, ranks):
+    import pyarrow as pa
+
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000] + list(range(0x20000, 0x110000, 997))
+    texts = ["".join(f"a{chr(c)}1{chr(c)} " for c in points[k: k + 500]) for k in range(0, len(points), 500)]
+    data, off = utf8(pa.array(texts))
+    ids, bounds = PieceTokens(ranks.encode)(data, off)
+    starts = piece_starts(data, off)
+    tokenizer = Tokenizer.from_file(HF_PATH)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode_ordinary(t), hex(points[500 * i])
+    tokens, _ = records.worker_tokens(HF_PATH)
+    ids, bounds = tokens(data, off)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, hex(points[500 * i])
+    assert len(starts) > len(points)
+
+
+def test_words_that_defeat_polynomial_hashes(spark, library, tmp_path):
+    words = [thue_morse(n) for n in (1024, 2048, 4096)]
+    texts = [w.translate(COMPLEMENT) if k else w for w in words for k in (0, 1)]
+    got = {r.doc_id: r for r in bpe.round_trip(table(spark, texts).coalesce(1), PATH).collect()}
+    want = expected_records(texts)
+    folder = f"file://{tmp_path}/records"
+    index = records.write_records(table(spark, texts), HF_PATH, folder)
+    read = {r.doc_id: r.token_ids for r in records.fetch_records(index, folder).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary(t))).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert read[i] == want[i][3]
+
+
+def test_pieces_whose_hashes_agree_are_told_apart(ranks, library, monkeypatch):
+    import pyarrow as pa
+    from scriptorium.llm import pieces
+
+    sound = pieces.span_hashes
+    calls = []
+
+    def weak(data, starts, ends, seed=0):
+        calls.append(seed)
+        return sound(data, starts, ends, seed) % np.uint64(7 if seed in (0, 1) else 1 << 63)
+
+    monkeypatch.setattr(pieces, "span_hashes", weak)
+    tokens = PieceTokens(ranks.encode)
+    for seed in (5, 6):
+        texts = random_texts(50, seed)
+        data, off = utf8(pa.array(texts))
+        ids, bounds = tokens(data, off)
+        for i, t in enumerate(texts):
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode_ordinary(t)
+    assert 2 in calls
