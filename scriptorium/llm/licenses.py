@@ -80,6 +80,9 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
     "LGPL-3.0": [
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
@@ -98,6 +101,23 @@ TEMPLATES = {
         "No part of this work may be reproduced without the written permission of the copyright holder.",
     ],
 }
+# Full and short names of the families, which the usual wordings below are made of.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License version 3", "AGPL-3.0-only"),
+    "Apache-2.0": ("Apache License 2.0", "Apache-2.0"),
+    "BSD": ("BSD 3-Clause License", "BSD-3-Clause"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+    "CC0-1.0": ("CC0 1.0 Universal public domain dedication", "CC0-1.0"),
+    "GPL-2.0": ("GNU General Public License version 2", "GPL-2.0-only"),
+    "GPL-3.0": ("GNU General Public License version 3", "GPL-3.0-only"),
+    "ISC": ("ISC License", "ISC"),
+    "LGPL-3.0": ("GNU Lesser General Public License version 3", "LGPL-3.0-only"),
+    "MIT": ("MIT License", "MIT"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "MPL-2.0"),
+}
+WORDINGS = ("Distributed under the terms of the {0}", "Code is under {1}", "SPDX-License-Identifier: {1}")
 # A line with any of these is a row, whether or not a template agrees.
 STEMS = ("licen", "copyright", "permission", "redistribut")
 
@@ -108,9 +128,9 @@ NEGATIVES = 2000
 WINDOW_SHARE, FRAGMENT_SHARE = 0.75, 0.4
 LEAST_AGREEMENT = 0.7
 FAMILIES = sorted(TEMPLATES)
-#: The templates and each family by its short name, as (family, words).
+#: The templates, each family by its short name and in the usual wordings, as (family, words).
 NOTICES = [(family, re.findall("[a-z0-9]+", text.lower())) for family in FAMILIES
-           for text in TEMPLATES[family] + ([f"Released under {family}."] if family != "Proprietary" else [])]
+           for text in TEMPLATES[family] + ([f"Released under {family}.", *(w.format(*NAMES[family]) for w in WORDINGS)] if family in NAMES else [])]
 
 
 def _pairs(words: list[str]) -> list[str]:
@@ -194,9 +214,10 @@ def training_table(spark: SparkSession, paragraphs: DataFrame, negatives: int =
     pieces = windows.where(F.col("share") <= FRAGMENT_SHARE).select("words").distinct()
     positives = own.select(F.when(F.col("n") == 1, F.col("label")).otherwise(0.0).alias("label"), "words")
     fragments = pieces.join(own.select("words"), "words", "left_anti").select(F.lit(0.0).alias("label"), "words")
-    plain = (paragraphs.where(~names_licence(F.col("paragraph")) & (F.trim("paragraph") != "")).select("paragraph", F.xxhash64("paragraph").alias("h")))
-    step = max(1, plain.count() // max(1, negatives))
-    corpus = (plain.where(F.pmod("h", F.lit(step)) == 0).dropDuplicates(["h"]).orderBy("h").limit(negatives)
+    # Chosen by hash before anything dear is asked of a paragraph: of the chosen ones alone it matters whether they name a licence.
+    some = paragraphs.where(F.trim("paragraph") != "").select("paragraph", F.xxhash64("paragraph").alias("h"))
+    step = max(1, paragraphs.count() // max(1, negatives))
+    corpus = (some.where(F.pmod("h", F.lit(step)) == 0).dropDuplicates(["h"]).where(~names_licence(F.col("paragraph"))).orderBy("h").limit(negatives)
               .select(F.lit(0.0).alias("label"), word_list(F.col("paragraph")).alias("words")))
     return positives.unionByName(fragments).unionByName(corpus).withColumn("fold", F.pmod(F.xxhash64("words"), F.lit(5)))
 

@@ -58,6 +58,15 @@ def test_names_without_a_stem(spark, model):
     assert got == [(i, 1, family) for i, family in enumerate(names.values())]
 
 
+def test_usual_wordings(spark, model):
+    names = {"Distributed under the terms of the Mozilla Public License 2.0": "MPL-2.0", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+             "Code is under BSD-3-Clause.": "BSD", "SPDX-License-Identifier: Fancy": licenses.UNKNOWN, "Distributed under the terms of the Fancy License": licenses.UNKNOWN,
+             "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted, provided that the\nabove copyright notice and this permission notice appear in all copies.": "ISC"}
+    texts = [f"some words\n\n{name}\n\nmore" for name in names]
+    got = sorted((r.doc_id, r.paragraph_no, r.family) for r in licenses.scan(table(spark, texts), model).collect())
+    assert got == [(i, 2, family) for i, family in enumerate(names.values())]
+
+
 def test_every_agreeing_paragraph_has_an_anchor():
     for n, (_, words) in enumerate(licenses.NOTICES, 1):
         pairs = set(licenses._pairs(words))
@@ -115,4 +124,4 @@ def test_registered(spark):
 
     names = set(__spark_entry__.queries())
     assert {"pipeline", *QUERIES} <= names and set(ORACLE) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
