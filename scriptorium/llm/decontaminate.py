@@ -11,18 +11,21 @@ neighbouring diagonals (document position minus item position).  So:
 2. the hits of each item are counted in bands of diagonals and blocks of item
    positions, both overlapping by half, so that every possible alignment lies
    in one cell; cells with too few hits go;
-3. the windows of the remaining cells that have enough hits are verified by a
-   banded alignment.
+3. every window of the remaining cells that has enough hits is verified by a
+   banded alignment.  Neighbouring windows differ by one edit at most, so a
+   window that misses the budget by n rules out the next n - 1.
 
 Steps 1 and 2 never lose an alignment; step 3 decides.  Texts are compared as
 UTF-8 with A-Z lower-cased and white-space bytes made blanks.
 
+Items of fewer than ``LEAST_BYTES`` bytes share too few q-grams with anything.
+They are held by a document that has them word for word, as whole words.
+
 Documents stay where they are; the items travel.  They are broadcast in parts
 of at most ``PART_BYTES`` bytes, each part with a pass of its own over the
 documents, so what a task holds does not grow with the benchmark.
 
-Semantics: null and empty texts and items match nothing, nor do items of fewer
-than ``LEAST_BYTES`` bytes, which chance could match; repeated items and rows
+Semantics: null, empty and blank texts and items match nothing; repeated items and rows
 are matched one by one; other columns are ignored or, in :func:`keep_clean`,
 passed through; with an empty benchmark every document is clean.
 """
@@ -41,9 +44,12 @@ from .batches import IS_SPACE, LOWER, text_slices
 Q, WINDOW, EDITS = 8, 64, 5
 LEAST_BYTES = 24
 PART_BYTES = 8 << 20
+#: Edits beyond the budget that an alignment still counts, to rule out windows.
+SLACK = 8
 
 _FOLD = LOWER.copy()
 _FOLD[IS_SPACE] = 0x20
+_WORD = np.array([chr(b).isalnum() and b < 0x80 or b >= 0x80 for b in range(256)])
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
 
@@ -72,24 +78,57 @@ class ItemIndex:
     window: np.ndarray
     edits: np.ndarray
     needed: np.ndarray
+    #: Short items by text, as the numbers of their ids.
+    short: dict[bytes, list[int]]
 
     @classmethod
     def build(cls, items: list[tuple[object, str]]) -> ItemIndex | None:
         texts = [(i, _FOLD[np.frombuffer(t.encode(), np.uint8)]) for i, t in items if t]
+        brief = [(i, t.tobytes().strip()) for i, t in texts if len(t) < LEAST_BYTES]
         texts = [(i, t) for i, t in texts if len(t) >= LEAST_BYTES]
-        if not texts:
+        short: dict[bytes, list[int]] = {}
+        for n, (_, t) in enumerate(brief, len(texts)):
+            if t:
+                short.setdefault(t, []).append(n)
+        if not texts and not short:
             return None
-        off = np.concatenate(([0], np.cumsum([len(t) for _, t in texts])))
-        data = np.concatenate([t for _, t in texts])
+        off = np.concatenate(([0], np.cumsum([len(t) for _, t in texts]))).astype(np.int64)
+        data = np.concatenate([np.zeros(0, np.uint8), *(t for _, t in texts)])
         gram = grams(data)
-        inside = np.concatenate([np.arange(a, b - Q + 1) for a, b in zip(off[:-1], off[1:], strict=True)])
+        inside = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - Q + 1) for a, b in zip(off[:-1], off[1:], strict=True))])
         order = inside[np.argsort(gram[inside], kind="stable")]
         keys, first = np.unique(gram[order], return_index=True)
         present = np.zeros(1 << _TABLE_BITS, bool)
         present[cls.slots(keys)] = True
         window = np.minimum(np.diff(off), WINDOW)
-        edits = np.array([edit_budget(int(n)) for n in window])
-        return cls([i for i, _ in texts], data, off, keys, np.append(first, len(order)), order, present, window, edits, window + 1 - Q * (edits + 1))
+        edits = np.array([edit_budget(int(n)) for n in window], np.int64)
+        return cls([i for i, _ in texts] + [i for i, _ in brief], data, off, keys, np.append(first, len(order)), order, present, window, edits,
+                   window + 1 - Q * (edits + 1), short)
+
+    def short_matches(self, data: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(row, item number) -> (first byte, end byte of the first place, 0) of the short items that rows hold as whole words."""
+        if not self.short:
+            return {}
+        if not hasattr(self, "_automaton"):
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for text in self.short:
+                self._automaton.add_word(text.decode("latin-1"), text)
+            self._automaton.make_automaton()
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for row, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            text = data[lo:hi]
+            for last, item in self._automaton.iter(text.tobytes().decode("latin-1")):
+                a, b = last + 1 - len(item), last + 1
+                inside = a and _WORD[text[a - 1]] and _WORD[text[a]] or b < len(text) and _WORD[text[b]] and _WORD[text[last]]
+                if not inside:
+                    for n in self.short[item]:
+                        out.setdefault((row, n), (a, b, 0))
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_automaton"}  # each worker builds its own
 
     @staticmethod
     def slots(gram: np.ndarray) -> np.ndarray:
@@ -99,7 +138,7 @@ class ItemIndex:
         """(row, document position, item-data position) of the q-gram hits in dense stretches."""
         none = np.zeros(0, np.int64)
         gram = grams(data)
-        if not len(gram):
+        if not len(gram) or not len(self.window):
             return none, none, none
         hit = self.present[self.slots(gram)]
         for k in range(1, Q):  # q-grams across the end of a row
@@ -129,9 +168,10 @@ class ItemIndex:
     def matches(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item number, first byte, end byte, edits) of every item that a row holds; bytes count from the row's start."""
         data = _FOLD[data]
+        best = self.short_matches(data, off)
         row, where, place = self.hits(data, off)
         if not len(row):
-            return []
+            return [(r, i, *span) for (r, i), span in sorted(best.items())]
         item = np.searchsorted(self.off, place, "right") - 1
         # A row and item with too few hits altogether have no cell with enough.
         _, pair, count = np.unique(row * len(self.ids) + item, return_inverse=True, return_counts=True)
@@ -150,7 +190,6 @@ class ItemIndex:
         begins = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else cells
         counts = np.diff(np.append(begins, len(cells)))
         full = counts >= self.needed[item[own[begins]]] if len(cells) else np.zeros(0, bool)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for at, count in zip(begins[full].tolist(), counts[full].tolist(), strict=True):
             some = own[at: at + count]
             r, i = int(row[some[0]]), int(item[some[0]])
@@ -166,23 +205,25 @@ class ItemIndex:
         size, budget, needed = int(self.window[i]), int(self.edits[i]), int(self.needed[i])
         positions, diagonals = hits[:, 0], hits[:, 1]
         distinct = np.unique(positions)  # an alignment's common q-grams lie at different positions of the item
-        starts = np.unique(np.clip(np.concatenate((distinct, distinct + Q - size)), 0, len(pattern) - size))
+        starts = np.arange(max(0, distinct[0] + Q - size), min(distinct[-1], len(pattern) - size) + 1)
         enough = np.searchsorted(distinct, starts + size - Q + 1) - np.searchsorted(distinct, starts) >= needed
         low, high = int(diagonals.min()) - budget, int(diagonals.max()) + budget
         out = None
-        aligned = -4
+        following = 0
         for a in starts[enough].tolist():
-            if a <= aligned + 3:
-                continue  # a window that begins up to three bytes earlier has aligned
+            if a < following:
+                continue
             # An exact copy needs no alignment.
             lo, hi = np.searchsorted(positions, (a, a + size - Q + 1))
             middle = int(diagonals[(lo + hi) // 2])
             if a + middle >= 0 and text[a + middle: a + middle + size].tobytes() == pattern[a: a + size].tobytes():
                 found = (a + middle, a + middle + size, 0)
             else:
-                found = banded(pattern[a: a + size].tobytes(), text, a + low, a + high, budget)
-            if found:
-                aligned = a
+                found = banded(pattern[a: a + size].tobytes(), text, a + low - SLACK, a + high + SLACK, budget + SLACK)
+            if found is None or found[2] > budget:
+                following = a + (SLACK + 1 if found is None else found[2] - budget)
+            else:
+                following = a + 4  # windows that begin up to three bytes later hold nothing new
                 out = found if out is None else (min(out[0], found[0]), max(out[1], found[1]), min(out[2], found[2]))
         return out
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .batches import LOWER, mix, row_sums, rows_of, span_hashes, text_slices, word_spans
 from .components import components
 from .rtree import CountTree, Forest, enough, vector_lengths
-from .storage import written
+from .storage import unused, written
 from .wordstats import windows
 
 #: Share of documents from which a shingle is common, and shingles per chunk when counting them.
@@ -333,3 +333,17 @@ def link_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return (features.join(special, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"),
                     F.coalesce("links", F.lit(0)).alias("n_links")))
+
+
+def keep_one_of_each(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """``df`` without near copies: of each component of linked rows the first one stays.
+
+    Decided row by row, whatever the ids are: repeated rows are copies of each
+    other, rows with a null id count like any other, and a row never goes
+    because another one with its id does.  Rows without a set all stay.
+    """
+    row = unused(df, "_row")
+    # Written once, so that a row has the same number wherever it is read again.
+    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    others = link_documents(numbered, words, percent, id_col=row, text_col=text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(row))
+    return numbered.join(others, row, "left_anti").select(*df.columns)

@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 RATIO = 0.005
 LEAST_PAGES = 5
 
@@ -58,19 +60,22 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
 def drop_boilerplate(df: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO,
                      least_pages: int = LEAST_PAGES, dropped: str | None = None) -> DataFrame:
     """``df`` with the boilerplate lines of each row's host gone from its text; ``dropped`` names a column for their number."""
-    known = boilerplate(df, host, text, ratio, least_pages).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    # Rows meet their lines by id and host; a null id, which many rows may share, is told apart by the text.
+    own, other, site, gone, line, known_host = (unused(df, c) for c in ("_id", "_text", "_host", "_gone", "_line", "_known"))
+    apart = F.when(F.col(id_col).isNull(), F.xxhash64(text))
+    known = boilerplate(df, host, text, ratio, least_pages).select(F.col("host").alias(known_host), F.col("line").alias(line))
     rows = (df.where(F.col(text).isNotNull())
-            .select(F.col(id_col).alias("_id"), F.col(host).alias("_own"),
-                    F.explode(F.array_distinct(F.transform(F.split(text, "\n", -1), _line_hash))).alias("_hash")))
-    gone = (rows.join(known, (F.col("_line") == F.col("_hash")) & F.col("_host").eqNullSafe(F.col("_own")))
-            .groupBy("_id", "_own").agg(F.collect_set("_hash").alias("_gone")))
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_own")), "left")
+            .select(F.col(id_col).alias(own), apart.alias(other), F.col(host).alias(site),
+                    F.explode(F.array_distinct(F.transform(F.split(text, "\n", -1), _line_hash))).alias("hash")))
+    lost = (rows.join(known, (F.col(line) == F.col("hash")) & F.col(known_host).eqNullSafe(F.col(site)))
+            .groupBy(own, other, site).agg(F.collect_set("hash").alias(gone)))
+    joined = df.join(lost, F.col(id_col).eqNullSafe(F.col(own)) & apart.eqNullSafe(F.col(other)) & F.col(host).eqNullSafe(F.col(site)), "left")
     lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_gone", _line_hash(x)))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(gone, _line_hash(x)))
+    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     columns = [cleaned.alias(c) if c == text else F.col(c) for c in df.columns]
     if dropped:
-        columns.append(F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("bigint").alias(dropped))
+        columns.append(F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("bigint").alias(dropped))
     return joined.select(*columns)
 
 

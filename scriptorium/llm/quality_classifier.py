@@ -126,9 +126,13 @@ def _sums(label_col: str, text_col: str):
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         max_labelled: int = MAX_LABELLED) -> Discriminant | None:
-    """Fit on the texts of labelled rows (label 0 or 1), at most ``max_labelled`` of them."""
+    """Fit on the texts of labelled rows (label 0 or 1), at most ``max_labelled`` of them.
+
+    An id with several labels takes the more frequent one, and none if they are equally frequent.
+    """
     chosen = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-              .where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).dropDuplicates(["_id"])
+              .where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1))
+              .groupBy("_id").agg(F.avg("_label").alias("_share")).where("_share <> 0.5").select("_id", F.round("_share").cast("int").alias("_label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(max_labelled))
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_label")
     sums = rows.mapInArrow(_sums("_label", "_text"), "k int, place int, value double").groupBy("k", "place").agg(F.sum("value").alias("value"))

@@ -11,7 +11,7 @@ from scriptorium.llm import quality_classifier as qc
 from scriptorium.llm import quality_rules as qr
 from scriptorium.llm.queries import QUERIES
 
-from helpers import HARD_TEXTS, WORD, documents, prose, table
+from helpers import COMPLEMENT, HARD_TEXTS, WORD, documents, prose, table, thue_morse
 
 SF = "/root/testdata/sf0.01"
 
@@ -103,3 +103,19 @@ def test_labelled_rows_are_bounded(spark, bound):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     assert np.allclose(qc.fit(docs, labels, max_labelled=bound).means, qc.fit(docs, chosen).means)
+
+
+def test_lines_that_defeat_polynomial_hashes(spark):
+    line = thue_morse(2048)
+    texts = [f"{line}\n{line.translate(COMPLEMENT)}", f"{line}\n{line}"]
+    got = {r.doc_id: r.n_dup_lines for r in qr.judge(table(spark, texts), np.zeros(qr.BUCKETS, np.float32)).collect()}
+    assert got == {0: 0, 1: 1}
+
+
+def test_contradicting_labels(spark):
+    docs = table(spark, [prose(i, 80) if i % 2 else "## " * 30 + str(i) for i in range(40)])
+    labels = [(i, i % 2) for i in range(40)] + [(1, 1), (1, 0), (3, 0)]  # 1: two to one, 3: undecided
+    clear = [(i, i % 2) for i in range(40) if i != 3]
+    models = [qc.fit(docs, spark.createDataFrame(x, "doc_id bigint, quality int")) for x in (labels, clear)]
+    a, b = ({r.doc_id: r.score for r in qc.classify(docs, m).collect()} for m in models)
+    assert a == b

@@ -14,7 +14,7 @@ from scriptorium.llm.batches import utf8
 from scriptorium.llm.components import components
 from scriptorium.llm.rtree import CountTree, enough, vector_lengths
 
-from helpers import CAPITALS, HARD_TEXTS, WORD, documents, prose, table
+from helpers import CAPITALS, COMPLEMENT, HARD_TEXTS, WORD, documents, prose, table, thue_morse
 
 
 def shingles(text, k):
@@ -156,13 +156,46 @@ def test_decontamination_equals_brute_force():
     assert got == want and len(want) > 20
 
 
+def test_fragments_from_the_inside_of_long_items():
+    rng = random.Random(11)
+    letters = "abcdefghij klm"
+    words = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, words(130)) for i in range(2)]
+    texts = []
+    for _ in range(30):
+        item = rng.choice(items)[1]
+        a = rng.randrange(0, 65)
+        part = list(item[a: a + rng.randrange(60, 75)])
+        for _ in range(rng.randrange(0, 8)):  # near the ends above all, where no q-gram is left to begin a window
+            k = rng.choice([rng.randrange(12), len(part) - 1 - rng.randrange(12)])
+            part[k: k + 1] = rng.choice([["z"], [], [part[k], "z"]])
+        texts.append(words(rng.randrange(30)) + "".join(part) + words(rng.randrange(30)))
+    item = items[0][1]
+    by_hand = list(item[34:98])
+    by_hand[7], by_hand[56] = "z", "z"
+    texts.append("start " + "".join(by_hand) + " end")
+    got = {(r, i) for r, i, *_ in dc.ItemIndex.build(items).matches(*utf8(pa.array(texts)))}
+    want = {(r, i) for r, text in enumerate(texts) for i, item in items
+            if any(semi_global(item[a:a + dc.WINDOW], text) <= dc.EDITS for a in range(len(item) - dc.WINDOW + 1))}
+    assert got == want and (len(texts) - 1, 0) in got and 5 < len(want) < len(texts)
+
+
+def test_short_items_are_found_as_whole_words():
+    items = [(1, "Tiny Item"), (2, "x"), (3, "tiny\titem"), (4, "   "), (5, "c++"), (6, prose(3, 20))]
+    texts = ["a tiny item.", "tiny items", "TINY\nITEM", "", "x", "axe x-ray", "in c++ only", "ñx xñ", "c++x"]
+    got = {(r, dc.ItemIndex.build(items).ids[i]): span for r, i, *span in dc.ItemIndex.build(items).matches(*utf8(pa.array(texts)))}
+    assert set(got) == {(0, 1), (0, 3), (2, 1), (2, 3), (4, 2), (5, 2), (6, 5), (8, 2), (8, 5)} and got[0, 1] == [2, 11, 0]
+    assert {r for r, *_ in dc.ItemIndex.build(items[:2]).matches(*utf8(pa.array(texts)))} == {0, 2, 4, 5, 8}
+    assert dc.ItemIndex.build([(1, ""), (2, "  ")]) is None
+
+
 def test_decontamination_of_tables(spark, monkeypatch):
     items = [prose(i, 30) for i in range(5)]
     benchmark = spark.createDataFrame([*enumerate(items), (5, None), (6, ""), (7, "tiny"), (8, items[0])], "item_id bigint, text string")
     texts = [prose(50, 100) + " " + items[2] + " " + prose(51, 100), items[0].upper().replace(" ", "\n"), prose(52, 300), *HARD_TEXTS, items[2]]
     docs = documents(spark, texts)
     found = {(r.doc_id, r.item_id): (r.start, r.end, r.edits) for r in dc.find_matches(docs, benchmark).collect()}
-    assert set(found) == {(0, 2), (1, 0), (1, 8), (len(texts) - 1, 2)}
+    assert set(found) == {(0, 2), (1, 0), (1, 8), (len(texts) - 1, 2)}  # "tiny" stands nowhere
     start, end, edits = found[0, 2]
     at = len(prose(50, 100)) + 1
     assert abs(start - at) < 8 and abs(end - at - len(items[2])) < 8 and edits == 0
@@ -173,7 +206,25 @@ def test_decontamination_of_tables(spark, monkeypatch):
     assert dc.find_matches(docs, benchmark.limit(0)).count() == 0 and dc.find_matches(docs.limit(0), benchmark).count() == 0
     monkeypatch.setattr(dc, "PART_BYTES", 200)
     parts = dc.item_parts(benchmark, part_bytes=200)
-    assert len(parts) > 1 and sum(len(p.ids) for p in parts) == 6
+    assert len(parts) > 1 and sum(len(p.ids) for p in parts) == 7
+
+
+def test_sets_that_defeat_polynomial_hashes_are_told_apart(spark):
+    word = thue_morse(2048)
+    texts = [f"{word} b c d", f"{word.translate(COMPLEMENT)} b c d", f"{word} b c d"]
+    got = {r.doc_id: r.component_id for r in jj.link_documents(table(spark, texts), 4, 85).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = prose(1, 60)
+    rows = [(1, text), (2, text), (2, prose(2, 60)), (3, prose(3, 60)), (3, prose(3, 60)), (None, prose(4, 60)), (None, prose(4, 60)), (None, prose(5, 60)), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, _row string").coalesce(1)
+    out = jj.keep_one_of_each(df)
+    got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+    assert out.columns == df.columns
+    assert got == sorted([("1", text), ("2", prose(2, 60)), ("3", prose(3, 60)), ("None", prose(4, 60)), ("None", prose(5, 60)), ("4", ""), ("4", ""), ("5", "")])
+    assert jj.keep_one_of_each(df.limit(0)).count() == 0
 
 
 def plain_line_dedup(rows, ratio, least):
@@ -193,7 +244,8 @@ def test_line_dedup_equals_plain(spark):
     lines = [prose(i, 6) for i in range(40)] + ["", "  ", "MENU", " MENU "]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 8))) + ("\nCookies?" if i % 3 else ""), rng.choice(["a", "b", None])) for i in range(150)]
     rows += [(200 + i, "same page\nover and over", "a") for i in range(60)] + [(300 + i, t, "c") for i, t in enumerate(HARD_TEXTS)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, source string, line string")
+    names = ("line", "_id", "_own", "_gone", "_line", "_host", "hash")
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
     out = ld.drop_boilerplate(df, ratio=0.2, least_pages=5)
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}
