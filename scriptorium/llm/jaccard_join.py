@@ -335,15 +335,21 @@ def link_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col: str
                     F.coalesce("links", F.lit(0)).alias("n_links")))
 
 
-def keep_one_of_each(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """``df`` without near copies: of each component of linked rows the first one stays.
+def keep_one_of_each(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without near copies: of each component of linked rows one with the smallest id stays.
 
-    Decided row by row, whatever the ids are: repeated rows are copies of each
-    other, rows with a null id count like any other, and a row never goes
-    because another one with its id does.  Rows without a set all stay.
+    Decided row by row: a row is known by a hash of its id and text, so a row
+    never goes because another one with its id does, rows with a null id (the
+    last to be chosen) count like any other, and of repeated rows one stays.
+    Rows without a set all stay.
     """
-    row = unused(df, "_row")
-    # Written once, so that a row has the same number wherever it is read again.
-    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
-    others = link_documents(numbered, words, percent, id_col=row, text_col=text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(row))
-    return numbered.join(others, row, "left_anti").select(*df.columns)
+    row, first, stays, copies = (unused(df, c) for c in ("_row", "_first", "_stays", "_copies"))
+    keyed = df.withColumn(row, F.xxhash64(id_col, text_col))
+    linked = link_documents(keyed, words, percent, id_col=row, text_col=text_col).where("n_links > 0")
+    members = written(linked.groupBy(F.col("doc_id").alias(row), F.col("component_id").alias("component")).agg(F.count(F.lit(1)).alias(copies)), "linked-rows")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(row).alias("row")))
+    chosen = keyed.select(id_col, row).join(members, row).groupBy("component").agg(best.getField("row").alias(first))
+    marked = members.join(chosen, "component").select(row, copies, (F.col(row) == F.col(first)).alias(stays))
+    single = keyed.join(marked.where(~F.col(stays) | (F.col(copies) > 1)).select(row).distinct(), row, "left_anti")
+    repeated = keyed.join(marked.where(F.col(stays) & (F.col(copies) > 1)).select(row).distinct(), row, "left_semi")
+    return single.unionByName(repeated.dropDuplicates([row, id_col, text_col])).select(*df.columns)
