@@ -42,8 +42,18 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    """File-source stream over one table of a folder of Parquet tables: ``table.parquet`` and later ``table-*.parquet``."""
+    """File-source stream over one table of a folder of Parquet tables.
+
+    A table that Spark wrote is a folder ``table.parquet`` itself: all files
+    present in it are one batch, whatever their number, and files that arrive
+    later are further batches.  Otherwise the table is the file ``table.parquet``
+    and whatever comes as ``table-*.parquet`` later, ``max_files`` a batch.
+    """
     schema = read_table(spark, sf_dir, table).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if len(status) and status[0].isDirectory():
+        return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path.toString())
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}{{,-*}}.parquet")
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 

@@ -97,3 +97,27 @@ def test_oracle_agreement_small(spark, name):
     idx = [dcols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+def test_streams_over_tables_that_are_folders(spark, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    key = ["page_id", "line_number", "prediction"]
+    got = spark.read.parquet(ST.stream_expand(spark, folder)).select(*key)
+    want = load_pairs(spark, SF_SMALL).select("page_id", "line_number", X.expand_literals("ocr_prediction").alias("prediction"))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert spark.read.parquet(ST.stream_metrics_log(spark, folder)).first()["eval_samples"] == want.count()
+    a, b = (sorted(map(tuple, ST.latest_windows(spark, ST.stream_window_cer(spark, d)).collect())) for d in (folder, SF_SMALL))
+    assert a == b and a
+
+
+def test_entry_works_without_the_optional_parts(spark, monkeypatch):
+    import sys
+
+    base = set(E.QUERIES)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "pipeline" not in E.queries() and base <= set(E.queries())
+    monkeypatch.setitem(sys.modules, "scriptorium.llm", None)
+    monkeypatch.setitem(sys.modules, "scriptorium.llm.queries", None)
+    assert set(E.queries()) == base and set(E.oracle_sql()) <= base
