@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.distance import row_cer
+from ..session import ensure_checkpoint_dir
 
 BINS = 30
 
@@ -17,32 +17,26 @@ BINS = 30
 def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
     """AGG-17: ``bins`` equal bins over [min, max], last bin closed; non-empty bins.
 
-    min == max widens the range to +-0.5 (all rows in the middle bin).  An
-    integer column is counted by value first, in one pass over the rows, and
-    the small result is binned.  For other columns one aggregate fixes the
-    range, then the rows are binned and counted in a second pass.
+    min == max widens the range to +-0.5 (all rows in the middle bin); NULLs
+    are in no bin.  The rows are read once: they are counted by distinct value
+    (combined map-side), and both the range and the bins come from that
+    shuffled table, the range as a scalar subquery that reuses its exchange.
     """
-    x = F.col(col).cast("double")
-    if isinstance(df.schema[col].dataType, (T.IntegerType, T.LongType)):
-        values = df.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
-        ends = Window.partitionBy()  # over the distinct values
-        lo1, hi1 = F.min("x").over(ends), F.max("x").over(ends)
-        ranged = (values.where("x IS NOT NULL").select("x", "n", F.when(lo1 == hi1, lo1 - 0.5).otherwise(lo1).alias("lo"), F.when(lo1 == hi1, hi1 + 0.5).otherwise(hi1).alias("hi")))
-        b = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))).cast("bigint"), F.lit(bins - 1))
-        width = (F.col("hi") - F.col("lo")) / bins
-        return (ranged.groupBy(b.alias("bin"), "lo", "hi").agg(F.sum("n").alias("n"))
-                .select("bin", F.round(F.col("lo") + F.col("bin") * width, 6).alias("lower"), F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("upper"), "n"))
-    lo0, hi0 = df.agg(F.min(x), F.max(x)).first()
-    if lo0 is None:
-        return df.sparkSession.createDataFrame([], "bin bigint, lower double, upper double, n bigint")
-    lo, hi = (lo0 - 0.5, hi0 + 0.5) if lo0 == hi0 else (lo0, hi0)
-    b = F.least(F.floor((x - F.lit(lo)) * bins / F.lit(hi - lo)).cast("bigint"), F.lit(bins - 1))
-    # NULLs fall in a NULL bin, dropped after the aggregate: a filter on ``col``
-    # before it would be pushed into (and duplicate) the expression behind ``col``
-    counted = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).where(F.col("bin").isNotNull())
-    width = (F.lit(hi) - F.lit(lo)) / bins
-    return counted.select("bin", F.round(F.lit(lo) + F.col("bin") * width, 6).alias("lower"),
-                          F.round(F.lit(lo) + (F.col("bin") + 1) * width, 6).alias("upper"), "n")
+    values = df.groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    # ``n`` is asked for in the range too, so that both readers of the exchange want the same columns
+    ends = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"))).scalar()
+    ranged = values.select("x", "n", ends.alias("ends")).select("x", "n", "ends.lo", "ends.hi", "ends.rows")
+    same = F.col("lo") == F.col("hi")
+    ranged = ranged.select("x", "n", "rows", F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+                           F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    b = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))).cast("bigint"), F.lit(bins - 1))
+    width = (F.col("hi") - F.col("lo")) / bins
+    # NULLs are left out by the counts: a filter on ``col`` would be pushed into
+    # (and duplicate) the expression behind it
+    counted = (ranged.groupBy(b.alias("bin"), "lo", "hi")
+               .agg(F.sum(F.when(F.col("x").isNotNull() & (F.col("rows") > 0), F.col("n"))).alias("n")).where("n > 0"))
+    return counted.select("bin", F.round(F.col("lo") + F.col("bin") * width, 6).alias("lower"),
+                          F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("upper"), "n")
 
 
 def error_by_length(scores: DataFrame, length: str = "input_length", ed: str = "edit_distance",
@@ -89,14 +83,50 @@ def metric_log(parts: DataFrame, run: str, step: str) -> DataFrame:
         F.count(F.lit(1)).alias("eval_samples"))
 
 
-def metric_trend(log: DataFrame, run: str = "run", step: str = "step", metric: str = "cer") -> DataFrame:
-    """WIN-5: previous value, change and running best per run, in step order."""
-    w = Window.partitionBy(run).orderBy(step)
-    prev = F.lag(metric).over(w)
-    return log.select(run, step, F.round(metric, 6).alias(metric), F.round(prev, 6).alias(f"prev_{metric}"),
-                      F.round(F.col(metric) - prev, 6).alias(f"delta_{metric}"),
-                      F.round(F.min(metric).over(w.rowsBetween(Window.unboundedPreceding, 0)), 6)
-                      .alias(f"best_{metric}_so_far"))
+def step_ranges(log: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(run, step, ...) checkpointed in ranges of (run, step), with the range's number ``part``."""
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
+    # a number of its own keeps AQE from coalescing a long, narrow log into one task
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (log.repartitionByRange(n, "run", "step").sortWithinPartitions("run", "step")
+            .checkpoint(eager=True).withColumn("part", F.spark_partition_id()))
+
+
+def metric_trend(log: DataFrame, run: str = "run", step: str = "step", metric: str = "cer",
+                 ranges: int | None = None) -> DataFrame:
+    """WIN-5: previous value, change and running best per run, in step order.
+
+    A run of any length is cut in ``ranges`` ranges of steps (the session's
+    shuffle partitions, if not given).  Each range is scanned by itself; what
+    the ranges before it hold of its first run, the last value and the best, is
+    one row per range and comes back as a broadcast of that many rows.  The log
+    is checkpointed once, so that its ranges stay as they are in retries.
+    A NULL metric is a value like any other for its successor, and no best one.
+    """
+    cut = step_ranges(log.select(F.col(run).alias("run"), F.col(step).alias("step"), F.col(metric).alias("value")), ranges)
+    by_run = cut.groupBy("part", "run").agg(F.min("value").alias("best"), F.max(F.struct("step", "value")).alias("last"))
+    # Structs keep a NULL run comparable; within a range every run is one row here.
+    edges = by_run.groupBy("part").agg(F.min(F.struct("run")).alias("first"), F.max(F.struct("run", "best", "last")).alias("end"))
+    ends = edges.select("part", F.col("end.run").alias("run"), F.lit(True).alias("is_end"), F.col("end.best").alias("best"), F.col("end.last").alias("last"))
+    starts = edges.select("part", F.col("first.run").alias("run"), F.lit(False).alias("is_end"),
+                          F.lit(None).cast(ends.schema["best"].dataType).alias("best"), F.lit(None).cast(ends.schema["last"].dataType).alias("last"))
+    before = Window.partitionBy("run").orderBy("part", "is_end").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (ends.unionByName(starts)
+               .select("part", F.col("run").alias("carried_run"), "is_end", F.min("best").over(before).alias("carried_best"),
+                       F.last("last", ignorenulls=True).over(before).alias("carried_last"))
+               .where("NOT is_end AND carried_last IS NOT NULL").drop("is_end"))
+    here = Window.partitionBy("part", "run").orderBy("step")
+    scanned = cut.select("*", F.row_number().over(here).alias("place"), F.lag("value").over(here).alias("lagged"),
+                         F.min("value").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
+    # one row per range partition: a proven bound for the broadcast
+    joined = scanned.join(F.broadcast(carried), "part", "left")
+    goes_on = F.col("carried_last").isNotNull() & F.col("run").eqNullSafe(F.col("carried_run"))
+    prev = F.when((F.col("place") == 1) & goes_on, F.col("carried_last.value")).otherwise(F.col("lagged"))
+    best = F.least("least", F.when(goes_on, F.col("carried_best")))
+    return joined.select(F.col("run").alias(run), F.col("step").alias(step), F.round("value", 6).alias(metric),
+                         F.round(prev, 6).alias(f"prev_{metric}"), F.round(F.col("value") - prev, 6).alias(f"delta_{metric}"),
+                         F.round(best, 6).alias(f"best_{metric}_so_far"))
 
 
 def best_checkpoint(log: DataFrame, run: str = "run", step: str = "step", metric: str = "cer") -> DataFrame:
