@@ -66,12 +66,13 @@ def apply_lexicon(lines: DataFrame, lexicon: DataFrame, key=("page_id", "line_nu
 
     Only a line's distinct words meet the lexicon, and only hits come back, as
     one map per line; the line is rebuilt in its own row from its own tokens.
+    Repeated keys share their hits, which are the same whatever row asks.
     """
     key = list(key)
     found = lines.select(*key, F.explode(F.array_distinct(words(src))).alias("_word"))
     lex = lexicon.select(F.col("ocr_word").alias("_word"), F.col("text_word").alias("_rep"))
     hits = (found.join(lex, "_word").groupBy(*key)
-            .agg(F.map_from_entries(F.collect_list(F.struct("_word", "_rep"))).alias("_hits")))
+            .agg(F.map_from_entries(F.collect_set(F.struct("_word", "_rep"))).alias("_hits")))
     staged = lines.join(hits, key, "left").withColumn("_tokens", tokens(src))
     rebuilt = F.array_join(F.transform("_tokens", lambda t: F.coalesce(F.element_at("_hits", t), t)), "")
     return staged.select(*[F.col(c) for c in lines.columns],

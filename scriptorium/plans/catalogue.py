@@ -844,6 +844,7 @@ def best_checkpoint(spark, sf):
 # Streams (STR-1..3): run to completion, then read their sinks back
 # ---------------------------------------------------------------------------
 
+from ..streaming import corrections as SC  # noqa: E402
 from ..streaming import streams as ST  # noqa: E402
 
 
@@ -868,6 +869,20 @@ def stream_expand(spark, sf):
     return spark.read.parquet(ST.stream_expand(spark, sf)).select(*KEY, "prediction")
 
 
+@query("stream_correct", with_pairs("""
+SELECT CAST(1 AS BIGINT) AS version, l.page_id, l.line_number, coalesce(string_agg(coalesce(x.text_word, k.tok), '' ORDER BY k.pos), '') AS prediction
+FROM pairs l LEFT JOIN exptoks k ON l.page_id = k.page_id AND l.line_number = k.line_number LEFT JOIN lex x ON k.tok = x.ocr_word
+GROUP BY l.page_id, l.line_number""", *LEX_CTES[:4], f"""exptoks AS (
+  SELECT page_id, line_number, unnest(t) AS tok, unnest(range(0, len(t))) AS pos
+  FROM (SELECT page_id, line_number, regexp_extract_all({S.expand_literals('ocr_prediction')}, {S.sql_str(S.TOKENS_RE)}) AS t FROM pairs))"""))
+def stream_correct(spark, sf):
+    """STR-2 with MOD-2: streamed expansion and correction by the published lexicon equals the batch result."""
+    lexicons = f"{ST._work_dir(spark, 'lexicons')}/words"
+    SC.publish_lexicon(_lexicon_parts(spark, sf)[1], lexicons)
+    data = SC.stream_correct(spark, sf, lexicons, conversion=X.expand_literals)
+    return spark.read.parquet(data).select("version", *KEY, "prediction")
+
+
 @query("stream_window_cer", with_pairs(f"""
 SELECT strftime(time_bucket(INTERVAL 1 day, CAST(e.ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(time_bucket(INTERVAL 1 day, CAST(e.ts AS TIMESTAMP)) + INTERVAL 1 day, '%Y-%m-%d %H:%M:%S') AS window_end,
