@@ -7,6 +7,8 @@ Spark and the SQL evaluate.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ from ..operators.align import align_pages
 from ..operators.correct import BatchCorrector, apply_lexicon, correct, learn_lexicon
 from ..operators.scores import blank_short_circuit, fallback
 from ..sources.fixture import evenly, load_pairs, noise, read_table
+from ..session import ensure_checkpoint_dir
+from ..sources.pagefiles import read_pages, write_pages
 from ..sources.readers import na_to_null
+from ..sources.sinks import append_metric_log, read_metric_log
 from ..streaming.streams import utc_event_time, utc_text
 from ..functions.distance import normalized_edit_distance
 from . import sqlparts as S
@@ -330,3 +335,25 @@ def spell_evaluation(spark, sf):
     return parts.agg(M.cer("before", "n").alias("cer_lexicon"), M.cer("after", "n").alias("cer_spelled"),
                      F.count_if(F.col("after") < F.col("before")).cast("bigint").alias("lines_better"),
                      F.count_if(F.col("after") > F.col("before")).cast("bigint").alias("lines_worse"))
+
+
+@query("packed_pages", S.with_pairs("""
+SELECT page_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM pairs GROUP BY page_id"""))
+def packed_pages(spark, sf):
+    """SNK-1: all pages written into packed files and read back through their offset index."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/packed-pages-{uuid.uuid4().hex}"
+    write_pages(load_pairs(spark, sf, keep=()), out, "page_id", ["line_number"], "text")
+    parts = read_pages(spark, out)
+    return parts.groupBy(F.col("page").cast("bigint").alias("page_id")).agg(
+        F.sum(F.regexp_count("text", F.lit("\n"))).cast("bigint").alias("n_lines"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
+
+
+@query("metric_log_append", S.with_pairs("""
+SELECT lang AS batch, CAST(count(*) AS VARCHAR) AS eval_samples, CAST(sum(length(text)) AS VARCHAR) AS chars FROM pairs GROUP BY lang"""))
+def metric_log_append(spark, sf):
+    """SNK-6: one batch per language appended to a log, all of them twice; each is one row."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/metric-log-{uuid.uuid4().hex}"
+    rows = load_pairs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("eval_samples"), F.sum(F.length("text")).alias("chars"))
+    for _ in range(2):
+        append_metric_log(rows, out, F.col("lang"))
+    return read_metric_log(spark, out).select("batch", "eval_samples", "chars")

@@ -34,8 +34,11 @@ from ..sources import readers as R
 from ..sources import sinks as K
 
 
-def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=None) -> DataFrame:
-    """Evaluate a corrector on a test CSV; writes metrics JSON, error CSV and examples; returns metrics."""
+def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=None, run: str | None = None) -> DataFrame:
+    """Evaluate a corrector on a test CSV; writes metrics JSON, error CSV and examples; returns metrics.
+
+    ``run`` names the evaluation in the metric log: repeated under its name, it replaces its row.
+    """
     ensure_checkpoint_dir(spark)
     pairs = drop_incomplete(R.read_test_csv(spark, test_csv)).select(R.POSITION, "ocr_prediction", "text")
     indexed = global_index(pairs, [R.POSITION], "sample_id").drop(R.POSITION)
@@ -54,7 +57,7 @@ def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=N
     K.write_metrics_json(metrics, f"{out_dir}/metrics")
     K.append_metric_log(metrics.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("character_error_rate").alias("cer"),
                                        F.col("bleu_score_mean").alias("bleu"), F.col("edit_distance_mean").alias("edit_distance"),
-                                       F.col("total_samples").alias("eval_samples")), f"{out_dir}/metrics_log")
+                                       F.col("total_samples").alias("eval_samples")), f"{out_dir}/metrics_log", run)
     rows = scored.select("sample_id", F.col("ocr_prediction").alias("ocr_input"), "prediction",
                          F.col("text").alias("ground_truth"), F.col("ed").alias("edit_distance"), "bleu_score",
                          F.length("ocr_prediction").alias("input_length"), F.length("prediction").alias("output_length"),

@@ -1,19 +1,21 @@
 """Writers for the reference's outputs (SNK-1..SNK-9).
 
 Every sink is a DataFrame write executed by tasks; nothing is gathered on the
-driver.  Per-page text files are written with ``partitionBy(page)`` after a
-range partitioning on (page, order): a page's rows stay in order and a very
-large page is split across several part files (named in order) instead of
-one task.
+driver.  Per-page texts and reports are packed into files with an offset index
+(:mod:`.pagefiles`): the number of files follows the tasks, not the pages, and
+a very large page is a sequence of parts instead of one task.
 """
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pagefiles import write_pages
+
 # Report layout.
 REPORT_TITLE = "DETAILED OCR CORRECTION RESULTS"
 REPORT_RULE = "=" * 50
@@ -26,19 +28,14 @@ WORST_TITLE = "WORST CORRECTION CASES (Highest Edit Distance)"
 BEST_TITLE = "BEST IMPROVEMENT CASES"
 
 
-def _ordered_text(rows: DataFrame, page: str, order: list[str], text: str, out: str) -> None:
-    (rows.repartitionByRange(page, *order).sortWithinPartitions(page, *order)
-     .select(page, F.col(text).alias("value")).write.mode("overwrite").partitionBy(page).text(out))
-
-
 def write_page_text(blocks: DataFrame, out: str, page: str = "page_id") -> None:
-    """SNK-1: one folder per page holding the corrected text (blocks in order, see AGG-16)."""
-    _ordered_text(blocks, page, ["block"], "text", out)
+    """SNK-1: the corrected text of every page (blocks in order, see AGG-16); read by ``pagefiles.read_pages``."""
+    write_pages(blocks, out, page, ["block"], "text")
 
 
 def write_line_report(lines: DataFrame, out: str, page: str = "page_id", source: str = "image_path",
                       device: str = "spark", page_source: str | None = None) -> None:
-    """SNK-2: detailed per-line report per page (header, one block per line, combined text).
+    """SNK-2: detailed per-line report per page (header, one block per line, combined text); read by ``pagefiles.read_pages``.
 
     ``lines``: page, line_number, ocr_text, corrected_text, image_path, optional bbox struct.
     ``page_source`` names the column with the page's own image; without it the header shows the page.
@@ -60,7 +57,7 @@ def write_line_report(lines: DataFrame, out: str, page: str = "page_id", source:
     final = lines.select(page, F.lit(3).alias("sec"), F.col("line_number").cast("bigint").alias("o"),
                          F.coalesce("corrected_text", F.lit("")).alias("t"))
     rows = head.unionByName(body).unionByName(foot).unionByName(final)
-    _ordered_text(rows, page, ["sec", "o"], "t", out)
+    write_pages(rows, out, page, ["sec", "o"], "t")
 
 
 def write_metrics_json(metrics: DataFrame, out: str) -> None:
@@ -78,9 +75,36 @@ def write_rows_csv(rows: DataFrame, out: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(out)
 
 
-def append_metric_log(row: DataFrame, out: str) -> None:
-    """SNK-6: append metric rows to a CSV log table (each appended file carries its header)."""
-    row.write.mode("append").option("header", True).csv(out)
+def append_metric_log(row: DataFrame, out: str, batch: str | Column | None = None) -> None:
+    """SNK-6: append metric rows to a CSV log.
+
+    Rows belong to a batch, named by a key or by a column, and replace what the
+    log holds of it, so an append that is repeated with its key adds nothing;
+    without a key every append is a batch of its own.  Only a new log gets a header, kept apart from the rows
+    under ``_header``; rows with other columns are refused.
+    """
+    spark = row.sparkSession
+    key = batch if isinstance(batch, Column) else F.lit(batch or uuid.uuid4().hex)
+    header = _log_header(spark, out)
+    if header is None:
+        spark.createDataFrame([(",".join(row.columns),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/_header")
+    elif header != row.columns:
+        raise ValueError(f"the log has the columns {header}, the rows {row.columns}")
+    (row.select("*", key.alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch").csv(out))
+
+
+def _log_header(spark: SparkSession, out: str) -> list[str] | None:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_header/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return None
+    return spark.read.text(f"{out}/_header").first()[0].split(",")
+
+
+def read_metric_log(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of an SNK-6 log, all columns STRING, with the ``batch`` they came in."""
+    columns = [*_log_header(spark, out), "batch"]
+    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(out)
 
 
 def converted_path(input_file: str) -> str:

@@ -12,6 +12,7 @@ from scriptorium.operators.pairs import MissingColumns
 from scriptorium.plans import jobs
 from scriptorium.sources import readers as R
 from scriptorium.sources import sinks as K
+from scriptorium.sources.pagefiles import read_pages
 
 
 def _write(path, text):
@@ -20,6 +21,11 @@ def _write(path, text):
     return path
 
 
+def _page(spark, out, page):
+    parts = read_pages(spark, out, spark.createDataFrame([(page,)], "page string")).orderBy("part").collect()
+    return "".join(r["text"] for r in parts)
+
+
 @pytest.fixture()
 def tmp():
     return tempfile.mkdtemp(prefix="scriptorium-test-")
@@ -88,9 +94,9 @@ def test_segmentation_lines_and_pages(spark, tmp):
                                 "page_id string, line_number int, ocr_text string")
     summary = jobs.page_job(spark, seg, rec, f"{tmp}/out").first()
     assert (summary["n_lines"], summary["text_length"]) == (3, 3 + 0 + 3 + 2)
-    text = spark.read.text(f"{tmp}/out/pages/page_id=page1").collect()
-    assert [r[0] for r in text] == ["tbe", "", "end"]
-    report = "\n".join(r[0] for r in spark.read.text(f"{tmp}/out/reports/page_id=page1").collect())
+    text = _page(spark, f"{tmp}/out/pages", "page1")
+    assert text == "tbe\n\nend\n"
+    report = _page(spark, f"{tmp}/out/reports", "page1")
     assert report.startswith("DETAILED OCR CORRECTION RESULTS") and "Line 4:" in report
     assert "Bounding Box: [10, 2, 30, 9]" in report
 
@@ -126,7 +132,7 @@ def test_input_without_keys_and_file_order(spark, tmp):
     assert jobs.evaluation_job(spark, p, f"{tmp}/eval2").first()["total_samples"] == 12
     rows = spark.read.option("header", True).csv(f"{tmp}/eval2/detailed_error_analysis").collect()
     assert {int(r["sample_id"]): r["ground_truth"] for r in rows} == {i: f"t {i}" for i in range(12)}
-    assert spark.read.option("header", True).csv(f"{tmp}/eval2/metrics_log").first()["eval_samples"] == "12"
+    assert K.read_metric_log(spark, f"{tmp}/eval2/metrics_log").first()["eval_samples"] == "12"
     p = _write(f"{tmp}/ids.csv", "line_id;text;ocr_prediction;page_id;line_number\n" + "".join(f"p_line_{i};t{i};o{i};p;{i}\n" for i in range(20)))
     jobs.training_table_job(spark, p, f"{tmp}/train2")
     from scriptorium.functions.tokens import decode_tokens
@@ -155,7 +161,16 @@ def test_metric_log_append(spark, tmp):
                                 "timestamp string, cer double, bleu double, edit_distance double, eval_samples long")
     K.append_metric_log(row, f"{tmp}/log")
     K.append_metric_log(row, f"{tmp}/log")
-    assert spark.read.option("header", True).csv(f"{tmp}/log").count() == 2
+    assert K.read_metric_log(spark, f"{tmp}/log").count() == 2
+    # A batch that is appended again replaces its row; the others and the header stay.
+    for cer in (0.2, 0.3):
+        K.append_metric_log(row.withColumn("cer", F.lit(cer)), f"{tmp}/log", "step/250 %")
+    log = K.read_metric_log(spark, f"{tmp}/log").orderBy("cer").collect()
+    assert [r["cer"] for r in log] == ["0.1", "0.1", "0.3"] and log[2]["batch"] == "step/250 %"
+    files = [os.path.join(d, f) for d, _, names in os.walk(f"{tmp}/log") for f in names if f.startswith("part-")]
+    assert "".join(open(f).read() for f in files).count("edit_distance") == 1
+    with pytest.raises(ValueError):
+        K.append_metric_log(row.drop("bleu"), f"{tmp}/log")
 
 
 def test_list_pages_base_names(spark, tmp):
