@@ -27,8 +27,8 @@ from ..operators.scores import blank_short_circuit, fallback
 from ..sources.fixture import evenly, load_pairs, noise, read_table
 from ..session import ensure_checkpoint_dir
 from ..sources.pagefiles import read_pages, write_pages
-from ..sources.readers import na_to_null
-from ..sources.sinks import append_metric_log, read_metric_log
+from ..sources.readers import na_to_null, read_csv_strings
+from ..sources.sinks import append_metric_log, read_metric_log, write_rows_csv
 from ..streaming.streams import utc_event_time, utc_text
 from ..functions.distance import normalized_edit_distance
 from . import sqlparts as S
@@ -357,3 +357,15 @@ def metric_log_append(spark, sf):
     for _ in range(2):
         append_metric_log(rows, out, F.col("lang"))
     return read_metric_log(spark, out).select("batch", "eval_samples", "chars")
+
+
+@query("quoted_csv", """
+SELECT doc_id, CAST(length(cell) AS BIGINT) AS chars, md5(cell) AS text_md5
+FROM (SELECT doc_id, CASE WHEN text IN ('', 'NA', 'null', 'N/A', 'None', 'nan') THEN NULL
+                          ELSE replace(text, chr(13) || chr(10), chr(10)) END AS cell FROM documents)""")
+def quoted_csv(spark, sf):
+    """SRC-1: whole texts, line breaks and quotes included, written as CSV and read back by byte ranges."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quoted-csv-{uuid.uuid4().hex}"
+    write_rows_csv(read_table(spark, sf, "documents").select("doc_id", "text"), out)
+    rows = read_csv_strings(spark, out, ",", ["doc_id", "text"], by_ranges=True)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))

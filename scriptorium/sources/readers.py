@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import base_name
 from ..operators.pairs import MissingColumns, require_columns
+from .quoted import read_quoted_csv
 from ..schema import JSONL_SCHEMA, NA_STRINGS, REQUIRED_PAIR_COLUMNS, SEGMENTATION_SCHEMA
 
 SEPARATORS = (";", ",", "\t")
@@ -51,27 +52,36 @@ def file_position() -> F.Column:
                     F.monotonically_increasing_id().alias("row"))
 
 
-def read_csv_strings(spark: SparkSession, path: str, sep: str, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, sep: str, columns: list[str] | None = None, multi_line: bool = True,
+                     by_ranges: bool = False) -> DataFrame:
     """CSV with header, every column STRING, pandas-compatible quoting; ``POSITION`` holds the file order.
 
     A row with more cells than the header raises, as it would in pandas.
     ``multi_line=False`` is for files whose cells hold no line breaks: Spark
-    can then split a file over many tasks.
+    can then split a file over many tasks.  ``by_ranges=True`` splits files whose
+    cells do hold them; their quotes must be balanced (:mod:`.quoted`).
     """
     columns = columns or _columns(header_line(spark, path), sep)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_surplus"]])
+    if by_ranges:
+        return _checked(read_quoted_csv(spark, path, sep, schema.names, POSITION), columns, F.col(POSITION))
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("encoding", "UTF-8").csv(path))
+    return _checked(df, columns, file_position())
+
+
+def _checked(df: DataFrame, columns: list[str], position) -> DataFrame:
+    """Missing cells as NULL, and an error for a row with a surplus cell."""
     message = F.concat(F.lit("more cells than columns, first surplus cell: "), F.col("_surplus"))
     checked = [F.when(F.col("_surplus").isNotNull(), F.raise_error(message)).otherwise(F.col(columns[0])).alias(columns[0]), *columns[1:]]
-    return na_to_null(df.select(*checked, file_position().alias(POSITION)), columns)
+    return na_to_null(df.select(*checked, position.alias(POSITION)), columns)
 
 
 def read_pair_csv(spark: SparkSession, path: str, sep: str = ";",
-                  required=REQUIRED_PAIR_COLUMNS, multi_line: bool = True) -> DataFrame:
+                  required=REQUIRED_PAIR_COLUMNS, multi_line: bool = True, by_ranges: bool = False) -> DataFrame:
     """SRC-1: line-pair CSV (``;``), required columns checked at plan time (PRJ-1)."""
-    df = require_columns(read_csv_strings(spark, path, sep, multi_line=multi_line), required)
+    df = require_columns(read_csv_strings(spark, path, sep, multi_line=multi_line, by_ranges=by_ranges), required)
     if "line_number" in df.columns:
         df = df.withColumn("line_number", F.col("line_number").cast("int"))
     return df
@@ -85,16 +95,16 @@ def sniff_separator(header: str, required=REQUIRED_PAIR_COLUMNS) -> str:
     raise MissingColumns(f"no separator among {SEPARATORS!r} yields columns {list(required)}")
 
 
-def read_test_csv(spark: SparkSession, path: str, required=REQUIRED_PAIR_COLUMNS) -> DataFrame:
+def read_test_csv(spark: SparkSession, path: str, required=REQUIRED_PAIR_COLUMNS, by_ranges: bool = False) -> DataFrame:
     """SRC-2: test CSV with the separator detected from the header line."""
     header = header_line(spark, path)
     sep = sniff_separator(header, required)
-    return read_pair_csv(spark, path, sep, required)
+    return read_pair_csv(spark, path, sep, required, by_ranges=by_ranges)
 
 
-def read_converter_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_converter_csv(spark: SparkSession, path: str, by_ranges: bool = False) -> DataFrame:
     """SRC-3: comma CSV for the expansion job; only ``text`` is required."""
-    return require_columns(read_csv_strings(spark, path, ","), ("text",))
+    return require_columns(read_csv_strings(spark, path, ",", by_ranges=by_ranges), ("text",))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -71,8 +71,8 @@ def write_correction_results(results: DataFrame, out: str) -> None:
 
 
 def write_rows_csv(rows: DataFrame, out: str) -> None:
-    """SNK-5 / SNK-8: comma CSV with header, no index."""
-    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(out)
+    """SNK-5 / SNK-8: comma CSV with header, no index; white space around a cell's text stays."""
+    rows.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"').csv(out)
 
 
 def append_metric_log(row: DataFrame, out: str, batch: str | Column | None = None) -> None:
