@@ -29,8 +29,8 @@ Semantics: words are separated by space and 0x09-0x0D, A-Z is lower-cased;
 texts with fewer words than a shingle have their whole sequence as the one
 shingle; null texts and texts without words have no set and link with nothing.
 Rows with the same id count as documents of their own; rows with a null id are
-kept, count as copies and lend no id, and a set that only they have links with
-nothing else.  Other columns are ignored.  Sets and shingles are compared by
+kept, count as copies and link like any other, and lend no id: a component of
+such rows alone has a null id.  Other columns are ignored.  Sets and shingles are compared by
 64-bit hashes.
 """
 
@@ -52,7 +52,7 @@ COMMON, CHUNK = 1e-3, 2_000_000
 #: Classes of a block that stay together in one task, and of a tile.
 BLOCK, TILE = 2048, 1024
 
-_FEATURES = "doc_id bigint, n bigint, cls bigint, counts binary, prefix array<bigint>"
+_FEATURES = "doc_id bigint, unnamed bigint, n bigint, cls bigint, counts binary, prefix array<bigint>"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +156,10 @@ def _features(words: int, percent: int, shared, id_col: str, text_col: str):
             size = np.where(100 * n >= percent * (n + 1), n - (percent * n + 99) // 100 + 1, 0)
             prefix = _prefixes(sets, bounds, size, common, level).view(np.int64)
             yield pa.record_batch([
-                rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(n), pa.array(set_keys(sets, bounds)),
+                rows.column(rows.schema.get_field_index(id_col)).cast(pa.int64()), rows.column(rows.schema.get_field_index("unnamed")), pa.array(n), pa.array(set_keys(sets, bounds)),
                 pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * at).astype(np.int32).tobytes()), pa.py_buffer(counts.tobytes())]),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(prefix)),
-            ], names=["doc_id", "n", "cls", "counts", "prefix"])
+            ], names=["doc_id", "unnamed", "n", "cls", "counts", "prefix"])
     return run
 
 
@@ -305,18 +305,23 @@ def _verified(percent: int):
 def link_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row."""
     documents = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    # A row without an id is found again by a hash of its text.
+    documents = documents.withColumn("unnamed", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     shared = df.sparkSession.sparkContext.broadcast(common_shingles(documents, words, "text"))  # see its bound
     features = written(documents.mapInArrow(_features(words, percent, shared, "doc_id", "text"), _FEATURES), "shingle-features")
     sets = features.where("n > 0")
     classes = sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix"))
-    known = sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    known = sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("unnamed").alias("unnamed"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     clusters = components(candidate_edges(classes, percent)).withColumnsRenamed({"node": "cls", "root": "cluster"})
     # Tiles of the clusters.
     clusters = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster")
     sized = (clusters.join(known, "cls").withColumn("tiles", _parts("m", TILE, TILE))
-             .select("cluster", "cls", "rep", "copies", _part("cls", "tiles").alias("tile"), "tiles"))
-    shingled = (documents.join(sized, F.col("doc_id") == F.col("rep")).select("cluster", "cls", "copies", "tile", "tiles", "text")
-                .mapInArrow(_shingled(words), "cluster bigint, cls bigint, copies bigint, tile int, tiles int, shingles binary"))
+             .select("cluster", "cls", "rep", "unnamed", "copies", _part("cls", "tiles").alias("tile"), "tiles"))
+    member = ["cluster", "cls", "copies", "tile", "tiles", "text"]
+    texts = documents.select("doc_id", "text").join(sized.drop("unnamed"), F.col("doc_id") == F.col("rep")).select(member)
+    nameless = documents.where("doc_id IS NULL").select("unnamed", "text").dropDuplicates(["unnamed"])
+    texts = texts.unionByName(nameless.join(sized.where("rep IS NULL"), "unnamed").select(member))
+    shingled = texts.mapInArrow(_shingled(words), "cluster bigint, cls bigint, copies bigint, tile int, tiles int, shingles binary")
     tasks = (shingled.withColumn("other", _others("tiles"))
              .select(_task("cluster", "tile", "other"), "cls", "copies", "tile",
                      (F.col("tile") == F.col("other")).alias("same"), "shingles"))

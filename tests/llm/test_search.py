@@ -93,6 +93,19 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert jj.link_documents(df.limit(0), 4, 85).count() == 0
 
 
+def test_rows_without_ids_link_like_any_other(spark):
+    words = [f"w{i}" for i in range(100)]
+    one = words[:20] + ["x"] + words[21:]
+    two = one[:70] + ["y"] + one[71:]
+    texts = [" ".join(t) for t in (words, one, two)]
+    assert brute_links([texts[0], texts[2]], 4, 85)[0][2] == 0   # only the middle one connects the two
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(5, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (None, other), (None, other + " z")]
+    got = sorted((str(r.doc_id), str(r.component_id), r.n_links) for r in
+                 jj.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 4, 85).collect())
+    assert got == sorted([("5", "3", 2), ("None", "3", 3), ("None", "3", 3), ("3", "3", 2), ("None", "None", 1), ("None", "None", 1)])
+
+
 def test_tree_finds_every_pair_that_the_bound_allows():
     rng = np.random.default_rng(3)
     sets = []
