@@ -844,6 +844,7 @@ def best_checkpoint(spark, sf):
 # Streams (STR-1..3): run to completion, then read their sinks back
 # ---------------------------------------------------------------------------
 
+from ..streaming import arrivals as SA  # noqa: E402
 from ..streaming import corrections as SC  # noqa: E402
 from ..streaming import streams as ST  # noqa: E402
 
@@ -896,6 +897,22 @@ def stream_window_cer(spark, sf):
     return ST.latest_windows(spark, ST.stream_window_cer(spark, sf))
 
 
+@query("stream_arrivals_cer", with_pairs(f"""
+SELECT strftime(time_bucket(INTERVAL 1 day, CAST(e.ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(time_bucket(INTERVAL 1 day, CAST(e.ts AS TIMESTAMP)) + INTERVAL 1 day, '%Y-%m-%d %H:%M:%S') AS window_end,
+       CAST(count(*) AS BIGINT) AS events, CAST(sum(d.errors) AS BIGINT) AS errors, CAST(sum(d.chars) AS BIGINT) AS chars,
+       coalesce(CAST(sum(d.errors) AS DOUBLE) / nullif(sum(d.chars), 0), 0.0) AS cer
+FROM events e JOIN arrived d ON e.user_id = d.page_id AND CAST(e.ts AS TIMESTAMP) >= d.at AND CAST(e.ts AS TIMESTAMP) < d.at + INTERVAL 7 day
+GROUP BY ALL""", f"""docerr AS (SELECT page_id, sum(levenshtein({S.norm('ocr_prediction')}, {S.norm('text')})) AS errors,
+                           sum(length({S.norm('text')})) AS chars FROM pairs GROUP BY page_id)""",
+    """arrived AS (SELECT doc_id AS page_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS at,
+                   coalesce(errors, 0) AS errors, coalesce(chars, 0) AS chars
+            FROM documents LEFT JOIN docerr ON docerr.page_id = doc_id)"""))
+def stream_arrivals_cer(spark, sf):
+    """STR-3 with both sides moving: watermarked stream-stream join, CER per day."""
+    return SA.window_totals(spark, SA.stream_arrivals_cer(spark, sf))
+
+
 @query("score_correlations", with_pairs("""
 SELECT round(corr(CAST(input_length AS DOUBLE), CAST(edit_distance AS DOUBLE)), 6) AS corr_length_edit_distance,
        round(corr(CAST(input_length AS DOUBLE), CASE WHEN length(ground_truth) = 0 THEN 0.0
