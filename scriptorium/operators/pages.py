@@ -73,6 +73,23 @@ def assemble_blocks(lines: DataFrame, page: str = "page_id", order: str = "line_
                                  lambda s: s["t"]), "\n").alias("text"))
 
 
+def page_results(lines: DataFrame, page: str = "page_id", order: str = "line_number",
+                 text: str = "text", block_lines: int = BLOCK_LINES) -> DataFrame:
+    """AGG-16 page level: (page, n_blocks, n_lines, n_blank, first_line, last_line, text_length), one row per page.
+
+    ``n_blocks`` is the number of rows that :func:`assemble_blocks` has for the
+    page.  Lines are counted per block first, so a page of any size reaches the
+    second aggregate as its blocks.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    blocks = lines.groupBy(page, F.floor(F.col(order) / block_lines).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(t == "").alias("blank"), F.sum(F.length(t)).alias("chars"),
+        F.min(order).alias("lo"), F.max(order).alias("hi"))
+    return blocks.groupBy(page).agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.sum("n").alias("n_lines"), F.sum("blank").alias("n_blank"),
+        F.min("lo").alias("first_line"), F.max("hi").alias("last_line"), (F.sum("chars") + F.sum("n") - 1).alias("text_length"))
+
+
 def page_summary(lines: DataFrame, page: str = "page_id", text: str = "text") -> DataFrame:
     """AGG-14: lines, length of the joined text (newlines included), length / lines."""
     agg = lines.groupBy(page).agg(F.count(F.lit(1)).alias("n_lines"),

@@ -482,6 +482,30 @@ def padded_batches(spark, sf):
                     F.array_join("labels_padded", ",").alias("labels_padded"))
 
 
+@query("padded_inputs", with_pairs(f"""
+SELECT page_id, line_number, idx // 8 AS batch,
+       array_to_string(list_concat(ids, list_transform(range(0, longest - len(ids)), lambda i: 0)), ',') AS input_ids_padded,
+       CAST(len(ids) AS BIGINT) AS mask_ones, CAST(longest AS BIGINT) AS mask_length, CAST(len(ids) AS BIGINT) AS first_zero
+FROM (SELECT *, max(len(ids)) OVER (PARTITION BY idx // 8) AS longest
+      FROM (SELECT page_id, line_number, CAST(row_number() OVER (ORDER BY page_id, line_number) - 1 AS BIGINT) AS idx,
+                   {_ids_sql(S.sql_str(PREFIX_TRAIN) + ' || ocr_prediction')} AS ids FROM pairs))"""))
+def padded_inputs(spark, sf):
+    """SCA-7b: inputs padded with 0 to the longest row of each batch of 8, and the attention mask: ones, then zeros."""
+    b = TR.padded_batches(TR.tokenized(_split_pairs(spark, sf), KEY), 8)
+    zero = F.array_position("attention_mask_padded", 0)
+    return b.select(*KEY, "batch", F.array_join("input_ids_padded", ",").alias("input_ids_padded"),
+                    F.aggregate("attention_mask_padded", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("mask_ones"),
+                    F.size("attention_mask_padded").cast("bigint").alias("mask_length"),
+                    F.when(zero == 0, F.size("attention_mask_padded")).otherwise(zero - 1).cast("bigint").alias("first_zero"))
+
+
+@query("head_rows", with_pairs("""
+SELECT page_id, line_number, line_id, ocr_prediction, text FROM pairs ORDER BY page_id, line_number LIMIT 5"""))
+def head_rows(spark, sf):
+    """TOP-4: the first five rows in key order (a top-k)."""
+    return TR.first_examples(_pairs(spark, sf), 5, KEY).select(*KEY, "line_id", "ocr_prediction", "text")
+
+
 @query("greedy_argmax", """
 SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings""")
 def greedy_argmax(spark, sf):
@@ -716,6 +740,16 @@ def assemble_conversations(spark, sf):
     return b.select("conv_id", "block", "first_line", F.col("n_lines").cast("bigint").alias("n_lines"), "text")
 
 
+@query("page_results", with_pairs("""
+SELECT page_id, CAST(count(DISTINCT line_number // 256) AS BIGINT) AS n_blocks, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE prediction = '') AS BIGINT) AS n_blank, min(line_number) AS first_line, max(line_number) AS last_line,
+       CAST(sum(length(prediction)) + count(*) - 1 AS BIGINT) AS text_length
+FROM predicted GROUP BY page_id""", PRED_CTE))
+def page_results(spark, sf):
+    """AGG-16 as one row per page: how many blocks hold its text, and what they hold together."""
+    return P.page_results(_predicted(spark, sf), "page_id", "line_number", "prediction")
+
+
 @query("page_summary", with_pairs("""
 SELECT page_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(prediction)) + count(*) - 1 AS BIGINT) AS text_length,
        round((sum(length(prediction)) + count(*) - 1) / count(*), 6) AS avg_line_length

@@ -369,3 +369,20 @@ def quoted_csv(spark, sf):
     write_rows_csv(read_table(spark, sf, "documents").select("doc_id", "text"), out)
     rows = read_csv_strings(spark, out, ",", ["doc_id", "text"], by_ranges=True)
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query("segmentation_defaults", """
+SELECT vec_id, CAST(1 AS INTEGER) AS line_number, CASE WHEN vec_id % 3 = 0 THEN 'vertical-rl' ELSE 'horizontal-lr' END AS text_direction,
+       CASE WHEN vec_id % 2 = 0 THEN 'polygon' ELSE 'baseline' END AS type, vec_id % 5 = 0 AS has_baseline, TRUE AS no_boundary
+FROM embeddings""")
+def segmentation_defaults(spark, sf):
+    """PRJ-12: direction and type as given, or their defaults; parts that a line does not have are NULL."""
+    given = lambda n, value: F.when(F.col("vec_id") % n == 0, F.lit(value))
+    baseline = F.when(F.col("vec_id") % 5 == 0, F.array(F.array(F.lit(1), F.lit(2))))
+    seg = read_table(spark, sf, "embeddings").select(
+        "vec_id", given(3, "vertical-rl").alias("text_direction"), given(2, "polygon").alias("type"),
+        F.array(F.struct(F.lit(None).cast("array<array<int>>").alias("boundary"), baseline.alias("baseline"),
+                         F.array(*map(F.lit, (1, 2, 3, 4))).alias("bbox"))).alias("lines"))
+    lines = P.segmentation_lines(seg, "vec_id")
+    return lines.select("vec_id", "line_number", "text_direction", "type", F.col("baseline").isNotNull().alias("has_baseline"),
+                        F.col("boundary").isNull().alias("no_boundary"))
