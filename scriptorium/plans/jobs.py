@@ -37,6 +37,7 @@ from ..sources import sinks as K
 def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=None, run: str | None = None) -> DataFrame:
     """Evaluate a corrector on a test CSV; writes metrics JSON, error CSV and examples; returns metrics.
 
+    Without a corrector nothing is predicted, and the times are NULL.
     ``run`` names the evaluation in the metric log: repeated under its name, it replaces its row.
     """
     ensure_checkpoint_dir(spark)
@@ -50,11 +51,12 @@ def evaluation_job(spark: SparkSession, test_csv: str, out_dir: str, corrector=N
     fixed = fallback(blank_short_circuit(fixed, "ocr_prediction", "prediction"), "ocr_prediction", "prediction")
     if corrector is not None:
         fixed = fixed.checkpoint(eager=True)
-    elapsed = time.time() - t0
+    elapsed = time.time() - t0 if corrector is not None else None
     scored = score_parts(fixed, "prediction", "text", ocr="ocr_prediction").checkpoint(eager=True)
-    metrics = M.evaluate(scored).select("*", F.lit(elapsed).alias("evaluation_time_seconds"),
-                                        (F.col("total_samples") / F.lit(max(elapsed, 1e-9))).alias("samples_per_second"))
-    K.write_metrics_json(metrics, f"{out_dir}/metrics")
+    metrics = M.evaluate(scored).select("*", F.lit(elapsed).cast("double").alias("evaluation_time_seconds"),
+                                        F.try_divide(F.col("total_samples").cast("double"), F.lit(elapsed).cast("double")).alias("samples_per_second"))
+    K.write_evaluation_json(metrics, scored.select("sample_id", "bleu_score", F.col("ed").alias("edit_distance")), out_dir,
+                            {"test_data": test_csv, "corrector": "none" if corrector is None else type(corrector).__name__, "run": run})
     K.append_metric_log(metrics.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("character_error_rate").alias("cer"),
                                        F.col("bleu_score_mean").alias("bleu"), F.col("edit_distance_mean").alias("edit_distance"),
                                        F.col("total_samples").alias("eval_samples")), f"{out_dir}/metrics_log", run)

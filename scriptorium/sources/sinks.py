@@ -65,6 +65,19 @@ def write_metrics_json(metrics: DataFrame, out: str) -> None:
     metrics.write.mode("overwrite").json(out)
 
 
+def write_evaluation_json(metrics: DataFrame, scores: DataFrame, out: str, summary: dict[str, str | None]) -> None:
+    """SNK-3: ``metrics`` with an ``evaluation_summary`` of the run, and the scores of every row.
+
+    The reference's lists of row scores are JSON lines of their own under
+    ``row_scores``, one per row with its ``sample_id``: one value holding them
+    all would pass through one task.
+    """
+    about = F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("evaluation_date"),
+                     *[F.lit(v).cast("string").alias(k) for k, v in summary.items()])
+    write_metrics_json(metrics.select("*", about.alias("evaluation_summary")), f"{out}/metrics")
+    scores.write.mode("overwrite").json(f"{out}/row_scores")
+
+
 def write_correction_results(results: DataFrame, out: str) -> None:
     """SNK-4 results part: line_id, original_ocr, ground_truth, prediction, exact_match."""
     results.write.mode("overwrite").json(out)

@@ -117,6 +117,12 @@ def test_evaluation_and_training_jobs(spark, tmp):
     p = _write(f"{tmp}/pairs.csv", "\n".join(rows) + "\n")
     m = jobs.evaluation_job(spark, p, f"{tmp}/eval").first()
     assert m["total_samples"] == 40 and 0 < m["character_error_rate"] < 1
+    assert m["samples_per_second"] is None                    # nothing was predicted
+    saved = spark.read.json(f"{tmp}/eval/metrics").first()
+    assert saved["evaluation_summary"]["test_data"] == p and saved["evaluation_summary"]["evaluation_date"]
+    scores = spark.read.json(f"{tmp}/eval/row_scores").collect()
+    assert sorted(r["sample_id"] for r in scores) == list(range(40)) and all(r["edit_distance"] == 1 for r in scores)
+    assert sum(r["bleu_score"] for r in scores) / 40 == pytest.approx(m["bleu_score_mean"])
     assert spark.read.option("header", True).csv(f"{tmp}/eval/detailed_error_analysis").count() == 40
     assert "WORST CORRECTION CASES" in spark.read.text(f"{tmp}/eval/error_examples").first()[0]
     rep = {r["split"]: r["rows"] for r in jobs.training_table_job(spark, p, f"{tmp}/train").collect()}
@@ -153,7 +159,10 @@ def test_corrector_in_jobs(spark, tmp):
     from scriptorium.operators.correct import BatchCorrector
     p = _write(f"{tmp}/c.csv", "text;ocr_prediction\nthe cat;tbe cat\nthe dog;tbe dog\n")
     fix = BatchCorrector(lambda: lambda texts: [t.replace("tbe", "the") + " " for t in texts])
-    assert jobs.evaluation_job(spark, p, f"{tmp}/ce", fix).first()["exact_matches"] == 2
+    m = jobs.evaluation_job(spark, p, f"{tmp}/ce", fix, run="first").first()
+    assert m["exact_matches"] == 2 and m["samples_per_second"] == pytest.approx(2 / m["evaluation_time_seconds"])
+    jobs.evaluation_job(spark, p, f"{tmp}/ce", fix, run="first")
+    assert K.read_metric_log(spark, f"{tmp}/ce/metrics_log").count() == 1
 
 
 def test_metric_log_append(spark, tmp):
