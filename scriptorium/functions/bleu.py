@@ -11,9 +11,9 @@ Definition (public BLEU defaults): 13a tokenisation, case kept, n-grams up to
   so far including this one;
 * brevity penalty ``exp(1 - |ref| / |hyp|)`` when the hypothesis is shorter.
 
-Clipped counts are computed in the row: each n-gram is tagged with its
-occurrence number (k-th copy), so the multiset intersection is the plain
-``array_intersect`` of tagged arrays.  No explode, no shuffle.
+Clipped counts are computed in the row: where one side repeats no n-gram they
+are the size of ``array_intersect``, else the common n-grams are counted on
+both sides.  No explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -27,19 +27,26 @@ from .text import _c, words, WS_CLASS
 
 MAX_ORDER = 4
 
-# 13a tokenisation rules, applied in this order.
+# 13a tokenisation rules, applied in this order.  The first class of the definition also has the
+# space, which would only become three spaces.
 _13A_LITERALS = [("<skipped>", ""), ("-\n", ""), ("\n", " "),
                  ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 _13A_REGEXES = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 ]
+#: ASCII punctuation but the apostrophe: without it, no literal and no rule does anything but change whitespace.
+_13A_TOUCHED = r"[!-&(-/:-@\[-`{-~]"
 
 
 def tokens_13a(x) -> Column:
-    """SCA-8b: 13a tokens of a string (array<string>)."""
+    """SCA-8b: 13a tokens of a string (array<string>); a text without punctuation has its words."""
+    return F.when(_c(x).rlike(_13A_TOUCHED), _tokens_13a(x)).otherwise(words(x))
+
+
+def _tokens_13a(x) -> Column:
     s = F.regexp_replace(_c(x), f"{WS_CLASS}+$", "")          # rstrip
     for a, b in _13A_LITERALS:
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -54,42 +61,46 @@ def tokens_plain(x) -> Column:
     return words(x)
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1),
-                        lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+def _ngrams(joined: Column, n: int) -> Column:
+    # ``joined``: tokens with a space between them; a token holds none.
+    return F.regexp_extract_all(joined, F.lit("(?:^| )(?=([^ ]++" + " [^ ]++" * (n - 1) + "))"), 1)
+
 
+def _clipped(hyp: Column, ref: Column) -> Column:
+    """Sum over distinct n-grams of min(count in hyp, count in ref); both are column references.
+
+    If one side repeats no n-gram, that is the number of common ones.
+    """
+    def times(grams, g):
+        return F.size(grams) - F.size(F.array_remove(grams, g))
 
-def _tagged(sorted_grams: Column) -> Column:
-    # k-th copy of a gram -> "gram\x01k".  ``sorted_grams`` must be a column
-    # reference: it is read inside the lambda, once per element.
-    return F.transform(sorted_grams, lambda g, i: F.concat(
-        g, F.lit("\u0001"), (i + 1 - F.array_position(sorted_grams, g)).cast("string")))
+    common = F.array_intersect(hyp, ref)
+    once = (F.size(F.array_distinct(hyp)) == F.size(hyp)) | (F.size(F.array_distinct(ref)) == F.size(ref))
+    return F.when(once, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda total, g: total + F.least(times(hyp, g), times(ref, g))))
 
 
 def ngram_stats(df: DataFrame, hyp_tokens: str, ref_tokens: str, prefix: str = "_bl") -> DataFrame:
     """Add ``{prefix}_c{n}``, ``{prefix}_t{n}``, ``{prefix}_lh``, ``{prefix}_lr`` columns.
 
-    Sorted n-gram arrays are projected first, so the tagging lambda reads a
-    materialised column instead of recomputing the n-grams per element.
+    N-gram arrays are projected first, so the counts read materialised columns.
     Identical token arrays skip the n-grams: every n-gram matches (c_n = t_n).
     """
     ht, rt = F.col(hyp_tokens), F.col(ref_tokens)
     same = F.col(f"{prefix}_same")
-    staged = df.select("*", (ht == rt).alias(f"{prefix}_same"))
+    # tokens hold no space: joined, they are equal if the arrays are
+    staged = df.select("*", F.array_join(ht, " ").alias(f"{prefix}_jh"), F.array_join(rt, " ").alias(f"{prefix}_jr"))
+    jh, jr = F.col(f"{prefix}_jh"), F.col(f"{prefix}_jr")
+    staged = staged.select("*", (jh == jr).alias(f"{prefix}_same"))
     grams = []
     for n in range(1, MAX_ORDER + 1):
-        grams.append(F.when(~same, F.array_sort(_ngrams(ht, n))).alias(f"{prefix}_gh{n}"))
-        grams.append(F.when(~same, F.array_sort(_ngrams(rt, n))).alias(f"{prefix}_gr{n}"))
-    staged = staged.select("*", *grams)
+        grams.append(F.when(~same, ht if n == 1 else _ngrams(jh, n)).alias(f"{prefix}_gh{n}"))
+        grams.append(F.when(~same, rt if n == 1 else _ngrams(jr, n)).alias(f"{prefix}_gr{n}"))
+    staged = staged.select(*[F.col(c) for c in df.columns], same, *grams)
     cols = [F.size(ht).alias(f"{prefix}_lh"), F.size(rt).alias(f"{prefix}_lr")]
     for n in range(1, MAX_ORDER + 1):
         tn = F.greatest(F.size(ht) - (n - 1), F.lit(0))
         cols.append(tn.alias(f"{prefix}_t{n}"))
-        cols.append(F.when(same, tn).otherwise(
-            F.size(F.array_intersect(_tagged(F.col(f"{prefix}_gh{n}")), _tagged(F.col(f"{prefix}_gr{n}")))))
-            .alias(f"{prefix}_c{n}"))
+        cols.append(F.when(same, tn).otherwise(_clipped(F.col(f"{prefix}_gh{n}"), F.col(f"{prefix}_gr{n}"))).alias(f"{prefix}_c{n}"))
     return staged.select(*[F.col(c) for c in df.columns], *cols)
 
 

@@ -18,7 +18,7 @@ def _c(x) -> Column:
 
 def words(x) -> Column:
     """Python ``str.split()``: maximal non-whitespace runs (array<string>)."""
-    return F.filter(F.split(_c(x), WS_RUN), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(_c(x), WS_RUN), "")
 
 
 def ws_normalize(x) -> Column:
