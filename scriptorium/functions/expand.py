@@ -121,12 +121,23 @@ def _ordered_unique(pairs):
     return out
 
 
+def _any_key() -> str:
+    # every key with a character beyond ASCII is announced by its first such character, the others by themselves
+    beyond = {next(ch for ch in k if ch > "\x7f") for k, _ in ABBREVIATIONS if not k.isascii()}
+    plain = [k for k, _ in ABBREVIATIONS if k.isascii()]
+    return "|".join(["[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in sorted(beyond)) + "]", *sorted(set(plain))])
+
+
+#: Found in every text that holds a key of the literal map (and in some that hold none).
+ANY_KEY = _any_key()
+
+
 def expand_literals(x) -> Column:
-    """SCA-5: ordered literal replacements."""
+    """SCA-5: ordered literal replacements; a text without any key is passed by the replacements."""
     c = _c(x)
     for k, v in _ordered_unique(ABBREVIATIONS):
         c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+    return F.when(~_c(x).rlike(ANY_KEY), _c(x)).otherwise(c)
 
 
 def expand_patterns(x) -> Column:

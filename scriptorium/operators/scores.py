@@ -48,7 +48,7 @@ def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
     cmp = F.zip_with("_cp", "_cr", lambda a, b: F.when(a == b, 2).when(
         F.coalesce(a, F.lit(" ")) == F.coalesce(b, F.lit(" ")), 1).otherwise(0))
     measures = [
-        D.edit_distance(p, r).alias("ed"),
+        D.edit_distance(pred, ref).alias("ed"),
         D.edit_distance("_np", "_nr").alias("ed_norm"),
         F.length("_nr").cast("bigint").alias("ref_norm_len"),
         F.size("_wr").cast("bigint").alias("ref_words"),
@@ -61,7 +61,7 @@ def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
     ]
     if ocr is not None:
         o = F.col(ocr)
-        measures += [D.edit_distance(o, r).alias("ocr_ed"),
+        measures += [D.edit_distance(ocr, ref).alias("ocr_ed"),
                      D.edit_distance(ws_normalize(o), F.col("_nr")).alias("ocr_ed_norm")]
     out = st.select(*[F.col(c) for c in cols], *measures)
     out = out.select(*[F.col(c) for c in out.columns if c != "_cmp"],

@@ -33,7 +33,7 @@ def noise(text, line_number):
     """Fixed OCR noise of the fixture (FIXTURES §2)."""
     t = F.col(text) if isinstance(text, str) else text
     n = F.col(line_number) if isinstance(line_number, str) else line_number
-    base = F.replace(F.translate(t, "uc", "ne"), F.lit("m"), F.lit("rn"))
+    base = F.replace(F.replace(F.replace(t, F.lit("u"), F.lit("n")), F.lit("c"), F.lit("e")), F.lit("m"), F.lit("rn"))
     return (F.when(n % 4 == 0, t)
             .when(n % 7 == 0, F.replace(base, F.lit(" a"), F.lit(" ")))
             .otherwise(F.replace(F.replace(base, F.lit("th"), F.lit("tb")), F.lit("li"), F.lit("h"))))
