@@ -125,7 +125,8 @@ def _any_key() -> str:
     # every key with a character beyond ASCII is announced by its first such character, the others by themselves
     beyond = {next(ch for ch in k if ch > "\x7f") for k, _ in ABBREVIATIONS if not k.isascii()}
     plain = [k for k, _ in ABBREVIATIONS if k.isascii()]
-    return "|".join(["[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in sorted(beyond)) + "]", *sorted(set(plain))])
+    # ASCII characters are refused before the list of the others is tried
+    return "|".join(["[[^\\x00-\\x7f]&&[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in sorted(beyond)) + "]]", *sorted(set(plain))])
 
 
 #: Found in every text that holds a key of the literal map (and in some that hold none).

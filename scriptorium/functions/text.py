@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import WS_CLASS, WS_RUN
+from ..schema import ODD_WS, WS_CLASS, WS_RUN
+
+#: Maximal runs without and with whitespace.
+WORD_RUN = f"[^{WS_CLASS[1:-1]}]+"
 
 
 def _c(x) -> Column:
@@ -18,7 +21,19 @@ def _c(x) -> Column:
 
 def words(x) -> Column:
     """Python ``str.split()``: maximal non-whitespace runs (array<string>)."""
-    return F.array_remove(F.split(_c(x), WS_RUN), "")
+    return _runs(x, r"\S+", WORD_RUN)
+
+
+def word_and_space_runs(x) -> Column:
+    """Word and whitespace runs, alternating, in order (joining them gives the input back)."""
+    return _runs(x, r"\S+|\s+", f"{WORD_RUN}|{WS_RUN}")
+
+
+def _runs(x, plain: str, general: str) -> Column:
+    # Java tries every range of a class on every character; the short class does where its whitespace is all there is.
+    c = _c(x)
+    found = lambda pattern: F.regexp_extract_all(c, F.lit(pattern), 0)
+    return F.when(c.rlike(ODD_WS), found(general)).otherwise(found(plain))
 
 
 def ws_normalize(x) -> Column:

@@ -28,31 +28,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import chars, words
-from ..schema import WS_CLASS
-
-TOKEN_PATTERN = f"[^{WS_CLASS[1:-1]}]+|{WS_CLASS}+"
-
-
-def tokens(x) -> F.Column:
-    """Word and whitespace runs, alternating, in order (joining them gives the input back)."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0)
+from ..functions.text import chars, word_and_space_runs as tokens, words
 
 
 def word_pairs(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
     """Aligned word pairs of lines whose word counts agree."""
-    wo, wt = words(ocr), words(truth)
-    return (pairs.select(wo.alias("_wo"), wt.alias("_wt"))
-            .where(F.size("_wo") == F.size("_wt"))
-            .select(F.explode(F.arrays_zip(F.col("_wo").alias("ocr_word"), F.col("_wt").alias("text_word"))).alias("p"))
+    # The condition stands inside the explode: as a filter it would be pushed below the words and find them again.
+    aligned = F.when(F.size("_wo") == F.size("_wt"), F.arrays_zip(F.col("_wo").alias("ocr_word"), F.col("_wt").alias("text_word")))
+    return (pairs.select(words(ocr).alias("_wo"), words(truth).alias("_wt")).select(F.explode(aligned).alias("p"))
             .select("p.ocr_word", "p.text_word"))
 
 
+def pair_counts(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
+    """(ocr_word, text_word, n): aligned word pairs, counted."""
+    return word_pairs(pairs, ocr, truth).groupBy("ocr_word", "text_word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def learn_lexicon(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text",
                   min_support: int = 2) -> DataFrame:
     """MOD-2: (ocr_word, text_word, support, seen) - best reading per OCR word."""
-    counts = word_pairs(pairs, ocr, truth).groupBy("ocr_word", "text_word").agg(F.count(F.lit(1)).alias("n"))
+    return lexicon_of(pair_counts(pairs, ocr, truth), min_support)
+
+
+def lexicon_of(counts: DataFrame, min_support: int = 2) -> DataFrame:
+    """MOD-2 from :func:`pair_counts`."""
     best = counts.groupBy("ocr_word").agg(
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("text_word").alias("w"))).alias("b"),
         F.sum("n").alias("seen"))
@@ -81,11 +80,16 @@ def apply_lexicon(lines: DataFrame, lexicon: DataFrame, key=("page_id", "line_nu
 
 def confusion_table(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
     """MOD-3: (ocr_char, text_char, n) over aligned same-length words, confusions only."""
-    wp = word_pairs(pairs, ocr, truth).where(F.length("ocr_word") == F.length("text_word"))
-    zipped = wp.select(F.explode(F.arrays_zip(chars("ocr_word").alias("ocr_char"),
-                                              chars("text_word").alias("text_char"))).alias("z"))
-    return (zipped.select("z.ocr_char", "z.text_char").where(F.col("ocr_char") != F.col("text_char"))
-            .groupBy("ocr_char", "text_char").agg(F.count(F.lit(1)).alias("n")))
+    return confusions_of(pair_counts(pairs, ocr, truth))
+
+
+def confusions_of(counts: DataFrame) -> DataFrame:
+    """MOD-3 from :func:`pair_counts`: the characters of a pair of words are compared once, however often it occurs."""
+    differ = counts.where((F.length("ocr_word") == F.length("text_word")) & (F.col("ocr_word") != F.col("text_word")))
+    zipped = differ.select("n", F.explode(F.arrays_zip(chars("ocr_word").alias("ocr_char"),
+                                                       chars("text_word").alias("text_char"))).alias("z"))
+    return (zipped.select("z.ocr_char", "z.text_char", "n").where(F.col("ocr_char") != F.col("text_char"))
+            .groupBy("ocr_char", "text_char").agg(F.sum("n").alias("n")))
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 WS_CLASS = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 WS_RUN = WS_CLASS + "+"
+# The part of it that Java's \s lacks.  ASCII is refused by the first look, and few other texts hold any.
+ODD_WS = (r"[[^\x{9}-\x{d}\x{20}-\x{7e}]&&[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]")
 
 # Strings pandas' CSV reader turns into missing values by default.
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators.correct import BatchCorrector, apply_lexicon, confusion_table, correct, learn_lexicon
+from scriptorium.functions.text import words
+from scriptorium.operators.correct import BatchCorrector, apply_lexicon, confusion_table, correct, learn_lexicon, tokens, word_pairs
 
 
 def _pairs(spark):
@@ -48,3 +49,17 @@ def test_whitespace_and_repeated_words_in_application(spark):
     lines = spark.createDataFrame([(1, 0, " a  a b\ta "), (1, 1, "z"), (1, 2, None), (1, 3, "  ")], "page_id long, line_number long, ocr_prediction string")
     out = {r["line_number"]: r["prediction"] for r in apply_lexicon(lines, lex).collect()}
     assert out == {0: " b  b c\tb ", 1: "z", 2: "", 3: "  "}
+
+
+def test_words_of_a_line_are_found_once(spark):
+    plan = word_pairs(_pairs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4 and "Filter" not in plan  # two ways a side, no filter that finds them again
+
+
+def test_whitespace_that_java_does_not_know(spark):
+    odd = [chr(c) for c in (0x1c, 0x1f, 0x85, 0xa0, 0x1680, 0x2003, 0x2028, 0x202f, 0x205f, 0x3000)]
+    rows = [f"a{c}b {c}ñ" for c in odd] + ["a\tb  c\n", " ", "", "᠎ x​", "ñ\x0bé", "😀 a😀"]
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "t string")
+    got = df.select("t", words("t").alias("w"), tokens("t").alias("k")).collect()
+    assert [r["w"] for r in got[:-1]] == [r.split() for r in rows] and got[-1]["w"] is None and got[-1]["k"] is None
+    assert all("".join(r["k"]) == r["t"] and [k for k in r["k"] if k.split()] == r["w"] for r in got[:-1])
