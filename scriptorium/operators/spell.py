@@ -27,11 +27,14 @@ the more frequent, then the smaller word; empty tables give no candidates.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .correct import confusion_table, word_pairs
+from ..session import ensure_checkpoint_dir
+from .correct import confusions_of, lexicon_of, pair_counts
 
 MAX_EDITS, LETTERS_PER_EDIT = 2, 3
 #: Longer words are found by segments; deletions of a word of this length number about two hundred.
@@ -89,11 +92,17 @@ def _keys(word: str, edits: Column, vocabulary: bool) -> Column:
     return F.when(length > LONG, F.when(edits > 0, segments).otherwise(none)).when(edits == 2, two).when(edits == 1, one).otherwise(none)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Words dealt to all cores: they are few bytes, which AQE would give to few tasks, and their keys are many."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism), "word")
+
+
 def candidates(unknown: DataFrame, vocabulary: DataFrame, per_edit: int = LETTERS_PER_EDIT) -> DataFrame:
     """(word, candidate, n, distance): every vocabulary word (word, n) within the edits allowed for the unknown word."""
-    asks = unknown.select("word", allowed_edits("word", per_edit).alias("_edits")).where(F.col("_edits") > 0)
+    asks = _dealt(unknown).select("word", allowed_edits("word", per_edit).alias("_edits")).where(F.col("_edits") > 0)
     asks = asks.select("word", "_edits", F.explode(F.array_distinct(_keys("word", F.col("_edits"), False))).alias("_key"))
-    has = vocabulary.select(F.col("word").alias("candidate"), "n", F.explode(F.array_distinct(_keys("word", F.lit(0), True))).alias("_key"))
+    has = _dealt(vocabulary.select("word", "n")).select(F.col("word").alias("candidate"), "n", F.explode(F.array_distinct(_keys("word", F.lit(0), True))).alias("_key"))
     met = asks.join(has, "_key").where("word <> candidate").groupBy("word", "candidate").agg(F.first("n").alias("n"), F.first("_edits").alias("_edits"))
     distance = F.levenshtein(F.col("word"), F.col("candidate"), MAX_EDITS)
     return met.withColumn("distance", distance.cast("bigint")).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("_edits"))).drop("_edits")
@@ -121,10 +130,15 @@ def differing_parts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def confusion_weights(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text") -> DataFrame:
     """(a_part, b_part, n): MOD-3's confused characters, and how often a longer or shorter part stood for another one."""
-    single = confusion_table(pairs, ocr, truth).select(F.col("ocr_char").alias("a_part"), F.col("text_char").alias("b_part"), "n")
-    differ = differing_parts(word_pairs(pairs, ocr, truth).where("ocr_word <> text_word"), "ocr_word", "text_word")
+    return weights_of(pair_counts(pairs, ocr, truth))
+
+
+def weights_of(counts: DataFrame) -> DataFrame:
+    """``confusion_weights`` from ``correct.pair_counts``."""
+    single = confusions_of(counts).select(F.col("ocr_char").alias("a_part"), F.col("text_char").alias("b_part"), "n")
+    differ = differing_parts(counts.where("ocr_word <> text_word"), "ocr_word", "text_word")
     parts = (differ.where((F.length("a_part") <= LONGEST_PART) & (F.length("b_part") <= LONGEST_PART) & ~((F.length("a_part") == 1) & (F.length("b_part") == 1)))
-             .groupBy("a_part", "b_part").agg(F.count(F.lit(1)).alias("n")))
+             .groupBy("a_part", "b_part").agg(F.sum("n").alias("n")))
     return single.unionByName(parts)
 
 
@@ -165,10 +179,40 @@ def unknown_words(lines: DataFrame, lexicon: DataFrame, vocabulary: DataFrame, s
     return lines.select(F.explode(F.array_distinct(words(src))).alias("word")).distinct().join(known, "word", "left_anti")
 
 
+@dataclass(frozen=True)
+class Learned:
+    """What one pass over aligned lines teaches: ``vocabulary`` (word, n), ``lexicon`` of MOD-2, ``weights`` of MOD-3."""
+
+    vocabulary: DataFrame
+    lexicon: DataFrame
+    weights: DataFrame
+
+
+def learn(pairs: DataFrame, ocr: str = "ocr_prediction", truth: str = "text") -> Learned:
+    """``word_counts``, ``learn_lexicon`` and ``confusion_weights`` of the same lines, which are read once.
+
+    Everything is made from the counts of distinct word pairs; a verified word whose line does not align has
+    no recognised word.  The counts are checkpointed: they are used several times, and are far fewer than the words.
+    """
+    alone = F.transform("_wt", lambda w: F.struct(F.lit(None).cast("string").alias("ocr_word"), w.alias("text_word")))
+    aligned = F.arrays_zip(F.col("_wo").alias("ocr_word"), F.col("_wt").alias("text_word"))
+    both = pairs.select(words(ocr).alias("_wo"), words(truth).alias("_wt")).select(
+        F.explode(F.when(F.size("_wo") == F.size("_wt"), aligned).otherwise(alone)).alias("p"))
+    ensure_checkpoint_dir(pairs.sparkSession)
+    counts = both.groupBy("p.ocr_word", "p.text_word").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    known = counts.where(F.col("ocr_word").isNotNull())
+    vocabulary = counts.groupBy(F.col("text_word").alias("word")).agg(F.sum("n").alias("n"))
+    return Learned(vocabulary, lexicon_of(known), weights_of(known))
+
+
 def extend_lexicon(lexicon: DataFrame, pairs: DataFrame, lines: DataFrame, ocr: str = "ocr_prediction", truth: str = "text",
                    min_seen: int = MIN_SEEN) -> DataFrame:
     """(ocr_word, text_word): the lexicon and the corrections of the lines' unknown words, ready for ``correct.apply_lexicon``."""
-    vocabulary = word_counts(pairs, truth)
-    found = candidates(unknown_words(lines, lexicon, vocabulary, ocr), vocabulary.where(F.col("n") >= min_seen))
-    more = corrections(found, confusion_weights(pairs, ocr, truth))
+    return extended(lexicon, learn(pairs, ocr, truth), lines, ocr, min_seen)
+
+
+def extended(lexicon: DataFrame, learned: Learned, lines: DataFrame, ocr: str = "ocr_prediction", min_seen: int = MIN_SEEN) -> DataFrame:
+    """``extend_lexicon`` by what has been learned already."""
+    found = candidates(unknown_words(lines, lexicon, learned.vocabulary, ocr), learned.vocabulary.where(F.col("n") >= min_seen))
+    more = corrections(found, learned.weights)
     return lexicon.select("ocr_word", "text_word").unionByName(more.select("ocr_word", "text_word"))

@@ -22,7 +22,7 @@ from ..operators import pairs as PR
 from ..operators import spell as SP
 from ..operators import training as TR
 from ..operators.align import align_pages
-from ..operators.correct import BatchCorrector, apply_lexicon, correct, learn_lexicon
+from ..operators.correct import BatchCorrector, apply_lexicon, correct
 from ..operators.scores import blank_short_circuit, fallback
 from ..sources.fixture import evenly, load_pairs, noise, read_table
 from ..session import ensure_checkpoint_dir
@@ -261,15 +261,15 @@ SPELL_CTES = [*LEX_CTES[:4], f"""voc AS MATERIALIZED (
 def _spelling(spark, sf):
     s = _split_pairs(spark, sf)
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    lexicon = learn_lexicon(train)
-    vocabulary = SP.word_counts(train, "text")
-    return train, test, lexicon, SP.candidates(SP.unknown_words(test, lexicon, vocabulary), vocabulary.where(F.col("n") >= SP.MIN_SEEN))
+    learned = SP.learn(train)
+    unknown = SP.unknown_words(test, learned.lexicon, learned.vocabulary)
+    return learned, test, SP.candidates(unknown, learned.vocabulary.where(F.col("n") >= SP.MIN_SEEN))
 
 
 @query("spell_candidates", S.with_pairs("SELECT word, candidate, CAST(n AS BIGINT) AS n, CAST(distance AS BIGINT) AS distance FROM found", *SPELL_CTES))
 def spell_candidates(spark, sf):
     """MOD-2 for unseen words: the verified words within the allowed edits of each."""
-    return _spelling(spark, sf)[3].select("word", "candidate", "n", "distance")
+    return _spelling(spark, sf)[2].select("word", "candidate", "n", "distance")
 
 
 def _prefix_sql(a: str, b: str) -> str:
@@ -311,8 +311,8 @@ RANK_CTES = [f"""chars AS (
 @query("spell_corrections", S.with_pairs("SELECT ocr_word, text_word, CAST(score AS BIGINT) AS score FROM chosen", *SPELL_CTES, *RANK_CTES))
 def spell_corrections(spark, sf):
     """MOD-2 and MOD-3 together: what unseen words are corrected to."""
-    train, _, _, found = _spelling(spark, sf)
-    return SP.corrections(found, SP.confusion_weights(train)).select("ocr_word", "text_word", "score")
+    learned, _, found = _spelling(spark, sf)
+    return SP.corrections(found, learned.weights).select("ocr_word", "text_word", "score")
 
 
 @query("spell_evaluation", S.with_pairs(f"""
@@ -327,9 +327,9 @@ FROM (SELECT nt, {S.lev('nl', 'nt')} AS before, {S.lev('ns', 'nt')} AS after FRO
   WHERE l.split = 'test' GROUP BY l.page_id, l.line_number))""", *SPELL_CTES, LEX_CTES[4], *RANK_CTES))
 def spell_evaluation(spark, sf):
     """Error rate of the held-out split with the lexicon alone and with corrected unseen words."""
-    train, test, lexicon, _ = _spelling(spark, sf)
-    both = SP.extend_lexicon(lexicon, train, test)
-    out = apply_lexicon(apply_lexicon(test.select(*KEY, "ocr_prediction", "text"), lexicon, KEY, out="by_lexicon"), both, KEY)
+    learned, test, _ = _spelling(spark, sf)
+    both = SP.extended(learned.lexicon, learned, test)
+    out = apply_lexicon(apply_lexicon(test.select(*KEY, "ocr_prediction", "text"), learned.lexicon, KEY, out="by_lexicon"), both, KEY)
     parts = out.select(normalized_edit_distance("by_lexicon", "text").alias("before"), normalized_edit_distance("prediction", "text").alias("after"),
                        F.length(ws_normalize("text")).alias("n"))
     return parts.agg(M.cer("before", "n").alias("cer_lexicon"), M.cer("after", "n").alias("cer_spelled"),

@@ -87,3 +87,13 @@ def test_held_out_error_falls_below_the_lexicons(spark):
         return parts.agg(cer().alias("c")).first()["c"]
 
     assert error(SP.extend_lexicon(lexicon, train, test)) < 0.7 * error(lexicon)
+
+
+def test_one_pass_teaches_what_three_did(spark):
+    rows = [("tbe cat", "the cat"), ("tbe rnan", "the man"), ("a tbe rnan", "the man"), (None, "the end"), ("x", None), ("", ""), ("tbe", "tie"), ("tbe", "the")]
+    pairs = spark.createDataFrame(rows, "ocr_prediction string, text string")
+    learned = SP.learn(pairs)
+    sets = lambda df: Counter(tuple(r) for r in df.collect())
+    assert sets(learned.vocabulary) == sets(SP.word_counts(pairs, "text")) == Counter([("the", 5), ("cat", 1), ("man", 2), ("end", 1), ("tie", 1)])
+    assert sets(learned.lexicon) == sets(C.learn_lexicon(pairs)) == Counter([("tbe", "the", 3, 4)])
+    assert sets(learned.weights) == Counter([("b", "h", 3), ("b", "i", 1), ("rn", "m", 1)])
