@@ -12,31 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import BYTE_OFFSET, EOS_ID, LABEL_PAD_ID, MAX_TOKENS, PAD_ID
-from .text import _c
+from .text import _c, chars
 
 
 def byte_tokens(x, max_len: int = MAX_TOKENS, eos: bool = True) -> Column:
     """SCA-7: array<int> of byte ids (+ end id), at most ``max_len`` long.
 
-    The UTF-8 bytes are hex-encoded once and split into two-digit pairs; the
-    lambda then reads only its own element.
+    The UTF-8 bytes are read as Latin-1, which has one character for every
+    byte; the lambda then reads the code of its own character.
     """
     keep = max_len - 1 if eos else max_len
-    pairs = F.slice(F.regexp_extract_all(F.hex(F.encode(_c(x), "UTF-8")), F.lit(".."), 0), 1, keep)
-    ids = F.transform(pairs, lambda hx: _hex_digit(F.substring(hx, 1, 1)) * 16
-                      + _hex_digit(F.substring(hx, 2, 1)) + BYTE_OFFSET)
+    one_each = F.decode(F.encode(_c(x), "UTF-8"), "ISO-8859-1")
+    ids = F.transform(chars(F.substring(one_each, 1, keep)), lambda ch: F.ascii(ch) + BYTE_OFFSET)
     out = F.concat(ids, F.array(F.lit(EOS_ID))) if eos else ids
     return F.when(_c(x).isNotNull(), out)
 
 
-def _hex_digit(ch: Column) -> Column:
-    # '0'-'9' -> 0-9, 'A'-'F' -> 10-15 (``hex`` writes upper case), by code arithmetic
-    a = F.ascii(ch)
-    return a - 48 - F.when(a > 64, 7).otherwise(0)
-
-
 def attention_mask(ids) -> Column:
-    return F.transform(_c(ids), lambda _: F.lit(1))
+    return F.array_repeat(F.lit(1), F.size(_c(ids)))
 
 
 def decode_tokens(ids) -> Column:
