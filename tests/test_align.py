@@ -144,3 +144,21 @@ def test_pages_in_spark(spark):
     want += Counter([(9, 0, None, 0), (9, 1, None, 5)])
     assert got == want
     assert align_pages(o.limit(0), r.limit(0)).collect() == []
+
+
+def test_bands_of_every_width_and_beyond(monkeypatch):
+    from scriptorium.functions import bitdistance as B
+    rng = random.Random(17)
+    a, b = [], []
+    for k in range(400):
+        x = "".join(rng.choice("abñ😀") for _ in range(rng.choice([64, 65, 66, 127, 128, 129, 200, 300])))
+        y = list(x)
+        for _ in range(rng.randrange(0, 1 + k // 4)):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.randrange(2)] = rng.choice(["", "x", "ab", "　"])
+        a.append(x)
+        b.append("".join(y) if k % 9 else "".join(rng.choice("acd") for _ in range(rng.randrange(1, 400))))
+    want = [B.long_distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert want[:60] == [plain(x, y) for x, y in zip(a[:60], b[:60], strict=True)]
+    monkeypatch.setattr(B, "FEW", 0)  # bands alone, but for distances beyond the reach of the widest
+    assert B.distances(a, b).tolist() == want and max(want) > B.reach(4)
