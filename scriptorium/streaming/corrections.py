@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expand as X
 from ..operators.correct import apply_lexicon
-from ..sources.fixture import line_pairs
+from ..sources.fixture import evenly, line_pairs
 from .streams import _work_dir, table_stream
 
 KEY = ("page_id", "line_number")
@@ -66,16 +66,17 @@ def stream_correct(spark: SparkSession, sf_dir: str, lexicons: str, out: str | N
     A job started again with the same ``out`` goes on where the last one stopped.
     """
     out = out or _work_dir(spark, "correct")
-    pairs = line_pairs(table_stream(spark, sf_dir, "documents"))
+    documents = table_stream(spark, sf_dir, "documents").select("doc_id", "text")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         version = _version_of_batch(session, f"{out}/versions/batch_id={batch_id}", lexicons)
         lexicon = session.read.parquet(f"{lexicons}/version={version}") if version else None
-        (corrected(batch, lexicon, conversion).withColumn("version", F.lit(version).cast("bigint"))
+        # a batch of few files has few tasks; its lines are made and corrected by all cores
+        (corrected(line_pairs(evenly(batch), keep=()), lexicon, conversion).withColumn("version", F.lit(version).cast("bigint"))
          .write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}"))
 
-    q = (pairs.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint")
+    q = (documents.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return f"{out}/data"

@@ -64,3 +64,12 @@ def test_repeated_and_null_lines(spark):
     got = sorted(tuple(r) for r in SC.corrected(lines, _lexicon(spark, tbe="the", dog="hound"), X.expand_literals)
                  .select("page_id", "prediction").collect())
     assert got == [(1, "hound the"), (1, "the cat the"), (1, "the cat the"), (2, ""), (3, "")]
+
+
+def test_a_batch_of_one_file_is_corrected_by_all_cores(spark, tmp_path, monkeypatch):
+    (tmp_path / "tables").mkdir()
+    pq.write_table(pq.read_table(f"{SF_SMALL}/documents.parquet").slice(0, 20), tmp_path / "tables" / "documents.parquet")
+    seen, corrected = [], SC.corrected
+    monkeypatch.setattr(SC, "corrected", lambda lines, *more: seen.append(lines.rdd.getNumPartitions()) or corrected(lines, *more))
+    SC.stream_correct(spark, str(tmp_path / "tables"), str(tmp_path / "lexicons"), str(tmp_path / "out"))
+    assert min(seen) >= spark.sparkContext.defaultParallelism > 1
