@@ -7,7 +7,7 @@ scored against the 2k+1 lines around it in its row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import REQUIRED_PAIR_COLUMNS
@@ -58,6 +58,23 @@ def unpaired(left: DataFrame, right: DataFrame, key=("page_id", "line_number"))
 
 #: Lines of a page that are aligned in one row; verified lines near an edge belong to both sides.
 ALIGN_BLOCK = 64
+#: A close line's distance, tried first; from ``WIDE`` on the whole matrix costs no more than a band of it.
+CLOSE, WIDE = 8, 24
+#: A candidate's rank is its distance times 2^``RANK_BITS`` plus its place, so the least rank is the best candidate.
+RANK_BITS = 31
+
+
+def _rank(distance: Column, place: Column) -> Column:
+    return F.shiftleft(distance.cast("bigint"), RANK_BITS) + place
+
+
+def _better(text: Column, rank: Column, other: Column) -> Column:
+    """The smaller of ``rank`` and the rank of candidate ``other`` (place i, text t)."""
+    # the largest distance that would still be better; a band of that width stops early on texts farther apart
+    limit = F.shiftright(rank - 1 - other["i"], RANK_BITS).cast("int")
+    d = F.when(limit < WIDE, F.call_function("levenshtein", text, other["t"], limit)).otherwise(F.levenshtein(text, other["t"]))
+    # a band's -1 becomes the largest int, which is better than no rank
+    return F.when(other["i"] >= rank, rank).otherwise(F.least(rank, _rank(d.bitwiseAND(F.lit(0x7FFFFFFF)), other["i"])))
 
 
 def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, threshold: int = 16,
@@ -70,8 +87,10 @@ def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, thres
     exact.  Both sides meet in one aggregate per (page, block of
     ``ALIGN_BLOCK`` lines), a group of bounded size; verified lines within
     ``band`` of a block's edge are repeated in the next block.  In the row,
-    candidates are scored with the capped Levenshtein first; only a line with
-    no candidate under the cap computes full distances.
+    nearest line first, a candidate is only compared as far as it could beat
+    the best one so far: first among distances up to ``CLOSE``, and only
+    without any so close among all.  Without a candidate up to ``threshold``,
+    one with a missing text comes first, with no distance.
     """
     block = lambda n: F.floor(n / ALIGN_BLOCK)
     o = ocr_lines.select(page, block(F.col(num)).alias("_b"), F.struct(F.col(num).alias("n"), F.col(ocr).alias("t")).alias("_o"),
@@ -79,19 +98,30 @@ def align_lines(ocr_lines: DataFrame, ref_lines: DataFrame, band: int = 2, thres
     r = ref_lines.select(page, F.explode(F.array_distinct(F.array(block(F.col(num) - band), block(F.col(num) + band)))).alias("_b"),
                          F.lit(None).cast("struct<n: bigint, t: string>").alias("_o"),
                          F.struct(F.col(num).alias("n"), F.col(ref).alias("t")).alias("_r"))
-    blocks = o.union(r).groupBy(page, "_b").agg(F.collect_list("_o").alias("_os"), F.collect_list("_r").alias("_rs"))
-    lines = blocks.select(page, F.explode("_os").alias("_o"), "_rs")
-    near = lines.select(page, "_o", F.filter("_rs", lambda x: F.abs(x["n"] - F.col("_o.n")) <= band).alias("_near")).where(F.size("_near") > 0)
-
-    def scored(distance):
-        return F.array_min(F.transform("_near", lambda x: F.struct(
-            distance(F.col("_o.t"), x["t"]).alias("d"), F.abs(x["n"] - F.col("_o.n")).alias("gap"), x["n"].alias("r"))))
-
-    def capped(a, b):
-        d = F.levenshtein(a, b, threshold)
-        return F.when(d >= 0, d).otherwise(threshold + 1)
-
-    first = near.select(page, "_o", "_near", scored(capped).alias("_first"))
-    best = F.when(F.col("_first.d") <= threshold, F.col("_first")).otherwise(scored(F.levenshtein))
-    return (first.select(page, F.col("_o.n").alias(num), best.alias("_best"))
-            .select(page, num, F.col("_best.r").alias("aligned_line"), F.col("_best.d").cast("bigint").alias("distance")))
+    blocks = o.union(r).groupBy(page, "_b").agg(F.collect_list("_o").alias("_os"), F.sort_array(F.collect_list("_r")).alias("_rs"))
+    # where a block's verified lines have consecutive numbers, a line's candidates are a slice of them
+    numbers = F.transform("_rs", lambda x: x["n"])
+    blocks = blocks.select(page, "_os", "_rs", F.get("_rs", F.lit(0))["n"].alias("_first"),
+                           (numbers == F.sequence(F.array_min(numbers), F.array_max(numbers))).alias("_dense"))
+    lines = blocks.select(page, F.explode("_os").alias("_o"), "_rs", "_first", "_dense")
+    n = F.col("_o.n")
+    lo = F.greatest(n - band - F.col("_first"), F.lit(0))
+    hi = F.least(n + band - F.col("_first"), F.size("_rs") - 1)
+    in_band = lambda x: F.abs(x["n"] - n) <= band
+    # a filter on the candidates themselves would collect them twice
+    lines = lines.where(F.when(F.col("_dense"), hi >= lo).otherwise(F.exists("_rs", in_band)))
+    around = F.when(F.col("_dense"), F.slice("_rs", (lo + 1).cast("int"), (hi - lo + 1).cast("int"))).otherwise(F.filter("_rs", in_band))
+    near = lines.select(page, "_o", around.alias("_near"))
+    ordered = F.sort_array(F.transform("_near", lambda x: F.struct(F.abs(x["n"] - n).alias("gap"), x["n"].alias("r"), x["t"].alias("t"))))
+    placed = F.transform(ordered, lambda x, i: F.struct(i.cast("bigint").alias("i"), x["r"].alias("r"), x["t"].alias("t")))
+    near = near.select(page, "_o", placed.alias("_near"))
+
+    text, beyond, none = F.col("_o.t"), F.lit((CLOSE + 1) << RANK_BITS), F.lit(1 << 2 * RANK_BITS)
+    best = lambda worst: F.aggregate("_near", worst, lambda rank, x: _better(text, rank, x))
+    first = near.select(page, "_o", "_near", best(beyond).alias("_close"))
+    ranked = first.select(page, "_o", "_near", F.when(F.col("_close") < beyond, F.col("_close")).otherwise(best(none)).alias("_rank"))
+    unknown = F.filter("_near", lambda x: x["t"].isNull() | text.isNull())
+    ranked = ranked.select(page, "_o", "_near", "_rank", F.when(F.shiftright("_rank", RANK_BITS) > threshold, F.get(unknown, F.lit(0))["r"]).alias("_unknown"))
+    place = F.col("_rank").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int")
+    return ranked.select(page, n.alias(num), F.coalesce("_unknown", F.get("_near", place)["r"]).alias("aligned_line"),
+                         F.when(F.col("_unknown").isNull(), F.shiftright("_rank", RANK_BITS)).alias("distance"))
