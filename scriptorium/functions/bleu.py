@@ -1,4 +1,4 @@
-"""SCA-8 sentence BLEU / 100 with one reference, fully native.
+"""SCA-8 sentence BLEU / 100 with one reference.
 
 Definition (public BLEU defaults): 13a tokenisation, case kept, n-grams up to
 4, "exp" smoothing, effective order.  Per row:
@@ -11,9 +11,11 @@ Definition (public BLEU defaults): 13a tokenisation, case kept, n-grams up to
   so far including this one;
 * brevity penalty ``exp(1 - |ref| / |hyp|)`` when the hypothesis is shorter.
 
-Clipped counts are computed in the row: where one side repeats no n-gram they
-are the size of ``array_intersect``, else the common n-grams are counted on
-both sides.  No explode, no shuffle.
+Tokens and clipped counts come from whole Arrow batches (``ngramcounts.py``),
+the score from the counts by column expressions.  :func:`ngram_stats` counts
+tokens that are columns already: where one side repeats no n-gram the clipped
+count is the size of ``array_intersect``, else the common n-grams are counted
+on both sides.  No explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,14 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ngramcounts import LITERALS, MAX_ORDER, ngram_counts
 from .text import _c, words, WS_CLASS
 
-MAX_ORDER = 4
-
-# 13a tokenisation rules, applied in this order.  The first class of the definition also has the
+# 13a tokenisation rules, applied in this order (literals first).  The first class of the definition also has the
 # space, which would only become three spaces.
-_13A_LITERALS = [("<skipped>", ""), ("-\n", ""), ("\n", " "),
-                 ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 _13A_REGEXES = [
     (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
@@ -48,7 +47,7 @@ def tokens_13a(x) -> Column:
 
 def _tokens_13a(x) -> Column:
     s = F.regexp_replace(_c(x), f"{WS_CLASS}+$", "")          # rstrip
-    for a, b in _13A_LITERALS:
+    for a, b in LITERALS:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.concat(F.lit(" "), s, F.lit(" "))
     for pat, rep in _13A_REGEXES:
@@ -126,14 +125,17 @@ def with_sentence_bleu(df: DataFrame, hyp: str, ref: str, out: str = "bleu_score
                        tokenizer: str = "13a") -> DataFrame:
     """Add a sentence-BLEU column ``out`` for (hyp, ref); NULL inputs give 0.0.
 
-    Tokens, n-gram counts and the score are separate projections, so each
-    tokenisation runs once per row.
+    The counts are a projection of their own, so each text is tokenised once
+    per row; of identical texts only one is.
     """
-    tok = tokens_13a if tokenizer == "13a" else tokens_plain
-    cols = df.columns
+    cols = [F.col(c) for c in df.columns]
     h, r = F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit(""))
-    staged = df.select("*", tok(r).alias("_bl_rt"))
-    # identical texts have identical tokens: tokenise the hypothesis only when it differs
-    staged = staged.select("*", F.when(h == r, F.col("_bl_rt")).otherwise(tok(h)).alias("_bl_ht"))
-    staged = ngram_stats(staged, "_bl_ht", "_bl_rt")
-    return staged.select(*[F.col(c) for c in cols], bleu_from_stats().alias(out))
+    if tokenizer == "13a":
+        staged = df.select(*cols, ngram_counts(h, r).alias("_bl"))
+        lh = F.col("_bl.lh")
+        staged = staged.select(*cols, lh.alias("_bl_lh"), F.col("_bl.lr").alias("_bl_lr"),
+                               *[F.greatest(lh - (n - 1), F.lit(0)).alias(f"_bl_t{n}") for n in range(1, MAX_ORDER + 1)],
+                               *[F.col(f"_bl.c{n}").alias(f"_bl_c{n}") for n in range(1, MAX_ORDER + 1)])
+    else:
+        staged = ngram_stats(df.select(*cols, tokens_plain(h).alias("_bl_ht"), tokens_plain(r).alias("_bl_rt")), "_bl_ht", "_bl_rt")
+    return staged.select(*cols, bleu_from_stats().alias(out))
