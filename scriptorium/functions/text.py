@@ -46,6 +46,11 @@ def ws_strip(x) -> Column:
     return F.regexp_replace(_c(x), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+def is_blank(x) -> Column:
+    """Nothing is left after SCA-3: no character outside the whitespace class, which mostly the first one decides."""
+    return ~_c(x).rlike(f"[^{WS_CLASS[1:-1]}]")
+
+
 def char_length(x) -> Column:
     """SCA-4: length in code points."""
     return F.length(_c(x)).cast("bigint")

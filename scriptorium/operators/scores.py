@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions.bleu import with_sentence_bleu
-from ..functions.text import char_length, chars, words, ws_normalize, ws_strip
+from ..functions.text import char_length, chars, is_blank, words, ws_normalize, ws_strip
 
 PART_COLUMNS = ("ed", "ed_norm", "ref_norm_len", "ref_words", "word_ed", "exact",
                 "pad_match", "char_total", "trunc_match", "word_match", "word_total",
@@ -102,7 +102,7 @@ def row_scores(df: DataFrame, ocr: str = "ocr_prediction", pred: str = "predicti
 
 def blank_short_circuit(df: DataFrame, src: str, out: str) -> DataFrame:
     """PRJ-5: a blank input line is corrected to ``''`` without calling the corrector."""
-    return df.withColumn(out, F.when(ws_strip(F.col(src)) == "", F.lit("")).otherwise(F.col(out)))
+    return df.withColumn(out, F.when(is_blank(src), F.lit("")).otherwise(F.col(out)))
 
 
 def fallback(df: DataFrame, src: str, out: str) -> DataFrame:

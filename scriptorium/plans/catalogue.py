@@ -67,7 +67,7 @@ def cer_by_lang(spark: SparkSession, sf: str) -> DataFrame:
 from ..functions import distance as D  # noqa: E402
 from ..functions import expand as X  # noqa: E402
 from ..functions.bleu import with_sentence_bleu  # noqa: E402
-from ..functions.text import add_prefix, remove_prefix, ws_strip, words  # noqa: E402
+from ..functions.text import add_prefix, is_blank, remove_prefix, ws_strip, words  # noqa: E402
 from ..functions.tokens import argmax, byte_tokens, decode_tokens  # noqa: E402
 from ..operators import analysis as A  # noqa: E402
 from ..operators import correct as C  # noqa: E402
@@ -89,7 +89,7 @@ def _pairs(spark, sf, heavy=False):
 
 
 def _prediction():
-    return F.when(ws_strip("ocr_prediction") == "", F.lit("")).otherwise(X.expand_literals("ocr_prediction"))
+    return F.when(is_blank("ocr_prediction"), F.lit("")).otherwise(X.expand_literals("ocr_prediction"))
 
 
 def _predicted(spark, sf, heavy=False):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions.bleu import ngram_stats, tokens_13a
 from scriptorium.functions.distance import NEAR, edit_distance, normalized_edit_distance
 from scriptorium.functions.expand import ABBREVIATIONS, ANY_KEY, expand_literals
+from scriptorium.functions.text import is_blank, ws_strip
+from scriptorium.plans.catalogue import _prediction
 
 
 def _plan(df):
@@ -60,3 +62,13 @@ def test_tokens_with_and_without_punctuation(spark):
     got = [r["t"] for r in spark.createDataFrame(rows, "t string").select(tokens_13a("t").alias("t")).collect()]
     assert got == [["it's", "plain", "text"], "a . . b , c . ,1 1,2 3 . x 5 - 6 x-7".split(), ["end-"], ["ab", "c", '"', "d", "&"], [],
                    "( a ) [ b ] { c } / d".split(), "a . . b 1 . . 2".split()]
+
+
+def test_blank_lines_without_stripping(spark):
+    spaces = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = ["", "".join(spaces), *spaces, *(s + "a" + s for s in spaces), "​", "a", " é", "\x00", "퟿", "\U0001F600 "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "ocr_prediction string")
+    got = df.select(is_blank("ocr_prediction").alias("b"), (ws_strip("ocr_prediction") == "").alias("s"), _prediction().alias("p")).collect()
+    assert [r["b"] for r in got] == [not t.strip() for t in texts] + [None] == [r["s"] for r in got]
+    assert [r["p"] for r in got] == [t if t.strip() else "" for t in texts] + [None]
+    assert "regexp_replace" not in _plan(df.select(_prediction().alias("p")))
