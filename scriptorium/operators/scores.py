@@ -80,12 +80,13 @@ def row_scores(df: DataFrame, ocr: str = "ocr_prediction", pred: str = "predicti
 
     ``edit_distance`` and ``ocr_errors`` use raw strings; ``improvement`` is
     ``ocr_errors - edit_distance`` (positive = better).  Each distance is
-    computed once.
+    computed once; a line that the correction left as it was has only one.
     """
     o, p, t = F.col(ocr), F.col(pred), F.col(truth)
     staged = df.select(*key, o.alias("ocr_input"), p.alias("prediction"), t.alias("ground_truth"))
-    staged = staged.select("*", D.edit_distance("prediction", "ground_truth").alias("edit_distance"),
-                           D.edit_distance("ocr_input", "ground_truth").alias("ocr_errors"))
+    staged = staged.select("*", D.edit_distance("prediction", "ground_truth").alias("edit_distance"))
+    staged = staged.select("*", F.when(F.col("ocr_input") == F.col("prediction"), F.col("edit_distance"))
+                           .otherwise(D.edit_distance("ocr_input", "ground_truth")).alias("ocr_errors"))
     if bleu:
         staged = with_sentence_bleu(staged, "prediction", "ground_truth", "bleu_score")
     else:

@@ -8,6 +8,7 @@ from scriptorium.functions.bleu import ngram_stats, tokens_13a
 from scriptorium.functions.distance import NEAR, edit_distance, normalized_edit_distance
 from scriptorium.functions.expand import ABBREVIATIONS, ANY_KEY, expand_literals
 from scriptorium.functions.text import is_blank, ws_strip
+from scriptorium.operators.scores import row_scores
 from scriptorium.plans.catalogue import _prediction
 
 
@@ -72,3 +73,11 @@ def test_blank_lines_without_stripping(spark):
     assert [r["b"] for r in got] == [not t.strip() for t in texts] + [None] == [r["s"] for r in got]
     assert [r["p"] for r in got] == [t if t.strip() else "" for t in texts] + [None]
     assert "regexp_replace" not in _plan(df.select(_prediction().alias("p")))
+
+
+def test_lines_left_as_they_were_have_one_distance(spark):
+    rows = [(1, "abc", "abc", "abd"), (2, "abc", "xbc", "abd"), (3, None, "a", "b"), (4, "a", None, "b"), (5, "a", "a", None), (6, "", "", "abc"), (7, None, None, "a")]
+    out = row_scores(spark.createDataFrame(rows, "i int, o string, p string, t string"), "o", "p", "t", key=("i",), bleu=False)
+    d = lambda a, b: None if a is None or b is None else _distance(a, b)
+    assert [(r["i"], r["edit_distance"], r["ocr_errors"]) for r in out.orderBy("i").collect()] == [(i, d(p, t), d(o, t)) for i, o, p, t in rows]
+    assert "(ocr_input#" in (plan := _plan(out)) and "= prediction#" in plan
