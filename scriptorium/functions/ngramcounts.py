@@ -69,7 +69,7 @@ def _plain(column: pa.Array) -> pa.Array:
     return pc.replace_with_mask(column, holds, pa.array([replaced(t) for t in column.filter(holds).to_pylist()], pa.large_binary()))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and where each begins (texts + 1)."""
     n = len(column)
     _, offsets, data = column.buffers()
@@ -122,7 +122,7 @@ def _cuts(kind: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def token_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the 13a tokens of all texts in a row (equal for equal tokens), and where each text's begin (texts + 1)."""
-    data, off = _flat(_plain(texts))
+    data, off = flat(_plain(texts))
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
     kind = KIND[data]
@@ -191,9 +191,9 @@ def clipped_counts(numbers: np.ndarray, hyp_first: np.ndarray, hyp_size: np.ndar
     return out
 
 
-def _slices(ref: pa.Array, hyp: pa.Array):
+def slices(hyp: pa.Array, ref: pa.Array):
     """Ranges of pairs whose texts have at most ``SLICE_BYTES`` bytes together, or one pair."""
-    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ref, hyp))
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (hyp, ref))
     ends, lo = np.cumsum(sizes), 0
     while lo < len(ends):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
@@ -204,7 +204,7 @@ def _slices(ref: pa.Array, hyp: pa.Array):
 def pair_counts(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
     """(pairs, 2 + orders): tokens of the hypothesis, of the reference, clipped counts; a null hypothesis stands for the reference."""
     out = np.zeros((len(ref), 2 + MAX_ORDER), np.int32)
-    for lo, hi in _slices(ref, hyp):
+    for lo, hi in slices(hyp, ref):
         part = out[lo: hi]
         other = hyp[lo: hi]
         differs = np.flatnonzero(other.is_valid().to_numpy(zero_copy_only=False))

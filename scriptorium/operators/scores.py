@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions.bleu import with_sentence_bleu
-from ..functions.text import char_length, chars, is_blank, words, ws_normalize, ws_strip
+from ..functions.pairparts import line_parts
+from ..functions.text import char_length, is_blank
 
 PART_COLUMNS = ("ed", "ed_norm", "ref_norm_len", "ref_words", "word_ed", "exact",
                 "pad_match", "char_total", "trunc_match", "word_match", "word_total",
@@ -34,39 +35,23 @@ def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
     * ``bleu_score``   SCA-8 (optional)
     * ``word_ed``      AGG-15 standard word distance (optional)
 
-    Shared pieces (stripped texts, word arrays, character arrays) are projected
-    once and read by the measures; the optimizer keeps such non-trivial
-    projections instead of inlining them into every use.
+    All of them but the OCR distances, ``word_ed`` and ``bleu_score`` come from one pass over
+    whole Arrow batches (``pairparts.py``); null texts have null measures.
     """
-    cols = df.columns
-    p, r = F.col(pred), F.col(ref)
-    st = df.select("*", ws_strip(p).alias("_sp"), ws_strip(r).alias("_sr"),
-                   words(p).alias("_wp"), words(r).alias("_wr"))
-    st = st.select("*", F.array_join("_wp", " ").alias("_np"), F.array_join("_wr", " ").alias("_nr"),
-                   chars("_sp").alias("_cp"), chars("_sr").alias("_cr"))
-    # one pass over the character pairs: 2 = equal characters, 1 = equal only after space padding
-    cmp = F.zip_with("_cp", "_cr", lambda a, b: F.when(a == b, 2).when(
-        F.coalesce(a, F.lit(" ")) == F.coalesce(b, F.lit(" ")), 1).otherwise(0))
+    cols = [F.col(c) for c in df.columns]
+    st = df.select(*cols, line_parts(F.col(pred), F.col(ref)).alias("_parts"))
+    part = lambda f: F.col(f"_parts.{f}").cast("bigint")
     measures = [
-        D.edit_distance(pred, ref).alias("ed"),
-        D.edit_distance("_np", "_nr").alias("ed_norm"),
-        F.length("_nr").cast("bigint").alias("ref_norm_len"),
-        F.size("_wr").cast("bigint").alias("ref_words"),
-        (F.col("_sp") == F.col("_sr")).alias("exact"),
-        cmp.alias("_cmp"),
-        F.greatest(F.size("_cp"), F.size("_cr")).cast("bigint").alias("char_total"),
-        F.size(F.filter(F.zip_with("_wp", "_wr", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda t: t))
-        .cast("bigint").alias("word_match"),
-        F.greatest(F.size("_wp"), F.size("_wr")).cast("bigint").alias("word_total"),
+        *[part(f).alias(f) for f in ("ed", "ed_norm", "ref_norm_len", "ref_words")],
+        F.col("_parts.exact").alias("exact"),
+        F.greatest(part("pred_chars"), part("ref_chars")).alias("char_total"),
+        part("word_match").alias("word_match"),
+        F.greatest(part("pred_words"), part("ref_words")).alias("word_total"),
     ]
     if ocr is not None:
-        o = F.col(ocr)
         measures += [D.edit_distance(ocr, ref).alias("ocr_ed"),
-                     D.edit_distance(ws_normalize(o), F.col("_nr")).alias("ocr_ed_norm")]
-    out = st.select(*[F.col(c) for c in cols], *measures)
-    out = out.select(*[F.col(c) for c in out.columns if c != "_cmp"],
-                     F.size(F.filter("_cmp", lambda x: x >= 1)).cast("bigint").alias("pad_match"),
-                     F.size(F.filter("_cmp", lambda x: x == 2)).cast("bigint").alias("trunc_match"))
+                     D.normalized_edit_distance(ocr, ref).alias("ocr_ed_norm")]
+    out = st.select(*cols, *measures, part("pad_match").alias("pad_match"), part("trunc_match").alias("trunc_match"))
     if word_level:
         out = D.with_word_edit_distance(out, pred, ref, "word_ed")
     if bleu:
