@@ -129,13 +129,13 @@ def with_sentence_bleu(df: DataFrame, hyp: str, ref: str, out: str = "bleu_score
     per row; of identical texts only one is.
     """
     cols = [F.col(c) for c in df.columns]
-    h, r = F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit(""))
     if tokenizer == "13a":
-        staged = df.select(*cols, ngram_counts(h, r).alias("_bl"))
+        staged = df.select(*cols, ngram_counts(F.col(hyp), F.col(ref)).alias("_bl"))
         lh = F.col("_bl.lh")
         staged = staged.select(*cols, lh.alias("_bl_lh"), F.col("_bl.lr").alias("_bl_lr"),
                                *[F.greatest(lh - (n - 1), F.lit(0)).alias(f"_bl_t{n}") for n in range(1, MAX_ORDER + 1)],
                                *[F.col(f"_bl.c{n}").alias(f"_bl_c{n}") for n in range(1, MAX_ORDER + 1)])
     else:
+        h, r = F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit(""))
         staged = ngram_stats(df.select(*cols, tokens_plain(h).alias("_bl_ht"), tokens_plain(r).alias("_bl_rt")), "_bl_ht", "_bl_rt")
     return staged.select(*cols, bleu_from_stats().alias(out))

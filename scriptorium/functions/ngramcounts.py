@@ -222,10 +222,11 @@ FIELDS = ("lh", "lr", *(f"c{n}" for n in range(1, MAX_ORDER + 1)))
 
 @F.arrow_udf(StructType([StructField(f, IntegerType()) for f in FIELDS]))
 def _pair_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    counts = pair_counts(hyp, ref)
+    counts = pair_counts(hyp, pc.fill_null(ref, ""))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(counts[:, k])) for k in range(len(FIELDS))], FIELDS)
 
 
 def ngram_counts(hyp: Column, ref: Column) -> Column:
-    """Struct of the token counts ``lh`` and ``lr`` and the clipped n-gram counts ``c1`` to ``c4`` of two texts that are not null."""
-    return _pair_counts(F.when(hyp != ref, hyp), ref)
+    """Struct of the token counts ``lh`` and ``lr`` and the clipped n-gram counts ``c1`` to ``c4``; a null text has no tokens."""
+    h, r = F.coalesce(hyp, F.lit("")), F.coalesce(ref, F.lit(""))
+    return _pair_counts(F.when(h != r, h), ref)

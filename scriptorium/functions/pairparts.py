@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from .bitdistance import WORD, distances
 from .ngramcounts import WIDE_SPACES, flat, slices
@@ -47,16 +47,20 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _before(flags: np.ndarray) -> np.ndarray:
     """How many flags are set before each place (places + 1)."""
-    out = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=out[1:])
+    out = np.zeros(len(flags) + 1, np.int32)  # sums of this width take a quarter of the time, and no text has more characters
+    np.cumsum(flags, out=out[1:], dtype=np.int32)
     return out
 
 
+def _places(first: np.ndarray, size: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The ``size`` places from each ``first`` on, one span after the other; ``end`` sums the sizes."""
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(first - (end - size), size)
+
+
 def _agreeing(values: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """How many of ``size`` values from ``a`` on equal those from ``b`` on, for each pair of places."""
     end = np.cumsum(size)
-    step = np.arange(end[-1] if len(end) else 0) - np.repeat(end - size, size)
-    equal = _before(values[np.repeat(a, size) + step] == values[np.repeat(b, size) + step])
+    equal = _before(values[_places(a, size, end)] == values[_places(b, size, end)])
     return equal[end] - equal[end - size]
 
 
@@ -112,6 +116,19 @@ def pair_distances(codes: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarr
     return out
 
 
+def text_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    """SCA-1 of pairs, null where a side is."""
+    differs = pc.not_equal(a, b)
+    rows = np.flatnonzero(pc.fill_null(differs, False).to_numpy(zero_copy_only=False))
+    out = np.zeros(len(a), np.int64)
+    a, b = a.take(pa.array(rows)), b.take(pa.array(rows))
+    for lo, hi in slices(a, b):
+        codes, off = characters(pa.concat_arrays([a[lo: hi], b[lo: hi]]))
+        first, size, n = off[:-1], np.diff(off), hi - lo
+        out[rows[lo: hi]] = pair_distances(codes, first[:n], size[:n], first[n:], size[n:])
+    return pa.array(out, mask=differs.is_null().to_numpy(zero_copy_only=False))
+
+
 def _word_numbers(codes: np.ndarray, solid: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Numbers of the words that begin at the given places among the characters that are not white space."""
     kept = codes[solid]
@@ -159,16 +176,20 @@ def pair_parts(pred: pa.Array, ref: pa.Array) -> dict[str, np.ndarray]:
     both = np.minimum(stripped[p], stripped[r])
     agree = _agreeing(codes, begin[p], begin[r], both)
     longer = np.where(stripped[p] > stripped[r], p, r)
-    blanks = _before(codes == 0x20)
-    filled = blanks[begin[longer] + stripped[longer]] - blanks[begin[longer] + both]  # a space agrees with what fills the shorter text up
-    out["trunc_match"][r], out["pad_match"][r] = agree, agree + filled
+    # a space agrees with what fills the shorter text up
+    size = stripped[longer] - both
+    end = np.cumsum(size)
+    blanks = _before(codes[_places(begin[longer] + both, size, end)] == 0x20)
+    out["trunc_match"][r], out["pad_match"][r] = agree, agree + blanks[end] - blanks[end - size]
     out["exact"][r] = (stripped[p] == stripped[r]) & (agree == both)
     numbers, first = _word_numbers(codes, solid, solids[np.flatnonzero(heads)]), words[off[:-1]]
     out["word_match"][r] = _agreeing(numbers, first[p], first[r], np.minimum(n_words[p], n_words[r]))
 
     out["ed"][r] = pair_distances(codes, off[p], length[p], off[r], length[r])
-    odd = _before(space & (codes != 0x20))
-    normal = (norm_len == length) & (odd[off[1:]] == odd[off[:-1]])
+    normal, odd = norm_len == length, space & (codes != 0x20)
+    if odd.any():
+        odds = _before(odd)
+        normal &= odds[off[1:]] == odds[off[:-1]]
     rest = ~(normal[p] & normal[r])
     out["ed_norm"][r] = out["ed"][r]
     if rest.any():
@@ -202,6 +223,16 @@ def _batch_parts(pred: pa.Array, ref: pa.Array) -> pa.Array:
     return batch_parts(pred, ref)
 
 
+@F.arrow_udf(LongType())
+def _text_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    return text_distances(a, b)
+
+
+def line_distance(a, b) -> Column:
+    """SCA-1 where the texts go to Python anyway, as for BLEU; ``distance.edit_distance`` needs none."""
+    return _text_distances(a, b)
+
+
 def line_parts(pred, ref) -> Column:
     """Struct of the measures of two texts (see ``scores.score_parts`` for what they are)."""
     return _batch_parts(pred, ref)

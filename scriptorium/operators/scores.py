@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions.bleu import with_sentence_bleu
-from ..functions.pairparts import line_parts
+from ..functions.pairparts import line_distance, line_parts
 from ..functions.text import char_length, is_blank
 
 PART_COLUMNS = ("ed", "ed_norm", "ref_norm_len", "ref_words", "word_ed", "exact",
@@ -66,10 +66,12 @@ def row_scores(df: DataFrame, ocr: str = "ocr_prediction", pred: str = "predicti
     ``edit_distance`` and ``ocr_errors`` use raw strings; ``improvement`` is
     ``ocr_errors - edit_distance`` (positive = better).  Each distance is
     computed once; a line that the correction left as it was has only one.
+    With BLEU, whose texts go to Python, the distance is computed there too.
     """
     o, p, t = F.col(ocr), F.col(pred), F.col(truth)
     staged = df.select(*key, o.alias("ocr_input"), p.alias("prediction"), t.alias("ground_truth"))
-    staged = staged.select("*", D.edit_distance("prediction", "ground_truth").alias("edit_distance"))
+    distance = line_distance if bleu else D.edit_distance
+    staged = staged.select("*", distance("prediction", "ground_truth").alias("edit_distance"))
     staged = staged.select("*", F.when(F.col("ocr_input") == F.col("prediction"), F.col("edit_distance"))
                            .otherwise(D.edit_distance("ocr_input", "ground_truth")).alias("ocr_errors"))
     if bleu:

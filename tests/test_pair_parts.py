@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from scriptorium.functions import ngramcounts, pairparts
-from scriptorium.functions.pairparts import batch_parts
+from scriptorium.functions.pairparts import batch_parts, text_distances
 from scriptorium.operators.scores import score_parts
 from scriptorium.streaming.streams import metric_row
 
@@ -85,3 +85,11 @@ def test_metric_row_of_a_micro_batch(spark):
     assert row["bleu"] == pytest.approx(sum(b for _, b in parts) / len(rows), abs=1e-12)
     plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" not in plan and "levenshtein" not in plan
+
+
+def test_distances_of_texts(monkeypatch):
+    monkeypatch.setattr(ngramcounts, "SLICE_BYTES", 500)
+    pairs = _pairs("abé c ")
+    got = text_distances(*(pa.array(["x", *side])[1:] for side in zip(*pairs, strict=True)))
+    assert got.type == pa.int64() and got.to_pylist() == [_model(a, b)["ed"] for a, b in pairs]
+    assert len(text_distances(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
