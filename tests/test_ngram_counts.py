@@ -1,6 +1,7 @@
 """Tokens and n-gram counts of whole batches: equal to the rules applied to one text after the other."""
 
 import random
+import re
 from collections import Counter
 
 import models
@@ -11,6 +12,8 @@ import pytest
 from scriptorium.functions import ngramcounts
 from scriptorium.functions.bleu import with_sentence_bleu
 from scriptorium.functions.ngramcounts import pair_counts
+from scriptorium.plans import catalogue  # noqa: F401  (registers queries)
+from scriptorium.plans.registry import QUERIES
 
 ODD = ["1,2,3 4,,5 a..b 1..2 c.,1 .5 6. 7.8", "x-1 1-x 5-6 5--6 -- 3-", "end-\n", "a-\nb\nc &quot;d&amp; <skipped>.", "(a)[b]{c}/d it's", "1&lt;2 &gt;3",
        "a　b c\u0085d e f g h", "é — ñ ’x’ 。 ê", "  ", "", "\x1c \x1f", "a a a a a a", "a a", "<skipped>", "&amp;quot;"]
@@ -61,3 +64,20 @@ def test_sentence_bleu_runs_no_rule_by_itself(spark):
     assert [r["bleu_score"] for r in out.collect()] == pytest.approx([models.bleu(a or "", b or "") for a, b in df.collect()], abs=1e-12)
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" not in plan and "rlike" not in plan and "array_intersect" not in plan
+
+
+def test_bleu_stats_of_own_documents(spark, tmp_path):
+    texts = [(1, "the cat, much unlike a clam, sat. It was 1,200 years old and not amused by music.\nmum", "en"), (2, "un coucou a chanté; mamma mia!", "fr"), (3, None, "fr"), (4, "", None)]
+    spark.createDataFrame([(i, t, lang, "s") for i, t, lang in texts], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def noisy(t, n):
+        base = t.replace("u", "n").replace("c", "e").replace("m", "rn")
+        return t if n % 4 == 0 else base.replace(" a", " ") if n % 7 == 0 else base.replace("th", "tb").replace("li", "h")
+
+    scores = [(lang, models.bleu(noisy(line, n), line)) for _, t, lang in texts if t for n, line in enumerate(re.findall(".{1,48}", t))]
+    out = QUERIES["bleu_stats"](spark, str(tmp_path))
+    got = {r["lang"]: (r["bleu_score_mean"], r["bleu_score_std"], r["total_samples"]) for r in out.collect()}
+    of = {lang: [s for x, s in scores if lang in (None, x)] for lang in ("en", "fr", None)}
+    assert got == {lang: (pytest.approx(np.mean(s), abs=1e-6), pytest.approx(np.std(s), abs=1e-6), len(s)) for lang, s in of.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp") == 1 and "rlike" not in plan  # that of the lines
