@@ -11,11 +11,10 @@ Definition (public BLEU defaults): 13a tokenisation, case kept, n-grams up to
   so far including this one;
 * brevity penalty ``exp(1 - |ref| / |hyp|)`` when the hypothesis is shorter.
 
-Tokens and clipped counts come from whole Arrow batches (``ngramcounts.py``),
-the score from the counts by column expressions.  :func:`ngram_stats` counts
-tokens that are columns already: where one side repeats no n-gram the clipped
-count is the size of ``array_intersect``, else the common n-grams are counted
-on both sides.  No explode, no shuffle.
+Tokens and clipped counts come from whole Arrow batches (``ngramcounts.py``) or,
+without Python, from column expressions: where one side repeats no n-gram the
+clipped count is the size of ``array_intersect``, else the common n-grams are
+counted on both sides.  No explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -25,8 +24,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import ODD_WS, WS_CLASS
 from .ngramcounts import LITERALS, MAX_ORDER, ngram_counts
-from .text import _c, words, WS_CLASS
+from .text import _c, words
 
 # 13a tokenisation rules, applied in this order (literals first).  The first class of the definition also has the
 # space, which would only become three spaces.
@@ -40,9 +40,20 @@ _13A_REGEXES = [
 _13A_TOUCHED = r"[!-&(-/:-@\[-`{-~]"
 
 
+# A token where no literal stands, no points or commas follow each other and white space is plain: a run of what no rule cuts
+# off, with a dash behind no digit and a point or comma between digits, or one mark.  Java tries a class of several
+# ranges slowly on every character, so letters and digits have a short one of their own.
+_13A_TOKEN = r"(?:\p{Alnum}++|[^\x00-\x7f]++|(?<![0-9])-|(?<=[0-9])[.,](?=[0-9])|'|[\x00-\x08\x0e-\x1b\x7f])++|\p{Punct}"
+#: Longer texts go by the rules: a token's parts are matched one inside the other.
+_13A_LONGEST = 1000
+
+
 def tokens_13a(x) -> Column:
-    """SCA-8b: 13a tokens of a string (array<string>); a text without punctuation has its words."""
-    return F.when(_c(x).rlike(_13A_TOUCHED), _tokens_13a(x)).otherwise(words(x))
+    """SCA-8b: 13a tokens of a string (array<string>); a text without punctuation has its words, most others are cut by one expression."""
+    c = _c(x)
+    by_rules = c.rlike(ODD_WS) | c.rlike("[.,][.,]") | c.rlike("&(?:quot|amp|lt|gt);") | c.contains("<skipped>") | c.contains("-\n") | (F.length(c) > _13A_LONGEST)
+    cut = F.when(by_rules, _tokens_13a(c)).otherwise(F.regexp_extract_all(c, F.lit(_13A_TOKEN), 0))
+    return F.when(c.rlike(_13A_TOUCHED), cut).otherwise(words(c))
 
 
 def _tokens_13a(x) -> Column:
@@ -122,20 +133,25 @@ def bleu_from_stats(prefix: str = "_bl") -> Column:
 
 
 def with_sentence_bleu(df: DataFrame, hyp: str, ref: str, out: str = "bleu_score",
-                       tokenizer: str = "13a") -> DataFrame:
+                       tokenizer: str = "13a", in_batches: bool = True) -> DataFrame:
     """Add a sentence-BLEU column ``out`` for (hyp, ref); NULL inputs give 0.0.
 
-    The counts are a projection of their own, so each text is tokenised once
-    per row; of identical texts only one is.
+    The counts of 13a tokens come from Arrow batches or, if not ``in_batches``,
+    like others from column expressions alone.  Tokens, counts and the score
+    are separate projections, so each text is tokenised once per row; of
+    identical texts only one is.
     """
     cols = [F.col(c) for c in df.columns]
-    if tokenizer == "13a":
+    if tokenizer == "13a" and in_batches:
         staged = df.select(*cols, ngram_counts(F.col(hyp), F.col(ref)).alias("_bl"))
         lh = F.col("_bl.lh")
         staged = staged.select(*cols, lh.alias("_bl_lh"), F.col("_bl.lr").alias("_bl_lr"),
                                *[F.greatest(lh - (n - 1), F.lit(0)).alias(f"_bl_t{n}") for n in range(1, MAX_ORDER + 1)],
                                *[F.col(f"_bl.c{n}").alias(f"_bl_c{n}") for n in range(1, MAX_ORDER + 1)])
     else:
+        tok = tokens_13a if tokenizer == "13a" else tokens_plain
         h, r = F.coalesce(F.col(hyp), F.lit("")), F.coalesce(F.col(ref), F.lit(""))
-        staged = ngram_stats(df.select(*cols, tokens_plain(h).alias("_bl_ht"), tokens_plain(r).alias("_bl_rt")), "_bl_ht", "_bl_rt")
+        staged = df.select("*", tok(r).alias("_bl_rt"))
+        staged = staged.select("*", F.when(h == r, F.col("_bl_rt")).otherwise(tok(h)).alias("_bl_ht"))
+        staged = ngram_stats(staged, "_bl_ht", "_bl_rt")
     return staged.select(*cols, bleu_from_stats().alias(out))

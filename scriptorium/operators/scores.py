@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions.bleu import with_sentence_bleu
 from ..functions.pairparts import line_distance, line_parts
-from ..functions.text import char_length, is_blank
+from ..functions.text import char_length, chars, is_blank, words, ws_strip
 
 PART_COLUMNS = ("ed", "ed_norm", "ref_norm_len", "ref_words", "word_ed", "exact",
                 "pad_match", "char_total", "trunc_match", "word_match", "word_total",
@@ -21,7 +21,7 @@ PART_COLUMNS = ("ed", "ed_norm", "ref_norm_len", "ref_words", "word_ed", "exact"
 
 
 def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
-                ocr: str | None = None, bleu: bool = True, word_level: bool = False) -> DataFrame:
+                ocr: str | None = None, bleu: bool = True, word_level: bool = False, in_batches: bool = False) -> DataFrame:
     """Add the per-row parts of every metric for (pred, ref) [and (ocr, ref)].
 
     * ``ed``           raw edit distance (AGG-4, SCA-1)
@@ -35,30 +35,57 @@ def score_parts(df: DataFrame, pred: str = "prediction", ref: str = "text",
     * ``bleu_score``   SCA-8 (optional)
     * ``word_ed``      AGG-15 standard word distance (optional)
 
-    All of them but the OCR distances, ``word_ed`` and ``bleu_score`` come from one pass over
-    whole Arrow batches (``pairparts.py``); null texts have null measures.
+    Built-in expressions alone, or ``in_batches``: all of them but the OCR
+    distances and ``word_ed`` from whole Arrow batches (``pairparts.py``,
+    ``ngramcounts.py``).  Null texts have null measures.
     """
-    cols = [F.col(c) for c in df.columns]
-    st = df.select(*cols, line_parts(F.col(pred), F.col(ref)).alias("_parts"))
-    part = lambda f: F.col(f"_parts.{f}").cast("bigint")
-    measures = [
-        *[part(f).alias(f) for f in ("ed", "ed_norm", "ref_norm_len", "ref_words")],
-        F.col("_parts.exact").alias("exact"),
-        F.greatest(part("pred_chars"), part("ref_chars")).alias("char_total"),
-        part("word_match").alias("word_match"),
-        F.greatest(part("pred_words"), part("ref_words")).alias("word_total"),
-    ]
+    out = (_batch_parts if in_batches else _native_parts)(df, pred, ref)
     if ocr is not None:
-        measures += [D.edit_distance(ocr, ref).alias("ocr_ed"),
-                     D.normalized_edit_distance(ocr, ref).alias("ocr_ed_norm")]
-    out = st.select(*cols, *measures, part("pad_match").alias("pad_match"), part("trunc_match").alias("trunc_match"))
+        out = out.select("*", D.edit_distance(ocr, ref).alias("ocr_ed"), D.normalized_edit_distance(ocr, ref).alias("ocr_ed_norm"))
     if word_level:
         out = D.with_word_edit_distance(out, pred, ref, "word_ed")
     if bleu:
-        out = with_sentence_bleu(out, pred, ref, "bleu_score")
+        out = with_sentence_bleu(out, pred, ref, "bleu_score", in_batches=in_batches)
     return out
 
 
+def _batch_parts(df: DataFrame, pred: str, ref: str) -> DataFrame:
+    cols = [F.col(c) for c in df.columns]
+    part = lambda f: F.col(f"_parts.{f}").cast("bigint")
+    return df.select(*cols, line_parts(F.col(pred), F.col(ref)).alias("_parts")).select(
+        *cols, *[part(f).alias(f) for f in ("ed", "ed_norm", "ref_norm_len", "ref_words")], F.col("_parts.exact").alias("exact"),
+        F.greatest(part("pred_chars"), part("ref_chars")).alias("char_total"), part("word_match").alias("word_match"),
+        F.greatest(part("pred_words"), part("ref_words")).alias("word_total"), part("pad_match").alias("pad_match"), part("trunc_match").alias("trunc_match"))
+
+
+def _native_parts(df: DataFrame, pred: str, ref: str) -> DataFrame:
+    """Shared pieces (stripped texts, words, characters) are projected once; the optimizer keeps such projections
+    instead of inlining them into every use.  Of identical texts one side's pieces do."""
+    cols = [F.col(c) for c in df.columns]
+    p, r = F.col(pred), F.col(ref)
+    st = df.select(*cols, (p == r).alias("_same"), D.edit_distance(pred, ref).alias("ed"), ws_strip(r).alias("_sr"), words(r).alias("_wr"))
+    same = F.col("_same")
+    st = st.select("*", F.when(same, F.col("_sr")).otherwise(ws_strip(p)).alias("_sp"), F.when(same, F.col("_wr")).otherwise(words(p)).alias("_wp"))
+    st = st.select("*", F.array_join("_wp", " ").alias("_np"), F.array_join("_wr", " ").alias("_nr"), (F.col("_sp") == F.col("_sr")).alias("exact"))
+    st = st.select("*", F.when(~F.col("exact"), chars("_sp")).alias("_cp"), F.when(~F.col("exact"), chars("_sr")).alias("_cr"))
+    # one pass over the character pairs that may differ: 2 = equal characters, 1 = equal only after space padding
+    cmp = F.zip_with("_cp", "_cr", lambda a, b: F.when(a == b, 2).when(
+        F.coalesce(a, F.lit(" ")) == F.coalesce(b, F.lit(" ")), 1).otherwise(0))
+    # counted by what is left without a value: that is compiled, a filter's lambda is not
+    matches = F.size(F.array_remove(F.zip_with("_wp", "_wr", lambda a, b: F.coalesce(a == b, F.lit(False))), False))
+    normal = (F.col("_np") == p) & (F.col("_nr") == r)
+    st = st.select(
+        *cols, "ed", F.when(normal, F.col("ed")).otherwise(D.edit_distance("_np", "_nr")).alias("ed_norm"),
+        F.length("_nr").cast("bigint").alias("ref_norm_len"), F.size("_wr").cast("bigint").alias("ref_words"), "exact",
+        F.greatest(F.length("_sp"), F.length("_sr")).cast("bigint").alias("char_total"),
+        F.when(same, F.size("_wr")).otherwise(matches).cast("bigint").alias("word_match"),
+        F.greatest(F.size("_wp"), F.size("_wr")).cast("bigint").alias("word_total"),
+        cmp.alias("_cmp"), F.length("_sr").alias("_all"))
+    padded, unequal = F.size(F.array_remove("_cmp", 0)), F.size(F.array_remove("_cmp", 2))
+    match = lambda n: F.when(F.col("exact"), F.col("_all")).otherwise(n).cast("bigint")
+    return st.select(*[F.col(c) for c in st.columns if c not in ("_cmp", "_all")], match(padded).alias("pad_match"), match(F.size("_cmp") - unequal).alias("trunc_match"))
+
+
 def row_scores(df: DataFrame, ocr: str = "ocr_prediction", pred: str = "prediction",
                truth: str = "text", key=("page_id", "line_number"), bleu: bool = True) -> DataFrame:
     """The detailed error-analysis table (row-score schema), keyed by ``key``.

@@ -60,7 +60,7 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int =
 
 def metric_row(batch: DataFrame) -> DataFrame:
     """UDF-3 / SNK-6 row: cer, bleu, edit_distance, eval_samples of one batch of pairs."""
-    parts = score_parts(spread(batch), pred="ocr_prediction", ref="text")
+    parts = score_parts(spread(batch), pred="ocr_prediction", ref="text", in_batches=True)
     return parts.agg(M.cer().alias("cer"), F.avg("bleu_score").alias("bleu"),
                      F.avg(F.col("ed").cast("double")).alias("edit_distance"),
                      F.count(F.lit(1)).alias("eval_samples"))

@@ -8,9 +8,10 @@ import models
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.functions import ngramcounts
-from scriptorium.functions.bleu import with_sentence_bleu
+from scriptorium.functions import bleu, ngramcounts
+from scriptorium.functions.bleu import tokens_13a, with_sentence_bleu
 from scriptorium.functions.ngramcounts import pair_counts
 from scriptorium.plans import catalogue  # noqa: F401  (registers queries)
 from scriptorium.plans.registry import QUERIES
@@ -50,6 +51,14 @@ def test_counts_of_pairs(monkeypatch, slice_bytes):
     assert pair_counts(pa.array([], pa.string()), pa.array([], pa.string())).shape == (0, 6)
 
 
+def test_tokens_without_batches(spark):
+    texts = sorted({t for p in _pairs() for t in p} | {"\x01a\x7f'b-c_d 1-2 -3 4.5", "1," * 700 + " a.b", "x" * 5000 + "."})
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens_13a("t").alias("k")).collect()
+    assert [(r["t"], r["k"]) for r in got if r["k"] != models.tok13a(r["t"])] == []
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(tokens_13a("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert bleu._13A_TOKEN in plan
+
+
 def test_equal_bytes_are_equal_tokens_only():
     # one number a token, whatever hashes there are: words of two letters in every order
     words = [f"{a:b}".translate({48: "a", 49: "b"}) for a in range(1, 3000)]

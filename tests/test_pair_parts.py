@@ -8,7 +8,7 @@ import pytest
 
 from scriptorium.functions import ngramcounts, pairparts
 from scriptorium.functions.pairparts import batch_parts, text_distances
-from scriptorium.operators.scores import score_parts
+from scriptorium.operators.scores import PART_COLUMNS, score_parts
 from scriptorium.streaming.streams import metric_row
 
 
@@ -54,18 +54,22 @@ def test_measures_of_pairs(monkeypatch, alphabet, slice_bytes, together):
     assert len(batch_parts(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
 
 
-def test_score_parts_run_no_expression_by_row(spark):
+@pytest.mark.parametrize("in_batches", [False, True])
+def test_score_parts_with_and_without_batches(spark, in_batches):
     rows = [(1, "a  b, c", " a b c "), (2, None, "a b"), (3, "a", None), (4, "same text", "same text"), (5, "", "")]
-    out = score_parts(spark.createDataFrame(rows, "i int, prediction string, text string"))
+    rows += [(i, a, b) for i, (a, b) in enumerate(_pairs("ab é1.,-'&_\t ")[:150], 6)]
+    out = score_parts(spark.createDataFrame(rows, "i int, prediction string, text string"), in_batches=in_batches)
+    assert set(out.columns[3:-1]) <= set(PART_COLUMNS)
     assert out.columns == ["i", "prediction", "text", "ed", "ed_norm", "ref_norm_len", "ref_words", "exact", "char_total", "word_match", "word_total", "pad_match", "trunc_match", "bleu_score"]
     assert [t for _, t in out.dtypes[3:]] == ["bigint"] * 4 + ["boolean"] + ["bigint"] * 5 + ["double"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert any(f in plan for f in ("regexp", "levenshtein", "zip_with", "split(")) is not in_batches and ("_batch_parts" in plan) is in_batches
     for row in out.collect():
         m = _model(row["prediction"], row["text"])
-        assert {k: row[k] for k in m if k in out.columns} == {k: v for k, v in m.items() if k in out.columns}
-        assert row["char_total"] == max(x for x in (m["pred_chars"], m["ref_chars"]) if x is not None)
-        assert row["word_total"] == max(x for x in (m["pred_words"], m["ref_words"]) if x is not None)
-    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert not any(f in plan for f in ("regexp", "levenshtein", "zip_with", "split("))
+        assert {k: row[k] for k in m if k in out.columns} == {k: v for k, v in m.items() if k in out.columns}, row
+        assert row["char_total"] == max((x for x in (m["pred_chars"], m["ref_chars"]) if x is not None), default=None)
+        assert row["word_total"] == max((x for x in (m["pred_words"], m["ref_words"]) if x is not None), default=None)
+        assert row["bleu_score"] == pytest.approx(models.bleu(row["prediction"] or "", row["text"] or ""), abs=1e-9)
 
 
 def test_ocr_distances_beside_the_parts(spark):
